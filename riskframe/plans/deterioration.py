@@ -17,12 +17,27 @@ from ..sources import fixtures
 FEATURE_OUTPUT = ["user_id", "timepoint", "Source", "Split", "Target", *DETERIORATION_FEATURES]
 
 
-def build_features(timeline: DataFrame, noise_std: float = 0.0, seed: int = 42) -> DataFrame:
-    """Timeline rows -> (user_id, timepoint, Source, Split, Target, 9 features)."""
+def build_features(timeline: DataFrame, noise_std: float = 0.0, seed: int = 42, keep=()) -> DataFrame:
+    """Timeline rows -> (user_id, timepoint, Source, Split, Target, 9 features[, keep...])."""
     with_split = user_split(timeline, seed=seed)
     targeted = deterioration_targets(with_split, keep_unlabelled=True)
     feats = deterioration_features(targeted, noise_std=noise_std, seed=seed)
-    return feats.filter(F.col("Target").isNotNull()).select(*FEATURE_OUTPUT)
+    return feats.filter(F.col("Target").isNotNull()).select(*FEATURE_OUTPUT, *keep)
+
+
+def timeline_audit(features: DataFrame, source: str = "Depression_14D", crisis: int = 3,
+                   split: str = "test", prob_col: str | None = None) -> DataFrame:
+    """The first test user of ``source`` reaching the crisis class, all its rows in order.
+
+    "First" is the smallest user key (file order does not exist in Spark).  The
+    user is found by one aggregation and joined back with a semi join.
+    """
+    test = features.filter(F.col("Split") == split)
+    pick = (test.filter((F.col("Target") == crisis) & (F.col("Source") == source))
+            .agg(F.min("user_id").alias("user_id")))
+    rows = test.join(pick, on="user_id", how="left_semi")
+    cols = ["user_id", "timepoint", "CompositeRisk", "Target"] + ([prob_col] if prob_col else [])
+    return rows.select(*cols).orderBy("timepoint")
 
 
 def deterioration_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:

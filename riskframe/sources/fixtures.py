@@ -175,11 +175,11 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("e"),
     )
-    w = Window.partitionBy("user_id").orderBy("day")
+    from ..operators.timeline import ordinal  # E1 over the explicit day order
     n = F.col("n").cast("double")
-    return a.select(
+    return ordinal(a, "user_id", "day").select(
         "user_id",
-        (F.row_number().over(w) - 1).cast("int").alias("timepoint"),
+        "timepoint",
         F.least(F.lit(10.0), F.round("av", 4) / 12.0).alias("Stress"),
         F.when(F.col("n") % 5 == 0, None).otherwise(F.least(F.lit(10.0), 3.0 + n * 1.5)).alias("Sleep"),
         F.when((F.col("n") == 1) & (F.col("e") == 0), None)

@@ -27,20 +27,24 @@ def uniform(key: ColumnOrName, lo: float, hi: float, seed: int = 42, tag: str =
     return F.lit(float(lo)) + unit_uniform(key, seed, tag) * float(hi - lo)
 
 
-def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: str = "", kmax: int = 60) -> Column:
-    """Poisson(lam) by inverse CDF over a bounded support (exact below ``kmax``)."""
+def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: str = "", kmax: int = 40) -> Column:
+    """Poisson(lam) by inverse CDF with the recurrence p_k = p_(k-1) * lam / k.
+
+    Exact for draws below ``kmax`` (the support is truncated there).
+    """
     lam_c = F.lit(float(lam)) if isinstance(lam, (int, float)) else (F.col(lam) if isinstance(lam, str) else lam)
     u = unit_uniform(key, seed, tag)
-    # count how many cumulative-probability steps lie below u
-    terms = F.sequence(F.lit(0), F.lit(kmax))
-    log_lam = F.log(F.greatest(lam_c, F.lit(1e-300)))
-    # log k! as a sum of logs; sequence(1, max(k,1)) gives log 1 = 0 for k = 0
-    log_fact = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0),
-                                     lambda acc, j: acc + F.log(j.cast("double")))
-    pmf = F.transform(terms, lambda k: F.exp(-lam_c + k.cast("double") * log_lam - log_fact(k)))
-    cdf = F.aggregate(pmf, F.array().cast("array<double>"),
-                      lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + x)))
-    return F.size(F.filter(cdf, lambda c: c < u)).cast("int")
+    p0 = F.exp(-lam_c)
+    init = F.struct(p0.alias("p"), p0.alias("cdf"), F.when(u < p0, F.lit(0)).otherwise(F.lit(-1)).alias("res"))
+
+    def step(acc, k):
+        p = acc["p"] * lam_c / k.cast("double")
+        cdf = acc["cdf"] + p
+        res = F.when(acc["res"] >= 0, acc["res"]).when(u < cdf, k).otherwise(F.lit(-1))
+        return F.struct(p.alias("p"), cdf.alias("cdf"), res.alias("res"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(kmax)), init, step)["res"]
+    return F.when(out < 0, F.lit(kmax)).otherwise(out).cast("int")
 
 
 def integer_jitter(key: ColumnOrName, seed: int = 42, tag: str = "") -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_timeline"]
+MODULES = ["q_timeline", "q_survey"]
 
 
 def load() -> None:

@@ -24,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # (column, prime, modulus, divisor, low, null rule); null rule is a tuple of
 # ("mod", n) -> null when o_orderkey % n = 0, ("src", [..]) -> null for those
 # sources, ("only", [..]) -> null unless one of those sources.
+# PHQ-9 items are named item_phq1..9: Spark resolves names case-insensitively,
+# so phq9 would clash with the PHQ9 total.
 FB1_NUMERIC = [
     ("PHQ9", 17, 28, 1, 0, None),
     ("GAD7", 19, 22, 1, 0, None),
@@ -123,7 +125,7 @@ def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols.append((1 + (k * (2 * n + 1)) % 4).cast("int").alias(f"Q{n}A"))
     for n in range(1, PHQ_ITEM_COUNT + 1):
         v = ((k * (2 * n + 3)) % 4).cast("int")
-        cols.append((F.when(k % 14 == 0, None).otherwise(v) if n == 9 else v).alias(f"phq{n}"))
+        cols.append((F.when(k % 14 == 0, None).otherwise(v) if n == 9 else v).alias(f"item_phq{n}"))
     for name, m, values in FB1_WORDS:
         expr = F.lit(None).cast("string")
         for i in range(len(values) - 1, -1, -1):
@@ -153,7 +155,7 @@ def survey_pool_sql() -> str:
         parts.append(f"CAST(1 + (o_orderkey * {2 * n + 1}) % 4 AS INTEGER) AS Q{n}A")
     for n in range(1, PHQ_ITEM_COUNT + 1):
         v = f"CAST((o_orderkey * {2 * n + 3}) % 4 AS INTEGER)"
-        parts.append(f"{f'CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE {v} END' if n == 9 else v} AS phq{n}")
+        parts.append(f"{f'CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE {v} END' if n == 9 else v} AS item_phq{n}")
     for name, m, values in FB1_WORDS:
         whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
         parts.append(f"CAST(CASE o_orderkey % {m} {whens} ELSE NULL END AS VARCHAR) AS {name}")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_timeline", "q_survey"]
+MODULES = ["q_timeline", "q_survey", "q_scoring"]
 
 
 def load() -> None:

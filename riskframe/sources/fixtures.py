@@ -116,6 +116,9 @@ def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
         (dbl((k * 37) % 101) / 10.0).alias("WorkStress"),
         (dbl((ck * 13) % 101) / 10.0).alias("EmotionalExhaustion"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("RiskCategory"),
+        # FB3 score and label on the same rows, for scoring operators
+        (dbl((k * 7919) % 1000) / 1000.0).alias("p"),
+        F.when((k * 7919) % 1000 + ck % 600 > 900, 1).otherwise(0).alias("y"),
     ]
     for name, prime, m, d, lo, rule in FB1_NUMERIC:
         value = F.lit(float(lo)) + dbl((k * prime) % m) / float(d)
@@ -146,6 +149,8 @@ def survey_pool_sql() -> str:
         "CAST((o_orderkey * 37) % 101 AS DOUBLE) / 10.0 AS WorkStress",
         "CAST((o_custkey * 13) % 101 AS DOUBLE) / 10.0 AS EmotionalExhaustion",
         "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS RiskCategory",
+        "CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 AS p",
+        "CAST(CASE WHEN (o_orderkey * 7919) % 1000 + o_custkey % 600 > 900 THEN 1 ELSE 0 END AS INTEGER) AS y",
     ]
     for name, prime, m, d, lo, rule in FB1_NUMERIC:
         value = f"(CAST({float(lo)} AS DOUBLE) + CAST((o_orderkey * {prime}) % {m} AS DOUBLE) / {float(d)})"

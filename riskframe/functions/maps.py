@@ -131,3 +131,10 @@ JOURNAL_FALLBACK = {
     "suggestedAction": "Take a deep breath and acknowledge your feelings.",
     "detectedTriggers": [],
 }
+
+# --- fixed values: per-source sample weights ---
+STRESS_SOURCE_WEIGHTS = {"Healthcare_Workforce": 2.0, "Remote_Work": 1.5, "Corporate_Stress": 1.5,
+                         "Student_Stress_Mon": 1.0, "DASS_Clinical": 1.0}
+DEPRESSION_SOURCE_WEIGHTS = {"University_Student": 10.0, "Global_2025": 6.0, "Student_Depression": 4.0}
+# fixed class weights of the recovered deterioration model
+DETERIORATION_CLASS_WEIGHTS = {0: 1.0, 1: 2.0, 2: 4.0, 3: 10.0}

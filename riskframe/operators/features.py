@@ -120,8 +120,8 @@ def feat_stress(df: DataFrame, key: str = "rec_id", noise: bool = False, seed: i
     are always drawn, from a hash of (key, seed, tag), so they are
     reproducible after a task retry.
     """
-    present = [c for c in STRESS_NUMERIC if c in df.columns]
-    d = df.withColumns({c: coerce_numeric(c) for c in present})
+    from .schema import coerce_columns
+    d = coerce_columns(df, STRESS_NUMERIC)
     ws = F.col("WorkStress")
     d = d.withColumn("WorkStress", F.when(ws > 10, ws / 10.0).otherwise(ws))
     mini = step_bucket(F.coalesce(F.col("WorkStress"), F.lit(5.0)), STRESS_STEPS)

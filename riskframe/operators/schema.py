@@ -70,8 +70,15 @@ def unify_sources(frames: Sequence[DataFrame], specs: Sequence[dict], columns: S
 
 def coerce_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Coerce the listed (present) columns to double; unparseable -> NULL."""
-    present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: coerce_numeric(c) for c in present})
+    from ..functions import nan_to_null
+    from pyspark.sql import types as T
+    out = {}
+    for c in columns:
+        if c not in df.columns:
+            continue
+        dt = df.schema[c].dataType
+        out[c] = nan_to_null(c) if isinstance(dt, (T.NumericType,)) else coerce_numeric(c)
+    return df.withColumns(out)
 
 
 def words_or_numbers(df: DataFrame, mapping: dict[str, dict]) -> DataFrame:

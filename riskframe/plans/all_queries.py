@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_timeline", "q_survey", "q_scoring"]
+MODULES = ["q_timeline", "q_survey", "q_scoring", "q_labels"]
 
 
 def load() -> None:

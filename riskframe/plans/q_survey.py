@@ -158,7 +158,7 @@ def q_scale_cols(spark, sf_dir):
 
 def _pool_columns():
     from ..sources.fixtures import DASS_ITEM_COUNT, FB1_NUMERIC, FB1_WORDS, PHQ_ITEM_COUNT
-    base = ["rec_id", "DatasetSource", "WorkHours", "SleepHours", "ScreenTime", "WorkStress", "EmotionalExhaustion",
+    base = ["rec_id", "cust_id", "DatasetSource", "WorkHours", "SleepHours", "ScreenTime", "WorkStress", "EmotionalExhaustion",
             "RiskCategory", "p", "y"]
     return (base + [n[0] for n in FB1_NUMERIC] + [f"Q{i}A" for i in range(1, DASS_ITEM_COUNT + 1)]
             + [f"item_phq{i}" for i in range(1, PHQ_ITEM_COUNT + 1)] + [w[0] for w in FB1_WORDS])

@@ -108,6 +108,7 @@ def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     dbl = lambda c: c.cast("double")
     cols = [
         k.alias("rec_id"),
+        ck.alias("cust_id"),
         src.alias("DatasetSource"),
         F.when(k % 7 == 0, None).otherwise(4.0 + dbl(ck % 9)).alias("WorkHours"),
         F.when(k % 11 == 0, None).otherwise(3.0 + dbl(k % 13) / 2.0).alias("SleepHours"),
@@ -141,6 +142,7 @@ def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def survey_pool_sql() -> str:
     parts = [
         "o_orderkey AS rec_id",
+        "o_custkey AS cust_id",
         f"{_SRC_SQL} AS DatasetSource",
         "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 4.0::DOUBLE + CAST(o_custkey % 9 AS DOUBLE) END AS WorkHours",
         "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 3.0::DOUBLE + CAST(o_orderkey % 13 AS DOUBLE) / 2.0 END AS SleepHours",

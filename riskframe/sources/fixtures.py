@@ -99,58 +99,21 @@ def _null_cond_sql(rule):
 _SRC_SQL = "('S' || substr(o_orderpriority, 1, 1))"
 
 
-def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FB1: one survey record per order, five sources S1..S5."""
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    ck = F.col("o_custkey")
-    src = F.concat(F.lit("S"), F.substring("o_orderpriority", 1, 1))
-    dbl = lambda c: c.cast("double")
-    cols = [
-        k.alias("rec_id"),
-        ck.alias("cust_id"),
-        src.alias("DatasetSource"),
-        F.when(k % 7 == 0, None).otherwise(4.0 + dbl(ck % 9)).alias("WorkHours"),
-        F.when(k % 11 == 0, None).otherwise(3.0 + dbl(k % 13) / 2.0).alias("SleepHours"),
-        F.when((F.substring("o_orderpriority", 1, 1) == "5") | (k % 3 == 0), None)
-        .otherwise(dbl(ck % 70)).alias("ScreenTime"),
-        (dbl((k * 37) % 101) / 10.0).alias("WorkStress"),
-        (dbl((ck * 13) % 101) / 10.0).alias("EmotionalExhaustion"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("RiskCategory"),
-        # FB3 score and label on the same rows, for scoring operators
-        (dbl((k * 7919) % 1000) / 1000.0).alias("p"),
-        F.when((k * 7919) % 1000 + ck % 600 > 900, 1).otherwise(0).alias("y"),
-    ]
-    for name, prime, m, d, lo, rule in FB1_NUMERIC:
-        value = F.lit(float(lo)) + dbl((k * prime) % m) / float(d)
-        cond = _null_cond_spark(rule, k, src)
-        cols.append((value if cond is None else F.when(cond, None).otherwise(value)).alias(name))
-    for n in range(1, DASS_ITEM_COUNT + 1):
-        cols.append((1 + (k * (2 * n + 1)) % 4).cast("int").alias(f"Q{n}A"))
-    for n in range(1, PHQ_ITEM_COUNT + 1):
-        v = ((k * (2 * n + 3)) % 4).cast("int")
-        cols.append((F.when(k % 14 == 0, None).otherwise(v) if n == 9 else v).alias(f"item_phq{n}"))
-    for name, m, values in FB1_WORDS:
-        expr = F.lit(None).cast("string")
-        for i in range(len(values) - 1, -1, -1):
-            if values[i] is not None:
-                expr = F.when(k % m == i, F.lit(values[i])).otherwise(expr)
-        cols.append(expr.alias(name))
-    return o.select(*cols)
-
-
-def survey_pool_sql() -> str:
+def _pool_exprs(string_type: str) -> list[str]:
+    """FB1 column expressions, rendered from the spec in one SQL dialect."""
     parts = [
         "o_orderkey AS rec_id",
         "o_custkey AS cust_id",
         f"{_SRC_SQL} AS DatasetSource",
-        "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 4.0::DOUBLE + CAST(o_custkey % 9 AS DOUBLE) END AS WorkHours",
-        "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 3.0::DOUBLE + CAST(o_orderkey % 13 AS DOUBLE) / 2.0 END AS SleepHours",
-        "CASE WHEN substr(o_orderpriority,1,1) = '5' OR o_orderkey % 3 = 0 THEN NULL "
+        "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(4.0 AS DOUBLE) + CAST(o_custkey % 9 AS DOUBLE) END AS WorkHours",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(3.0 AS DOUBLE) + CAST(o_orderkey % 13 AS DOUBLE) / 2.0 END"
+        " AS SleepHours",
+        "CASE WHEN substr(o_orderpriority, 1, 1) = '5' OR o_orderkey % 3 = 0 THEN NULL "
         "ELSE CAST(o_custkey % 70 AS DOUBLE) END AS ScreenTime",
         "CAST((o_orderkey * 37) % 101 AS DOUBLE) / 10.0 AS WorkStress",
         "CAST((o_custkey * 13) % 101 AS DOUBLE) / 10.0 AS EmotionalExhaustion",
         "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS RiskCategory",
+        # FB3 score and label on the same rows, for scoring operators
         "CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 AS p",
         "CAST(CASE WHEN (o_orderkey * 7919) % 1000 + o_custkey % 600 > 900 THEN 1 ELSE 0 END AS INTEGER) AS y",
     ]
@@ -165,8 +128,17 @@ def survey_pool_sql() -> str:
         parts.append(f"{f'CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE {v} END' if n == 9 else v} AS item_phq{n}")
     for name, m, values in FB1_WORDS:
         whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
-        parts.append(f"CAST(CASE o_orderkey % {m} {whens} ELSE NULL END AS VARCHAR) AS {name}")
-    return "SELECT " + ",\n  ".join(parts) + "\nFROM orders"
+        parts.append(f"CAST(CASE o_orderkey % {m} {whens} ELSE NULL END AS {string_type}) AS {name}")
+    return parts
+
+
+def survey_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FB1: one survey record per order, five sources S1..S5 (one projection of ``orders``)."""
+    return table(spark, sf_dir, "orders").selectExpr(*_pool_exprs("STRING"))
+
+
+def survey_pool_sql() -> str:
+    return "SELECT " + ",\n  ".join(_pool_exprs("VARCHAR")) + "\nFROM orders"
 
 
 # ---------------------------------------------------------------- FB2

@@ -106,10 +106,15 @@ def source_coverage(df: DataFrame, columns: Sequence[str], source: str = "Datase
     )
 
 
-def quantile_label(df: DataFrame, column: str, q: float = 0.85, out: str = "label") -> DataFrame:
-    """label = value above the interpolated q-quantile (strict >); the cut is one number."""
+def quantile_label(df: DataFrame, column: str, q: float = 0.85, out: str = "label",
+                   inclusive: bool = True) -> DataFrame:
+    """label = value at or above the interpolated q-quantile (``inclusive``,
+    as the reference's ``>=``; strict ``>`` otherwise).  Null values label 0.
+    The cut is one number from one aggregation."""
     cut = df.agg(F.percentile(column, q).alias("_cut")).first()["_cut"]
-    return df.withColumn(out, F.coalesce(F.col(column) > F.lit(cut), F.lit(False)).cast("int"))
+    x = F.col(column)
+    hit = x >= F.lit(cut) if inclusive else x > F.lit(cut)
+    return df.withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
 
 
 def mode_by_group(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

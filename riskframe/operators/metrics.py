@@ -243,3 +243,47 @@ def rank_models(table: DataFrame, keys: Sequence[str] = ("recall", "f1", "roc_au
     """F2: order a model summary by Recall, F1, ROC-AUC (descending), with the rank."""
     w = Window.orderBy(*[F.col(k).desc() for k in keys], F.col(name))
     return table.withColumn("rank", F.row_number().over(w))
+
+
+# ------------------------------------------------------------------ J36: external validation
+def linear_scorer(weights: dict[str, float], intercept: float, lo: float = 0.01, hi: float = 0.99) -> Column:
+    """A fixed linear probability clipped to [lo, hi] (plain IEEE arithmetic, left to right)."""
+    z = F.lit(intercept)
+    for c, w in weights.items():
+        z = z + F.lit(w) * F.col(c)
+    return F.least(F.greatest(z, F.lit(lo)), F.lit(hi))
+
+
+def external_validation(df: DataFrame, label: Column, scenario: str, scale: Sequence[str],
+                        prob_integrated: Column, prob_clinical: Column, rename: dict | None = None) -> DataFrame:
+    """Audit one external scenario end to end.
+
+    The ground-truth label is computed on the raw columns *before* renaming
+    (as the reference does), then the scaling columns are numeric-coerced,
+    median-filled and min-max rescaled to 0-10 (H9), each row is routed to
+    the integrated or clinical model and banded (K5), and one row of metrics
+    comes back: AUC (0.0 when only one class is present), recall and
+    precision of ``needs_attention``, Brier of the rounded probability, and
+    the most frequent routing (ties to the first name).  Every step is an
+    aggregation or a projection; only the per-column statistics reach the
+    driver.
+    """
+    from .aggregates import minmax10
+    from .schema import rename_map
+    from .score import route_and_band
+    x = df.withColumn("GroundTruthLabel", F.coalesce(label, F.lit(False)).cast("int"))
+    if rename:
+        x = rename_map(x, rename)
+    x = minmax10(x, [c for c in scale if c in x.columns])
+    x = x.withColumns({"_p_int": prob_integrated, "_p_cli": prob_clinical})
+    r = route_and_band(x, "_p_int", "_p_cli").select(
+        F.lit(scenario).alias("Scenario"), F.col("GroundTruthLabel").alias("y"),
+        F.col("burnout_probability").alias("p"), "needs_attention", "selected_model")
+    y, pred = F.col("y"), F.col("needs_attention") == 1
+    tp, fp, fn = F.count_if(pred & (y == 1)), F.count_if(pred & (y != 1)), F.count_if(~pred & (y == 1))
+    base = r.groupBy("Scenario").agg(
+        _div0(tp, tp + fn).alias("Recall"), _div0(tp, tp + fp).alias("Precision"),
+        F.avg(F.pow(F.col("p") - y, 2)).alias("Brier"),
+        F.mode("selected_model", deterministic=True).alias("Routing"))
+    auc = roc_auc(r, "p", "y", ["Scenario"], single_class=0.0).withColumnRenamed("roc_auc", "AUC")
+    return base.join(auc, "Scenario").select("Scenario", "AUC", "Recall", "Precision", "Brier", "Routing")

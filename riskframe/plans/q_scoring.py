@@ -520,3 +520,61 @@ def q_jitter0(spark, sf_dir):
     base = half_even(F.col("PHQ9") * (2 / 9))
     return p.select("rec_id", clip(base, 0, 6).alias("PHQ2_noise0"),
                     clip(base + integer_jitter("rec_id", 42, "phq2"), 0, 6).alias("PHQ2_jittered"))
+
+
+# ------------------------------------------------------------------ J36: external validation
+EV_RENAME = {"work_hours": "WorkHours", "sleep_hours": "SleepHours", "screen_time_hours": "ScreenTime",
+             "burnout_score": "StressLevel", "meetings_count": "MeetingParticipation"}
+EV_SCALE = ["StressLevel", "WorkHours", "SleepHours", "ScreenTime"]
+# Stand-in models (fixed linear probabilities over the 0-10 rescaled columns); a
+# trained bundle's probability columns take their place in production.
+EV_INTEGRATED = ({"StressLevel": 0.06, "WorkHours": 0.02, "SleepHours": -0.02, "ScreenTime": 0.01}, 0.05)
+EV_CLINICAL = ({"StressLevel": 0.05, "SleepHours": -0.01}, 0.1)
+
+
+def _lin_sql(model) -> str:
+    weights, b = model
+    z = _lit(float(b))
+    for c, w in weights.items():
+        z = f"({z} + {_lit(float(w))} * {c})"
+    return f"least(greatest({z}, CAST(0.01 AS DOUBLE)), CAST(0.99 AS DOUBLE))"
+
+
+def _mm_sql(c):
+    return f"CASE WHEN hi_{c} > lo_{c} THEN 10 * ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 5.0 END AS {c}"
+
+
+@register("external_validation", f"""WITH {POOL},
+q AS (SELECT quantile_cont(StressLevel, 0.85) AS cut FROM pool),
+l AS (SELECT CAST(coalesce(StressLevel >= cut, false) AS INT) AS y, MeetingParticipation IS NOT NULL AS integ,
+             {', '.join(EV_SCALE)} FROM pool, q),
+m AS (SELECT {', '.join(f'median({c}) AS med_{c}' for c in EV_SCALE)} FROM l),
+f AS (SELECT y, integ, {', '.join(f'coalesce({c}, med_{c}) AS {c}' for c in EV_SCALE)} FROM l, m),
+r AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in EV_SCALE)} FROM f),
+x AS (SELECT y, integ, {', '.join(_mm_sql(c) for c in EV_SCALE)} FROM f, r),
+pr AS (SELECT y, integ, CASE WHEN integ THEN {_lin_sql(EV_INTEGRATED)} ELSE {_lin_sql(EV_CLINICAL)} END AS p0 FROM x),
+b AS (SELECT 'Workplace_Generalization' AS Scenario, y, round_even(p0, 4) AS p,
+             CAST(p0 >= CASE WHEN integ THEN 0.5 ELSE 0.4 END AS INT) AS na,
+             CASE WHEN integ THEN 'integrated' ELSE 'clinical' END AS sel FROM pr),
+t AS (SELECT Scenario, p AS score, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM b GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY Scenario ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         AS neg_below, sum(pos) OVER (PARTITION BY Scenario) AS P, sum(neg) OVER (PARTITION BY Scenario) AS N FROM t),
+a AS (SELECT Scenario, CASE WHEN max(P) = 0 OR max(N) = 0 THEN 0.0
+                            ELSE sum(pos * (neg_below + 0.5 * neg)) / (CAST(max(P) AS DOUBLE) * max(N)) END AS AUC
+      FROM c GROUP BY Scenario),
+g AS (SELECT Scenario, count_if(na = 1 AND y = 1) AS tp, count_if(na = 1 AND y <> 1) AS fp,
+             count_if(na <> 1 AND y = 1) AS fn, avg(pow(p - y, 2)) AS Brier FROM b GROUP BY Scenario),
+rt AS (SELECT Scenario, sel AS Routing FROM b GROUP BY Scenario, sel
+       QUALIFY row_number() OVER (PARTITION BY Scenario ORDER BY count(*) DESC, sel) = 1)
+SELECT g.Scenario, AUC, CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS Recall,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS Precision, Brier, Routing
+FROM g JOIN a ON g.Scenario = a.Scenario JOIN rt ON g.Scenario = rt.Scenario""")
+def q_external_validation(spark, sf_dir):
+    """Workplace scenario -- label at the 0.85 quantile of the raw score, then
+    rename, 0-10 rescale, route and band, metrics (one row)."""
+    raw = pool(spark, sf_dir).select(*[F.col(v).alias(k) for k, v in EV_RENAME.items()])
+    cut = raw.agg(F.percentile("burnout_score", 0.85)).first()[0]
+    label = F.col("burnout_score") >= F.lit(cut)
+    return M.external_validation(
+        raw, label, "Workplace_Generalization", EV_SCALE,
+        M.linear_scorer(*EV_INTEGRATED), M.linear_scorer(*EV_CLINICAL), rename=EV_RENAME)

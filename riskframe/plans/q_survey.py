@@ -373,9 +373,9 @@ def q_source_coverage(spark, sf_dir):
 
 
 @register("quantile_label", f"""WITH {POOL}, c AS (SELECT quantile_cont(WorkStress, 0.85) AS cut FROM pool)
-SELECT rec_id, CAST(coalesce(WorkStress > cut, false) AS INT) AS label FROM pool, c""")
+SELECT rec_id, CAST(coalesce(WorkStress >= cut, false) AS INT) AS label FROM pool, c""")
 def q_quantile_label(spark, sf_dir):
-    """label = above the interpolated 0.85 quantile."""
+    """label = at or above the interpolated 0.85 quantile."""
     return agg.quantile_label(pool(spark, sf_dir).select("rec_id", "WorkStress"), "WorkStress", 0.85).select(
         "rec_id", "label")
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_timeline", "q_survey", "q_scoring", "q_labels"]
+MODULES = ["q_timeline", "q_survey", "q_scoring", "q_labels", "q_models"]
 
 
 def load() -> None:

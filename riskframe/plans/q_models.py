@@ -322,3 +322,13 @@ def q_bundle_score(spark, sf_dir):
     assert loaded.features == BURN_FEATURES and loaded.threshold == 0.5
     return loaded.transform(b).select("rec_id", "p", "needs_attention",
                                       F.lit(loaded.name).alias("model"), F.lit(loaded.version).alias("version"))
+
+
+# ------------------------------------------------------------------ 2.M streaming extension
+@register("stream_daily_state")
+def q_stream_daily_state(spark, sf_dir):
+    """Optional streaming extension: events replayed as a file stream in time order,
+    watermark 1 hour, per-user daily state (closed days only)."""
+    from ..streaming import daily_state as DS
+    src = DS.split_by_time(fx.table(spark, sf_dir, "events"), scratch_path(spark, "events_feed"))
+    return DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"))

@@ -41,6 +41,15 @@ def coerce_numeric(c: ColumnOrName) -> Column:
     return F.when(s.rlike(NUMERIC_PATTERN), s.cast("double")).otherwise(null_double())
 
 
+def numeric_col(df, c: str) -> Column:
+    """``coerce_numeric`` that looks at the column type first: a numeric column is
+    only cast (NaN -> NULL), so the string round trip and regex run only on text."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[c].dataType, T.NumericType):
+        return nan_to_null(c)
+    return coerce_numeric(c)
+
+
 def clip(c: ColumnOrName, lo: float | None = None, hi: float | None = None) -> Column:
     """pandas ``clip``: bounds applied, NULL stays NULL."""
     c = col(c)

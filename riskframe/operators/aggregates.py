@@ -180,8 +180,8 @@ def minmax10(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     A column with no values becomes 5; a column without spread becomes 5.
     Statistics come from one aggregation (one small row on the driver).
     """
-    from ..functions import coerce_numeric
-    num = df.withColumns({c: coerce_numeric(c) for c in columns})
+    from ..functions import numeric_col
+    num = df.withColumns({c: numeric_col(df, c) for c in columns})
     med = collect_medians(num, columns)
     filled = num.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast("double")) for c in columns})
     row = filled.agg(*[F.min(c).alias(f"{c}__lo") for c in columns], *[F.max(c).alias(f"{c}__hi") for c in columns]).first()

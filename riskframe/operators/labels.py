@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (capitalize, clip, coerce_numeric, half_even, is_true, isin_false_on_null,
+from ..functions import (capitalize, clip, coerce_numeric, numeric_col, half_even, is_true, isin_false_on_null,
                          map_lookup, norm_key, row_sum)
 from ..functions.maps import (BINARY_LABEL_WORDS, BURNOUT_FREQUENCY_POSITIVE, BURNOUT_GENDER_WORDS,
                               BURNOUT_LEVEL_POSITIVE, DASS_PHQ2_ITEMS, DASS_STRESS_ITEMS,
@@ -64,7 +64,7 @@ def gender_code(df: DataFrame, column: str, variant: str = "depression", out: st
 def stress_target(df: DataFrame, out: str = "Target") -> DataFrame:
     """Composite stress target, OR of five rules; a NULL operand makes its rule false."""
     def num(c):
-        return coerce_numeric(c) if c in df.columns else F.lit(None).cast("double")
+        return numeric_col(df, c) if c in df.columns else F.lit(None).cast("double")
     ws, fe, dass, pss = num("WorkStress"), num("EmotionalExhaustion"), num("DASS_Stress"), num("PSS_10")
     rules = [dass >= 15, pss >= 20, ws >= 7.5, (ws > 7) & (fe > 7)]
     if "WorkHours" in df.columns and "SleepHours" in df.columns:
@@ -82,17 +82,18 @@ BURNOUT_RULES = ("direct_binary", "burnout_level_map", "burnout_score_threshold"
 def burnout_target(df: DataFrame, rule: str, column: str = "target_raw", out: str = "RiskCategory") -> DataFrame:
     """Five burnout target rules chosen per source."""
     x = F.col(column)
+    num = numeric_col(df, column)
     word = capitalize(F.trim(x.cast("string")))
     if rule == "direct_binary":
-        v = coerce_numeric(x).cast("int")
+        v = num.cast("int")
     elif rule == "burnout_level_map":
         v = isin_false_on_null(word, BURNOUT_LEVEL_POSITIVE).cast("int")
     elif rule == "burnout_score_threshold":
-        v = is_true(coerce_numeric(x) >= 60).cast("int")
+        v = is_true(num >= 60).cast("int")
     elif rule == "burnout_frequency_map":
         v = isin_false_on_null(word, BURNOUT_FREQUENCY_POSITIVE).cast("int")
     elif rule == "burnout_threshold_0.6":
-        v = is_true(coerce_numeric(x) >= 0.6).cast("int")
+        v = is_true(num >= 0.6).cast("int")
     else:
         raise ValueError(f"unknown burnout rule {rule}")
     return df.withColumn(out, v)

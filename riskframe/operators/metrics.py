@@ -104,6 +104,10 @@ def cumulative(scores: DataFrame, by: Sequence[str] = (), n_buckets: int = 64) -
     ``neg_above`` (strictly higher scores), plus group totals ``P`` and ``N``.
     """
     by = list(by)
+    # the distinct-score table feeds three consumers (edges, bucket totals, in-bucket
+    # prefix): materialise it once on the shared checkpoint folder so the raw rows are
+    # aggregated in one pass and lineage stops here
+    scores = scores.checkpoint()
     edges = scores.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 0.001) \
         if n_buckets > 1 else []
     edges = sorted(set(e for e in edges if e is not None))
@@ -286,4 +290,7 @@ def external_validation(df: DataFrame, label: Column, scenario: str, scale: Sequ
         F.avg(F.pow(F.col("p") - y, 2)).alias("Brier"),
         F.mode("selected_model", deterministic=True).alias("Routing"))
     auc = roc_auc(r, "p", "y", ["Scenario"], single_class=0.0).withColumnRenamed("roc_auc", "AUC")
-    return base.join(auc, "Scenario").select("Scenario", "AUC", "Recall", "Precision", "Brier", "Routing")
+    # one row per scenario on each side: merge by aggregation (no join on the literal key)
+    both = base.unionByName(auc, allowMissingColumns=True)
+    return both.groupBy("Scenario").agg(*[F.max(c).alias(c) for c in ("AUC", "Recall", "Precision", "Brier",
+                                                                     "Routing")])

@@ -88,7 +88,8 @@ def words_or_numbers(df: DataFrame, mapping: dict[str, dict]) -> DataFrame:
 
 def scale_cols(df: DataFrame, factors: dict[str, float]) -> DataFrame:
     """Coerce then multiply listed columns by a factor."""
-    return df.withColumns({c: coerce_numeric(c) * float(f) for c, f in factors.items() if c in df.columns})
+    from ..functions import numeric_col
+    return df.withColumns({c: numeric_col(df, c) * float(f) for c, f in factors.items() if c in df.columns})
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -64,9 +64,15 @@ class OneHot:
     drop_first: bool = False
     prefix: str | None = None
     categories: list = field(default_factory=list)
+    max_levels: int = 1000
 
     def fit(self, df: DataFrame) -> "OneHot":
-        levels = [r[0] for r in df.select(self.column).filter(F.col(self.column).isNotNull()).distinct().collect()]
+        """Distinct levels reach the driver only under a checked bound (one output column
+        per level): more than ``max_levels`` raises instead of collecting them."""
+        levels = [r[0] for r in df.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
+                  .limit(self.max_levels + 1).collect()]
+        if len(levels) > self.max_levels:
+            raise ValueError(f"{self.column}: more than {self.max_levels} levels; one-hot is not suitable")
         self.categories = sorted(levels)
         return self
 

@@ -52,7 +52,10 @@ def user_split(df: DataFrame, user: str = "user_id", source: str = "Source",
     rest test; all other users: first 80 % train, rest val.  Cut = floor(frac * n).
     Returns ``df`` with a ``Split`` column (joined back on the user key)."""
     users = df.select(user, F.col(source)).groupBy(user).agg(F.max(F.col(source) == primed_source).alias("_primed"))
-    ranked = hash_rank(users, user, ["_primed"], seed)
+    # the distinct-user table feeds both branches of the exact rank (counts and
+    # positions): write it once to the shared checkpoint folder instead of
+    # re-scanning the row table for each branch
+    ranked = hash_rank(users.checkpoint(), user, ["_primed"], seed)
     frac = F.when(F.col("_primed"), F.lit(primed_train_frac)).otherwise(F.lit(train_frac))
     cut = F.floor(F.col("_stratum_n") * frac)
     split = ranked.select(

@@ -26,6 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .prep import MedianImputer, PopulationScaler
 
@@ -283,3 +284,68 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
     rank = {r[0]: i + 1 for i, r in enumerate(ranked)}
     return spark.createDataFrame([(*r, rank[r[0]]) for r in rows],
                                  "trial int, params string, mean_recall double, rank int")
+
+
+# -------------------------------------------------------------------- J23: permutation importance
+def _coprime_multipliers(n: int, count: int, seed: int) -> list[int]:
+    """``count`` distinct multipliers coprime to ``n`` (each defines a permutation of 0..n-1)."""
+    from math import gcd
+    rng = random.Random(seed)
+    out: list[int] = []
+    while len(out) < count:
+        a = rng.randrange(1, max(2, n)) if n > 2 else 1
+        if gcd(a, n) == 1 and (a not in out or n <= 2):
+            out.append(a)
+    return out
+
+
+def permuted_copies(df: DataFrame, key: str, features: Sequence[str], seed: int = 42) -> DataFrame:
+    """``df`` once unchanged (``_feature = ''``) plus one copy per feature whose values are
+    permuted across rows; every other column stays in place.
+
+    One exact hash rank orders the rows; feature ``f`` moves the value at rank
+    ``(a_f * r + b_f) mod n`` to rank ``r`` (``a_f`` coprime to ``n``: a bijection).  The
+    values are unpivoted once and every copy finds its value with ONE equi-join on
+    (feature, source rank), so the cost is one rank plus one shuffle of n x F rows.
+    """
+    from .splits import hash_rank
+    feats = list(features)
+    ranked = hash_rank(df, key, [], seed, rank_col="_r").withColumn("_r", F.col("_r") - 1).checkpoint()
+    n = ranked.count()
+    if n == 0:
+        return ranked.drop("_r", "_stratum_n").withColumn("_feature", F.lit(""))
+    mult = _coprime_multipliers(n, len(feats), seed)
+    rng = random.Random(seed + 1)
+    shift = [rng.randrange(n) for _ in feats]
+    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in feats)
+    values = ranked.selectExpr("_r AS _src", f"stack({len(feats)}, {stack}) AS (_feature, _value)")
+    src = F.lit(None).cast("long")
+    for f, a, b in zip(feats, mult, shift):
+        src = F.when(F.col("_feature") == f, F.pmod(F.col("_r") * a + b, F.lit(n))).otherwise(src)
+    copies = ranked.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in feats]))).withColumn("_src", src)
+    moved = copies.join(values, ["_feature", "_src"]).withColumns(
+        {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f).cast("double")) for f in feats})
+    cols = [c for c in df.columns] + ["_feature"]
+    original = ranked.withColumn("_feature", F.lit("")).withColumns({f: F.col(f).cast("double") for f in feats})
+    return original.select(*cols).unionByName(moved.select(*cols))
+
+
+def permutation_importance(spark: SparkSession, bundle: Bundle, df: DataFrame, key: str,
+                           features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """J23 (re-aimed): AUC drop when one feature is permuted, plus its share of the total drop.
+
+    All copies are scored in one job and their AUCs come from one grouped AUC
+    pass.  Returns (feature, importance, share_pct).
+    """
+    from . import metrics as M
+    from .aggregates import importance_share
+    feats = list(features or bundle.features)
+    scored = bundle.transform(permuted_copies(df, key, feats, seed)).select(
+        "_feature", "p", F.col(bundle.label).alias("y"))
+    auc = M.roc_auc(scored, "p", "y", ["_feature"])
+    # one row per feature: the base AUC reaches every row through a window over that small table
+    base = F.max(F.when(F.col("_feature") == "", F.col("roc_auc"))).over(Window.partitionBy())
+    imp = auc.withColumn("_base", base).filter(F.col("_feature") != "").select(
+        F.col("_feature").alias("feature"), (F.col("_base") - F.col("roc_auc")).alias("importance"))
+    return imp.join(importance_share(imp, "feature", "importance"), "feature").select(
+        "feature", "importance", "share_pct")

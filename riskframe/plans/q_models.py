@@ -333,3 +333,13 @@ def q_stream_daily_state(spark, sf_dir):
     from ..streaming import daily_state as DS
     src = DS.split_by_time(fx.table(spark, sf_dir, "events"), scratch_path(spark, "events_feed"))
     return DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"))
+
+
+# ------------------------------------------------------------------ J23 permutation importance
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    """Permutation importance (AUC drop) of the forest's stress features on the test split."""
+    s = stress_table(spark, sf_dir)
+    train, test = _split(s, "rec_id", "Target")
+    b = TR.Bundle("forest", STRESS_OUT, "Target", "forest", params=FOREST_SMALL).fit(train)
+    return TR.permutation_importance(spark, b, test, "rec_id")

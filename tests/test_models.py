@@ -159,3 +159,26 @@ def test_stream_matches_batch_on_closed_days(spark):
     missing = batch.merge(out[["user_id", "day"]], how="left", indicator=True)
     missing = missing[missing._merge == "left_only"]
     assert (missing.day.to_numpy() >= missing.user_id.map(last).to_numpy() - np.timedelta64(1, "D")).all()
+
+
+def test_permuted_copies_are_permutations(spark):
+    df = _tab(spark).withColumn("c", F.col("k") * 10.0)
+    out = TR.permuted_copies(df, "k", ["b", "c"], 5).toPandas()
+    base = df.toPandas().sort_values("k")
+    assert len(out) == 3 * 400
+    for f in ["", "b", "c"]:
+        part = out[out._feature == f].sort_values("k")
+        assert part.k.tolist() == base.k.tolist()
+        for col in ["a", "b", "c"]:
+            same = np.array_equal(part[col].to_numpy(), base[col].to_numpy(), equal_nan=True)
+            if col == f:
+                assert not same and sorted(part[col]) == sorted(base[col])
+            else:
+                assert same
+
+
+def test_permutation_importance_finds_the_signal(spark):
+    df = _tab(spark).withColumn("noise", F.rand(3))
+    b = TR.Bundle("lr", ["a", "b", "noise"], "y", "logreg").fit(df)
+    out = {r.feature: r.importance for r in TR.permutation_importance(spark, b, df, "k").collect()}
+    assert out["a"] > out["b"] > out["noise"] - 0.02

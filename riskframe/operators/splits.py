@@ -4,13 +4,17 @@ The reference shuffles a list on the driver.  Here every record gets a
 portable pseudo-random order key (md5 of key and seed), and its exact rank
 inside its stratum is computed without sending a stratum to one task:
 
-1. a bucket = leading hex digits of the order key (uniform, 16^k buckets);
+1. a bucket = leading hex digits of the order key (uniform, 16^k buckets; k=5
+   by default: about 10^6 buckets, so even a stratum of 10^11 rows puts about
+   10^5 rows in one in-bucket window, and small inputs only create the
+   buckets they occupy);
 2. per-(stratum, bucket) counts -> a small table -> prefix sums give each
    bucket's starting offset and the stratum size;
 3. ``row_number`` inside (stratum, bucket) plus the offset is the exact rank.
 
 A stratum holding a third of all rows is spread over all buckets, so no
-task ever holds more than about ``rows / 16^k`` records.  The offset table is
+task ever holds more than about ``rows / 16^k`` records.  Bucket prefixes
+preserve the hash order, so the ranks do not depend on ``k``.  The offset table is
 joined without a hint: its size is groups x buckets and AQE broadcasts it
 only when its measured size is under the broadcast threshold.
 """
@@ -27,7 +31,7 @@ from ..functions import stable_hash_order
 
 
 def hash_rank(df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 42,
-              prefix_hex: int = 3, rank_col: str = "_rank", size_col: str = "_stratum_n") -> DataFrame:
+              prefix_hex: int = 5, rank_col: str = "_rank", size_col: str = "_stratum_n") -> DataFrame:
     """Add the exact 1-based rank of each row inside its stratum, ordered by md5(key#seed)."""
     strata = list(strata)
     h = df.withColumn("_h", stable_hash_order(key, seed)).withColumn(

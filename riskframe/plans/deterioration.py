@@ -30,12 +30,15 @@ def timeline_audit(features: DataFrame, source: str = "Depression_14D", crisis:
     """The first test user of ``source`` reaching the crisis class, all its rows in order.
 
     "First" is the smallest user key (file order does not exist in Spark).  The
-    user is found by one aggregation and joined back with a semi join.
+    user is one scalar from one aggregation; filtering on it afterwards lets
+    Catalyst push the predicate below the user-partitioned windows, so the
+    second pass only touches that user's rows (a semi join would recompute the
+    whole timeline for every user).
     """
     test = features.filter(F.col("Split") == split)
-    pick = (test.filter((F.col("Target") == crisis) & (F.col("Source") == source))
-            .agg(F.min("user_id").alias("user_id")))
-    rows = test.join(pick, on="user_id", how="left_semi")
+    uid = (test.filter((F.col("Target") == crisis) & (F.col("Source") == source))
+           .agg(F.min("user_id").alias("user_id")).first()["user_id"])
+    rows = test.filter(F.col("user_id") == F.lit(uid)) if uid is not None else test.filter(F.lit(False))
     cols = ["user_id", "timepoint", "CompositeRisk", "Target"] + ([prob_col] if prob_col else [])
     return rows.select(*cols).orderBy("timepoint")
 

@@ -4,10 +4,9 @@ The reference shuffles a list on the driver.  Here every record gets a
 portable pseudo-random order key (md5 of key and seed), and its exact rank
 inside its stratum is computed without sending a stratum to one task:
 
-1. a bucket = leading hex digits of the order key (uniform, 16^k buckets; k=5
-   by default: about 10^6 buckets, so even a stratum of 10^11 rows puts about
-   10^5 rows in one in-bucket window, and small inputs only create the
-   buckets they occupy);
+1. a bucket = leading hex digits of the order key (uniform, 16^k buckets; k is
+   chosen from one row count so a bucket holds about 50,000 rows: k=1 for
+   10^5 rows, k=6 -- 16.7M buckets -- from about 10^11 rows);
 2. per-(stratum, bucket) counts -> a small table -> prefix sums give each
    bucket's starting offset and the stratum size;
 3. ``row_number`` inside (stratum, bucket) plus the offset is the exact rank.
@@ -21,6 +20,7 @@ only when its measured size is under the broadcast threshold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -30,10 +30,17 @@ from pyspark.sql.window import Window
 from ..functions import stable_hash_order
 
 
+def bucket_digits(n: int, rows_per_bucket: int = 50_000) -> int:
+    """Hex digits of the hash prefix so that one bucket holds about ``rows_per_bucket`` rows."""
+    return max(1, min(6, math.ceil(math.log(max(n, 1) / rows_per_bucket, 16)) if n > rows_per_bucket else 1))
+
+
 def hash_rank(df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 42,
-              prefix_hex: int = 5, rank_col: str = "_rank", size_col: str = "_stratum_n") -> DataFrame:
+              prefix_hex: int | None = None, rank_col: str = "_rank", size_col: str = "_stratum_n") -> DataFrame:
     """Add the exact 1-based rank of each row inside its stratum, ordered by md5(key#seed)."""
     strata = list(strata)
+    if prefix_hex is None:
+        prefix_hex = bucket_digits(df.count())
     h = df.withColumn("_h", stable_hash_order(key, seed)).withColumn(
         "_bucket", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int"))
     counts = h.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))

@@ -7,8 +7,9 @@ row pairs:
    (``T`` from one count, so a tile's size is bounded whatever the skew of
    any other column);
 2. every (query tile, reference tile) pair is one ``cogroup`` task: numpy
-   computes the tile's distance block and keeps only each query row's
-   ``k`` nearest -- at most ``k`` rows per query leave the task;
+   computes the distance block in chunks of 2,048 query rows (bounded
+   memory) and keeps only each query row's ``k`` nearest -- at most ``k``
+   rows per query leave the task;
 3. the ``T * k`` candidates of a query are merged by key (``row_number``
    over ``dist, ref_id``) to the exact ``k`` nearest.
 
@@ -36,28 +37,34 @@ from .splits import hash_rank
 _KNN_SCHEMA = "qid long, rid long, dist double"
 
 
-def _tile_knn(k: int):
+def _tile_knn(k: int, chunk: int = 2048):
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
-        xq = np.stack(q["vec"].to_numpy()).astype(np.float64)
         xr = np.stack(r["vec"].to_numpy()).astype(np.float64)
-        qid, rid = q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64)
-        d2 = (xq * xq).sum(1)[:, None] + (xr * xr).sum(1)[None, :] - 2.0 * xq @ xr.T
-        d2 = np.maximum(d2, 0.0)
-        d2[qid[:, None] == rid[None, :]] = np.inf           # a row is not its own neighbour
+        rid = r["id"].to_numpy(np.int64)
+        rr = (xr * xr).sum(1)[None, :]
         kk = min(k, xr.shape[0])
-        # k smallest per row; ties broken by reference id for determinism
-        order = np.lexsort((np.broadcast_to(rid, d2.shape), d2), axis=1)[:, :kk]
-        dist = np.take_along_axis(d2, order, axis=1)
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"qid": np.repeat(qid, kk)[keep.ravel()], "rid": rid[order].ravel()[keep.ravel()],
-                             "dist": np.sqrt(dist.ravel()[keep.ravel()])})
+        parts = []
+        # query rows in chunks: memory per step is chunk x tile, whatever the tile size
+        for lo in range(0, len(q), chunk):
+            qc = q.iloc[lo:lo + chunk]
+            xq = np.stack(qc["vec"].to_numpy()).astype(np.float64)
+            qid = qc["id"].to_numpy(np.int64)
+            d2 = np.maximum((xq * xq).sum(1)[:, None] + rr - 2.0 * xq @ xr.T, 0.0)
+            d2[qid[:, None] == rid[None, :]] = np.inf           # a row is not its own neighbour
+            # k smallest per row; ties broken by reference id for determinism
+            order = np.lexsort((np.broadcast_to(rid, d2.shape), d2), axis=1)[:, :kk]
+            dist = np.take_along_axis(d2, order, axis=1)
+            keep = np.isfinite(dist).ravel()
+            parts.append(pd.DataFrame({"qid": np.repeat(qid, kk)[keep], "rid": rid[order].ravel()[keep],
+                                       "dist": np.sqrt(dist.ravel()[keep])}))
+        return pd.concat(parts, ignore_index=True)
     return run
 
 
-def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, tile_rows: int = 4096,
+def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, tile_rows: int = 32768,
                seed: int = 42) -> DataFrame:
     """Exact ``k`` nearest neighbours (Euclidean) of every row among the rows of ``df``.
 
@@ -76,7 +83,7 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, tile_rows:
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: int = 5, seed: int = 42,
-          n_new: int | None = None, tile_rows: int = 4096) -> DataFrame:
+          n_new: int | None = None, tile_rows: int = 32768) -> DataFrame:
     """Add synthetic minority rows until the classes balance (or ``n_new`` rows).
 
     Output: (id_col, vec_col, label, is_synthetic); synthetic ids are negative

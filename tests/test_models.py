@@ -182,3 +182,15 @@ def test_permutation_importance_finds_the_signal(spark):
     b = TR.Bundle("lr", ["a", "b", "noise"], "y", "logreg").fit(df)
     out = {r.feature: r.importance for r in TR.permutation_importance(spark, b, df, "k").collect()}
     assert out["a"] > out["b"] > out["noise"] - 0.02
+
+
+def test_knn_chunking_matches(spark):
+    from riskframe.operators.sampling import _tile_knn
+    import pandas as pd
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(50, 4))
+    df = pd.DataFrame({"id": np.arange(50, dtype=np.int64), "vec": list(x)})
+    a = _tile_knn(3, chunk=7)(df, df).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
+    b = _tile_knn(3, chunk=1000)(df, df).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
+    assert len(a) == 150 and a[["qid", "rid"]].equals(b[["qid", "rid"]])
+    assert np.allclose(a.dist, b.dist, rtol=0, atol=1e-12)

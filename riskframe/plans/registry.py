@@ -98,6 +98,9 @@ def oracle_sql_map() -> dict[str, str]:
 def query_map() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ensure_checkpoint_dir, tune_session
+            ensure_checkpoint_dir(spark)
+            tune_session(spark)
             return normalize(fn(spark, sf_dir))
         run.__name__ = getattr(fn, "__name__", "query")
         return run

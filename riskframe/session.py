@@ -20,6 +20,11 @@ LOCAL_DEFAULTS = {
     "spark.driver.memory": "8g",
 }
 
+# Wide projections (the ~150-column survey pool) generate stage methods larger than
+# the JVM's JIT limit (8,000 bytes of bytecode): they would run interpreted.  With
+# this limit Spark falls back to split, JIT-compilable projections instead.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
+
 
 def get_session(master: str | None = None, app_name: str = "riskframe", **conf) -> SparkSession:
     """Return the active session or build a local one with test defaults."""
@@ -33,9 +38,18 @@ def get_session(master: str | None = None, app_name: str = "riskframe", **conf)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    tune_session(spark)
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Apply :data:`TUNING` only where the session still has Spark's default value
+    (an explicit cluster setting always wins)."""
+    for key, (default, value) in TUNING.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

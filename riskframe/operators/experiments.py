@@ -97,7 +97,9 @@ def model_build(spark: SparkSession, df: DataFrame, key: str, label: str, featur
     data = split_cached(df, key, label)
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
     if oversample is not None:
-        train = oversample(train)
+        # the oversampled set (kNN + replicas) feeds every fold's statistics and fit:
+        # materialise it once on the shared checkpoint folder
+        train = oversample(train).checkpoint()
 
     def make():
         return Bundle(f"{label}_{kind}", list(features), label, kind, params=params)

@@ -124,10 +124,11 @@ INSIGHT_ACTIONS_ELEVATED = [
 INSIGHT_ENCOURAGEMENT = "We are here to support your journey. Take it one step at a time."
 INSIGHT_SAFETY_NOTE = "Consider professional support if these feelings persist."
 ELEVATED_LEVELS = ["HIGH", "SEVERE"]
+# (the original fallback summary also names the app's assistant; the name is left out)
 JOURNAL_FALLBACK = {
     "tone": "Reflective",
     "emotionalScore": 5.0,
-    "summary": "You've shared your thoughts with Nova.",
+    "summary": "You've shared your thoughts.",
     "suggestedAction": "Take a deep breath and acknowledge your feelings.",
     "detectedTriggers": [],
 }

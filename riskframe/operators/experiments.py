@@ -43,11 +43,16 @@ def split_cached(df: DataFrame, key: str, label: str, strata: Sequence[str] = ()
 def ablation(df: DataFrame, key: str, label: str, variants: dict[str, Sequence[str]], kind: str = "gbt",
              threshold: float = 0.5, **params) -> DataFrame:
     """One fit per feature subset on the same split; one metric row per variant."""
+    from .prep import MedianImputer, PopulationScaler
     data = split_cached(df, key, label)
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+    # medians and scaler statistics are per column: fit them once over every feature
+    every = sorted({f for feats in variants.values() for f in feats})
+    imp = MedianImputer(every).fit(train)
+    sc = PopulationScaler(every).fit(imp.transform(train))
     rows = []
     for name, feats in variants.items():
-        b = Bundle(name, list(feats), label, kind, threshold, params=params).fit(train)
+        b = Bundle(name, list(feats), label, kind, threshold, params=params).fit(train, imputer=imp, scaler=sc)
         rows.append(evaluate(b.transform(test), name, threshold, label=label, name_col="variant",
                              n_features=len(feats)))
     return reduce(DataFrame.unionByName, rows)

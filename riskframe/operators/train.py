@@ -100,9 +100,16 @@ class Bundle:
             out[name] = x
         return df.withColumns(out)
 
-    def fit(self, df: DataFrame, weight: str | None = None) -> "Bundle":
-        self.imputer = MedianImputer(self.features).fit(df)
-        self.scaler = PopulationScaler(self.features).fit(self.imputer.transform(df))
+    def fit(self, df: DataFrame, weight: str | None = None, imputer: MedianImputer | None = None,
+            scaler: PopulationScaler | None = None) -> "Bundle":
+        """Fit on ``df``.  ``imputer`` / ``scaler`` fitted earlier on the same rows over a
+        superset of the features are reused (per-column statistics, so the subset is exact)."""
+        if imputer is not None and scaler is not None:
+            self.imputer = MedianImputer(self.features, medians={c: imputer.medians[c] for c in self.features})
+            self.scaler = PopulationScaler(self.features, stats={c: scaler.stats[c] for c in self.features})
+        else:
+            self.imputer = MedianImputer(self.features).fit(df)
+            self.scaler = PopulationScaler(self.features).fit(self.imputer.transform(df))
         params = dict(self.params)
         if self.kind == "mlp" and "layers" not in params:
             params["layers"] = [len(self.features), 32, 16, 2]

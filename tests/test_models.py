@@ -194,3 +194,14 @@ def test_knn_chunking_matches(spark):
     b = _tile_knn(3, chunk=1000)(df, df).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
     assert len(a) == 150 and a[["qid", "rid"]].equals(b[["qid", "rid"]])
     assert np.allclose(a.dist, b.dist, rtol=0, atol=1e-12)
+
+
+def test_bundle_reuses_superset_statistics(spark):
+    from riskframe.operators.prep import MedianImputer, PopulationScaler
+    df = _tab(spark)
+    imp = MedianImputer(["a", "b"]).fit(df)
+    sc = PopulationScaler(["a", "b"]).fit(imp.transform(df))
+    own = TR.Bundle("lr", ["a"], "y", "logreg").fit(df)
+    shared = TR.Bundle("lr", ["a"], "y", "logreg").fit(df, imputer=imp, scaler=sc)
+    assert own.imputer.medians == shared.imputer.medians
+    assert np.allclose(own.scaler.stats["a"], shared.scaler.stats["a"])

@@ -41,13 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_arrow(df: DataFrame, fn, added: str) -> DataFrame:
+def with_arrow(df: DataFrame, fn, added: str, names: list[str] | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (DDL) that ``fn(batch) -> list of Arrow arrays`` makes of each record batch.
     The other columns pass as they are, whatever their types, names or nulls."""
     columns = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(columns))])  # own names: the input's may clash or repeat
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)
-    names = [part.split()[0] for part in added.split(",")]
+    names = names or [part.split()[0] for part in added.split(",")]
 
     def run(batches):
         for batch in batches:

@@ -6,17 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, mixing
 from .common import table
+from .decontaminate import contamination
+from .mixing import mix_sources
+from .pii import pii_report
 from .simhash import simhash_dedup
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: 95 % of the greatest entropy, at most 4 passes, as many tokens as there are."""
+    return mix_sources(table(spark, sf_dir, "documents"), budget_ratio=1.0, target_entropy=0.95, max_epochs=4.0,
+                       block_tokens=250_000, seed=7)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10-word windows of benchmark items in every whole document."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: 4-word shingles, at most 4 differing bits, over all whole documents."""
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op4_mixing": op4_mixing,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+}

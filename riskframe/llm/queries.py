@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, mixing
 from .common import table
 from .decontaminate import contamination
+from .lm import lm_scores
 from .mixing import mix_sources
 from .pii import pii_report
 from .simhash import simhash_dedup
@@ -25,6 +26,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        block_tokens=250_000, seed=7)
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modified Kneser-Ney scores of all whole texts; one tenth of the documents is held out of the training."""
+    return lm_scores(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of benchmark items in every whole document."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
@@ -38,6 +44,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
+    "op5_kneser_ney": op5_kneser_ney,
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
 }

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, mixing
 from .common import table
 from .decontaminate import contamination
+from .langid import language_report
 from .lm import lm_scores
 from .mixing import mix_sources
 from .pii import pii_report
+from .quality import quality_scores
 from .simhash import simhash_dedup
 
 
@@ -31,6 +33,16 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), folds=10)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document, learned from the labels outside one fifth of the documents."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned outside one fifth of the documents."""
+    return language_report(table(spark, sf_dir, "documents"), folds=5)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of benchmark items in every whole document."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
@@ -45,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_kneser_ney": op5_kneser_ney,
+    "op7_quality": op7_quality,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
 }

@@ -5,23 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, mixing
+from .ann import nearest
 from .common import table
 from .decontaminate import contamination
 from .langid import language_report
+from .licenses import license_scan
 from .lm import lm_scores
 from .mixing import mix_sources
+from .pages import main_texts
 from .pii import pii_report
 from .quality import quality_scores
 from .simhash import simhash_dedup
 
 
+def op1_adsampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10, probe_share=0.6)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files of a tree: source, thousands and hundreds of the id are the folders, and
+    documents of fewer than 60 words stand for the licence files of their folder."""
+    docs = table(spark, sf_dir, "documents")
+    short = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) < 60
+    name = F.concat(F.when(short, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000").cast("string"),
+                       F.expr("doc_id div 100").cast("string"), name)
+    return license_scan(docs.select("doc_id", "text", path.alias("path")), "doc_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: 95 % of the greatest entropy, at most 4 passes, as many tokens as there are."""
     return mix_sources(table(spark, sf_dir, "documents"), budget_ratio=1.0, target_entropy=0.95, max_epochs=4.0,
@@ -33,6 +53,11 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), folds=10)
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole document, learned from the labels outside one fifth of the documents."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
@@ -54,9 +79,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adsampling": op1_adsampling,
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_kneser_ney": op5_kneser_ney,
+    "op6_page_text": op6_page_text,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,

@@ -27,10 +27,11 @@ def uniform(key: ColumnOrName, lo: float, hi: float, seed: int = 42, tag: str =
     return F.lit(float(lo)) + unit_uniform(key, seed, tag) * float(hi - lo)
 
 
-def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: str = "", kmax: int = 40) -> Column:
+def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: str = "") -> Column:
     """Poisson(lam) by inverse CDF with the recurrence p_k = p_(k-1) * lam / k.
 
-    Exact for draws below ``kmax`` (the support is truncated there).
+    The recurrence runs as far as a 53-bit uniform can reach at the row's own rate, so no
+    draw is cut.
     """
     lam_c = F.lit(float(lam)) if isinstance(lam, (int, float)) else (F.col(lam) if isinstance(lam, str) else lam)
     u = unit_uniform(key, seed, tag)
@@ -43,8 +44,9 @@ def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: s
         res = F.when(acc["res"] >= 0, acc["res"]).when(u < cdf, k).otherwise(F.lit(-1))
         return F.struct(p.alias("p"), cdf.alias("cdf"), res.alias("res"))
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(kmax)), init, step)["res"]
-    return F.when(out < 0, F.lit(kmax)).otherwise(out).cast("int")
+    reach = F.ceil(lam_c + 12 * F.sqrt(lam_c) + 40).cast("int")
+    out = F.aggregate(F.sequence(F.lit(1), reach), init, step)["res"]
+    return F.when(out < 0, reach).otherwise(out).cast("int")
 
 
 def integer_jitter(key: ColumnOrName, seed: int = 42, tag: str = "") -> Column:

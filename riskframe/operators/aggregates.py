@@ -90,8 +90,8 @@ def dup_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Normalised value counts (NULL values dropped, as pandas) with a percent label."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    share = counts.withColumn("share", F.col("n") / total)
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number; the values stay spread
+    share = counts.withColumn("share", F.col("n") / F.lit(total))
     return share.withColumn("share_pct", F.format_string("%.1f%%", F.col("share") * 100))
 
 

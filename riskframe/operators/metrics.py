@@ -89,13 +89,14 @@ def pick_threshold(sweep: DataFrame, min_recall: float = 0.70, max_fpr: float =
 
 # ------------------------------------------------------------------ ranking metrics
 def score_table(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, distinct score) with positive / negative counts (partial aggregation)."""
+    """One row per (group, distinct score) with positive / negative counts (partial aggregation).
+    Rows without a score or a label rank nowhere and count for neither class."""
     y = F.col(label)
-    return df.groupBy(*by, F.col(score).alias("score")).agg(
+    return df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
 
 
-def cumulative(scores: DataFrame, by: Sequence[str] = (), n_buckets: int = 64) -> DataFrame:
+def cumulative(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int = 20_000) -> DataFrame:
     """Exact prefix sums of pos / neg over scores DESCENDING, two-level.
 
     Buckets are score ranges from approximate quantiles of the distinct
@@ -108,12 +109,12 @@ def cumulative(scores: DataFrame, by: Sequence[str] = (), n_buckets: int = 64) -
     # prefix): materialise it once on the shared checkpoint folder so the raw rows are
     # aggregated in one pass and lineage stops here
     scores = scores.checkpoint()
-    edges = scores.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 0.001) \
+    n_buckets = max(1, -(-scores.count() // rows_per_bucket))
+    edges = scores.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets) \
         if n_buckets > 1 else []
     edges = sorted(set(e for e in edges if e is not None))
-    bucket = F.lit(0)
-    for e in edges:
-        bucket = bucket + (F.col("score") > F.lit(e)).cast("int")
+    cuts = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    bucket = F.size(F.filter(cuts, lambda e: e < F.col("score"))) if edges else F.lit(0)
     s = scores.withColumn("_b", bucket)
     tot = s.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     # prefix over buckets with higher scores (small table: groups x buckets)

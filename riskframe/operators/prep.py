@@ -64,14 +64,16 @@ class OneHot:
     drop_first: bool = False
     prefix: str | None = None
     categories: list = field(default_factory=list)
-    max_levels: int = 1000
+    max_levels: int | None = None
 
     def fit(self, df: DataFrame) -> "OneHot":
-        """Distinct levels reach the driver only under a checked bound (one output column
-        per level): more than ``max_levels`` raises instead of collecting them."""
-        levels = [r[0] for r in df.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
-                  .limit(self.max_levels + 1).collect()]
-        if len(levels) > self.max_levels:
+        """One output column per level, so all levels reach the driver.  ``max_levels``, if given,
+        is a limit beyond which the fit raises."""
+        distinct = df.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
+        if self.max_levels is not None:
+            distinct = distinct.limit(self.max_levels + 1)
+        levels = [r[0] for r in distinct.collect()]
+        if self.max_levels is not None and len(levels) > self.max_levels:
             raise ValueError(f"{self.column}: more than {self.max_levels} levels; one-hot is not suitable")
         self.categories = sorted(levels)
         return self

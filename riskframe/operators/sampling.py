@@ -87,7 +87,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     """Add synthetic minority rows until the classes balance (or ``n_new`` rows).
 
     Output: (id_col, vec_col, label, is_synthetic); synthetic ids are negative
-    (``-(rank * 1_000_003 + replica + 1)``) so they never collide with source ids.
+    and below every source id: ``lowest - (rank + replica * n_minority)``.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                      F.col(label).alias("y"))
@@ -103,6 +103,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     mino = rows.filter(F.col("y") == minority).select("id", "vec")
     nn = knn_within(mino, "id", "vec", kk, tile_rows, seed)
     base_rep, extra = divmod(n_new, n_min)
+    lowest = min(0, rows.agg(F.min("id")).first()[0] or 0)
     ranked = hash_rank(mino, "id", [], seed)
     reps = ranked.withColumn("_reps", F.lit(base_rep) + (F.col("_rank") <= extra).cast("int"))
     rep = reps.filter(F.col("_reps") > 0).select(
@@ -114,7 +115,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     pick = rep.join(nn.select(F.col("qid").alias("id"), "nn_rank", "rid"), ["id", "nn_rank"])
     nbr = mino.select(F.col("id").alias("rid"), F.col("vec").alias("_nv"))
     syn = pick.join(nbr, "rid").select(
-        (-(F.col("_rank") * 1_000_003 + F.col("_j") + 1)).alias(id_col),
+        (F.lit(lowest) - (F.col("_rank") + F.col("_j").cast("long") * F.lit(n_min))).alias(id_col),
         F.zip_with("vec", "_nv", lambda a, b: a + F.col("_u") * (b - a)).alias(vec_col),
         F.lit(minority).alias(label), F.lit(True).alias("is_synthetic"))
     return original.unionByName(syn)

@@ -93,10 +93,11 @@ def scale_cols(df: DataFrame, factors: dict[str, float]) -> DataFrame:
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null fraction per column, one scan, returned long (column, null_fraction)."""
+    """Null fraction per column, one scan, returned long (column, null_fraction).
+    One count buffer per column and one for the rows."""
     columns = list(columns or df.columns)
-    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in columns])
+    pairs = ", ".join(f"'{c}', if(_rows = 0, null, (_rows - `{c}`) / _rows)" for c in columns)
     return wide.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, null_fraction)")
 
 

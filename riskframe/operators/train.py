@@ -328,7 +328,7 @@ def permuted_copies(df: DataFrame, key: str, features: Sequence[str], seed: int
     values = ranked.selectExpr("_r AS _src", f"stack({len(feats)}, {stack}) AS (_feature, _value)")
     src = F.lit(None).cast("long")
     for f, a, b in zip(feats, mult, shift):
-        src = F.when(F.col("_feature") == f, F.pmod(F.col("_r") * a + b, F.lit(n))).otherwise(src)
+        src = F.when(F.col("_feature") == f, _affine(F.col("_r"), a, b, n)).otherwise(src)
     copies = ranked.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in feats]))).withColumn("_src", src)
     moved = copies.join(values, ["_feature", "_src"]).withColumns(
         {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f).cast("double")) for f in feats})
@@ -337,6 +337,12 @@ def permuted_copies(df: DataFrame, key: str, features: Sequence[str], seed: int
     return original.select(*cols).unionByName(moved.select(*cols))
 
 
+def _affine(r, a: int, b: int, n: int):
+    """(r * a + b) mod n without overflow: decimal(38) holds the product of two 18-digit longs."""
+    wide = r.cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b).cast("decimal(19,0)")
+    return F.pmod(wide, F.lit(n).cast("decimal(19,0)")).cast("long")
+
+
 def permutation_importance(spark: SparkSession, bundle: Bundle, df: DataFrame, key: str,
                            features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """J23 (re-aimed): AUC drop when one feature is permuted, plus its share of the total drop.

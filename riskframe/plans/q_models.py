@@ -172,9 +172,9 @@ def q_train_multiclass(spark, sf_dir):
     Spark's GBT is binary only and one-vs-rest gives no probability column, so
     a weighted random forest provides the per-class probabilities."""
     t = deterioration_features(deterioration_targets(user_split(fx.timeline(spark, sf_dir))))
-    w = class_weights(t, "Target", boost={3: 1.5}).select("Target", "class_weight")
+    w = class_weights(t.filter(F.col("Split") == "train"), "Target", boost={3: 1.5}).select("Target", "class_weight")
     # one row per class (4): a size bounded by the label's cardinality, safe to broadcast
-    d = t.join(F.broadcast(w), "Target").withColumn("key", F.concat_ws("#", "user_id", "timepoint"))
+    d = t.join(F.broadcast(w), "Target", "left").withColumn("key", F.concat_ws("#", "user_id", "timepoint"))
     train, test = d.filter(F.col("Split") == "train"), d.filter(F.col("Split") != "train")
     b = TR.Bundle("deterioration", TL_FEATURES, "Target", "forest", params=FOREST_SMALL).fit(train, "class_weight")
     out = b.raw_transform(test)

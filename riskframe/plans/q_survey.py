@@ -14,9 +14,10 @@ from ..functions.maps import (BURNOUT_FREQUENCY_WORDS, FINANCIAL_STRESS_WORDS, H
                               STUDENT_STRESS_CODES, WORK_STEPS)
 from ..operators import aggregates as agg
 from ..operators import schema as sch
-from ..operators.splits import cap_sample, user_split
+from ..operators.splits import cap_sample, user_split_table
 from ..operators.timeline import deterioration_targets
 from ..sources import fixtures as fx
+from .q_timeline import CR, SPLIT, TARGETS, TL
 from .registry import register
 
 POOL = f"pool AS ({fx.survey_pool_sql()})"
@@ -298,24 +299,10 @@ def q_group_median_fill(spark, sf_dir):
     return agg.group_median_fill(p, MEDIAN_COLS).select("rec_id", *MEDIAN_COLS)
 
 
-@register("user_split", None)
-def _placeholder_user_split(spark, sf_dir):  # replaced below (needs the timeline SQL)
-    raise NotImplementedError
-
-
-from . import q_timeline as _qt  # noqa: E402
-from .registry import REGISTRY  # noqa: E402
-
-REGISTRY["user_split"].sql = f"WITH {_qt.TL}, {_qt.SPLIT} SELECT user_id, Split FROM split"
-
-
-def _q_user_split(spark, sf_dir):
+@register("user_split", f"WITH {TL}, {SPLIT} SELECT user_id, Split FROM split")
+def q_user_split(spark, sf_dir):
     """User-level 40/60 and 80/20 split; one row per user."""
-    t = fx.timeline(spark, sf_dir)
-    return user_split(t).select("user_id", "Split").distinct()
-
-
-REGISTRY["user_split"].fn = _q_user_split
+    return user_split_table(fx.timeline(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ D: aggregates
@@ -389,7 +376,7 @@ def q_mode_by_group(spark, sf_dir):
     return agg.mode_by_group(pool(spark, sf_dir), "ExerciseFreq", ["DatasetSource"])
 
 
-@register("distinct_users", f"""WITH {_qt.TL}
+@register("distinct_users", f"""WITH {TL}
 SELECT Source, count(DISTINCT user_id) AS distinct_user_id FROM tl GROUP BY 1""")
 def q_distinct_users(spark, sf_dir):
     """Distinct users per timeline source."""
@@ -421,7 +408,7 @@ def q_pos_weight(spark, sf_dir):
     return agg.pos_weight(pool(spark, sf_dir))
 
 
-@register("class_weights", f"""WITH {_qt.TL}, {_qt.CR}, {_qt.TARGETS},
+@register("class_weights", f"""WITH {TL}, {CR}, {TARGETS},
 c AS (SELECT Target, count(*) AS n_c FROM tgt WHERE Target IS NOT NULL GROUP BY 1)
 SELECT Target, n_c, CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c)
        * CASE WHEN Target = 3 THEN 1.5 ELSE 1.0 END AS class_weight FROM c""")

@@ -60,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = fallback or os.path.join("/tmp", "riskframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)

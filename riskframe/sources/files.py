@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import coerce_numeric
 from ..operators.schema import rename_map, tag_source
 
 
@@ -68,7 +69,7 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if spec.column_map:
         df = rename_map(df, spec.column_map)
     if spec.numeric:
-        df = df.withColumns({c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)") for c in spec.numeric if c in df.columns})
+        df = df.withColumns({c: coerce_numeric(F.col(f"`{c}`")) for c in spec.numeric if c in df.columns})
     return tag_source(df, spec.name)
 
 

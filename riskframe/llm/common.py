@@ -41,9 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts reach Python in batches of ``rows`` instead of Spark's default 10,000, so a worker holds some
+    megabytes of them. A setting of the cluster's own is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def with_arrow(df: DataFrame, fn, added: str, names: list[str] | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (DDL) that ``fn(batch) -> list of Arrow arrays`` makes of each record batch.
     The other columns pass as they are, whatever their types, names or nulls."""
+    small_batches(df.sparkSession)
     columns = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(columns))])  # own names: the input's may clash or repeat
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, text_or_empty, with_arrow, written
+from .common import small_batches, strings, text_or_empty, with_arrow, written
 
 #: Notices by SPDX identifier (short forms of public licence notices).
 TEMPLATES = {
@@ -43,6 +43,7 @@ def vocabulary() -> list[str]:
 def line_frequencies(files: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """(number of lines, lines that hold each template word) over all files.  Each task sends sums of the fixed
     vocabulary alone."""
+    small_batches(files.sparkSession)
     words = vocabulary()
     place = {w: i for i, w in enumerate(words)}
 

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import held_out, strings, text_or_empty, with_arrow, written
+from .common import held_out, small_batches, strings, text_or_empty, with_arrow, written
 from .tokens import hash_table, mix, token_groups
 
 #: Hashes of the marks before the first and after the last word.
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
 BLOB = "shard int, context binary, run binary, word binary, seen binary"
 WORDS = "shard int, word binary, seen binary, before binary, stats binary"
 
@@ -94,6 +94,8 @@ def look_up(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[n
 def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
     """Bigram counts, summed per about ``FLUSH_TOKENS`` tokens before the shuffle, as packed arrays by context shard."""
 
+    small_batches(docs.sparkSession)
+
     def blobs(held: list[tuple[np.ndarray, np.ndarray]]):
         word, context = (np.concatenate(x) for x in zip(*held))
         order = np.argsort((context & ~np.uint64(0xFFFFFF)) | (word >> np.uint64(40)))
@@ -193,7 +195,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *[d if 0 < d < k else k / 2 for k, d in enumerate(raw, 1)]])
 
 
-def train(docs: DataFrame, shard_chars: int = 24_000_000) -> dict:
+def train(docs: DataFrame, shard_chars: int = 12_000_000) -> dict:
     """Train on the column ``text`` of ``docs``.  The number of shards follows the text's size, so a shard stays at
     about ``shard_chars`` characters.  Only a few sums per shard reach the driver; the arrays never do."""
     spark = docs.sparkSession

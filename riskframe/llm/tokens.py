@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def pieces(texts: list[bytes], limit: int = CHUNK, overlap: int = 0) -> Iterator[tuple[list[int], list[bytes]]]:

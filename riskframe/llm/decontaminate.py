@@ -113,7 +113,8 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     """``docs`` without the documents in which a window of an item occurs."""
     hits = match_windows(docs, bench, id_col, text_col, item_col, item_text_col, size)
     hits = hits.select(F.col(id_col).alias("hit_id"), "text_hash").distinct()
-    same = F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("text_hash"))
+    same = docs[id_col].eqNullSafe(hits["hit_id"]) & (
+        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == hits["text_hash"])
     return docs.join(hits, same, "left_anti")
 
 

@@ -71,7 +71,7 @@ def choose_alpha(sources: DataFrame, budget_ratio: float, target_entropy: float
 
 
 def mixing_plan(tokens: DataFrame, budget_ratio: float = 1.0, target_entropy: float | None = 0.95,
-                max_epochs: float | None = 4.0, bucket_rows: int = 20_000) -> DataFrame:
+                max_epochs: float | None = 4.0, bucket_rows: int = 1_000) -> DataFrame:
     """Per source of ``tokens`` (source, tokens, u = row hash): tokens, weight, target_tokens, epochs, whole passes and
     ``cut``: rows with a hash up to it join the partial pass.
 

@@ -135,7 +135,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4,
              max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id (ties, that is repeated ids:
-    the smallest hash of the text).  The text is shuffled once, by fingerprint; of each task's copies only one row is."""
+    the smallest hash of the text).  The text is shuffled once, by fingerprint."""
     columns = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # own names: the input may use any
     key, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"

@@ -139,3 +139,5 @@ STRESS_SOURCE_WEIGHTS = {"Healthcare_Workforce": 2.0, "Remote_Work": 1.5, "Corpo
 DEPRESSION_SOURCE_WEIGHTS = {"University_Student": 10.0, "Global_2025": 6.0, "Student_Depression": 4.0}
 # fixed class weights of the recovered deterioration model
 DETERIORATION_CLASS_WEIGHTS = {0: 1.0, 1: 2.0, 2: 4.0, 3: 10.0}
+# size of the synthetic sample of the balanced experiment pool (the sampling is the operator's purpose)
+POOL_SYNTHETIC_ROWS = 16000

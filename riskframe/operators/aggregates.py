@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .ranks import null_safe, quantiles
+
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
 
@@ -23,19 +25,19 @@ def _stack(wide: DataFrame, columns: Sequence[str], value: str, keys: Sequence[s
     return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, {value})")
 
 
-def median_expr(c: str, exact: bool = True, accuracy: int = 100000):
-    """Exact interpolating median, or ``percentile_approx`` for huge cardinalities."""
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, accuracy).cast("double")
-
-
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Median per column (per group when ``by``), one aggregation, wide."""
-    aggs = [median_expr(c, exact).alias(c) for c in columns]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Median per column (per group when ``by``), wide.  Exact ones come from distributed ranks
+    (:mod:`.ranks`); ``exact=False`` takes ``percentile_approx`` in one aggregation."""
+    if not exact:
+        aggs = [F.percentile_approx(F.col(f"`{c}`").cast("double"), 0.5, 100000).alias(c) for c in columns]
+        return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return quantiles(df, columns, [0.5], by).withColumnsRenamed({f"q0_{i}": c for i, c in enumerate(columns)})
 
 
 def collect_medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float | None]:
-    """Global medians as a small dict (one aggregated row reaches the driver)."""
+    """Global medians as a small dict (one row reaches the driver)."""
+    if not columns:
+        return {}
     row = medians(df, columns, (), exact).first()
     return {c: (None if row[c] is None else float(row[c])) for c in columns}
 
@@ -64,19 +66,21 @@ def global_median_fill(df: DataFrame, columns: Sequence[str], exact: bool = True
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count / mean / std / min / 25% / 50% / 75% / max per column (exact quartiles).
 
-    One wide aggregation; then one row per column.
+    One wide aggregation, and the quartiles of all columns from one pass of distributed ranks; then one row per column.
     """
     aggs = []
     for c in columns:
         aggs += [F.count(c).cast("double").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.percentile(c, 0.25).alias(f"{c}__q25"), F.median(c).alias(f"{c}__q50"),
-                 F.percentile(c, 0.75).alias(f"{c}__q75"), F.max(c).cast("double").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    structs = ", ".join(
-        f"'{c}', " + ", ".join(f"`{c}__{s}`" for s in stats) for c in columns)
-    return wide.selectExpr(f"stack({len(columns)}, {structs}) AS (column, {', '.join(stats)})")
+                 F.max(c).cast("double").alias(f"{c}__max")]
+    stats = ["count", "mean", "std", "min", "max"]
+    structs = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{s}`" for s in stats) for c in columns)
+    moments = df.agg(*aggs).selectExpr(f"stack({len(columns)}, {structs}) AS (column, {', '.join(stats)})")
+    quarts = ["q25", "q50", "q75"]
+    structs = ", ".join(f"'{c}', " + ", ".join(f"q{j}_{i}" for j in range(3)) for i, c in enumerate(columns))
+    cuts = quantiles(df, columns, [0.25, 0.5, 0.75]).selectExpr(
+        f"stack({len(columns)}, {structs}) AS (column, {', '.join(quarts)})")
+    return moments.join(cuts, "column").select("column", "count", "mean", "std", "min", *quarts, "max")
 
 
 def dup_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -110,17 +114,19 @@ def quantile_label(df: DataFrame, column: str, q: float = 0.85, out: str = "labe
                    inclusive: bool = True) -> DataFrame:
     """label = value at or above the interpolated q-quantile (``inclusive``,
     as the reference's ``>=``; strict ``>`` otherwise).  Null values label 0.
-    The cut is one number from one aggregation."""
-    cut = df.agg(F.percentile(column, q).alias("_cut")).first()["_cut"]
+    The cut is one number from distributed ranks."""
+    cut = quantiles(df, [column], [q]).first()[0]
     x = F.col(column)
     hit = x >= F.lit(cut) if inclusive else x > F.lit(cut)
     return df.withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
 
 
 def mode_by_group(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Most frequent value; ties resolved to the smallest value."""
-    agg = F.mode(F.col(column), deterministic=True).alias(f"{column}_mode")
-    return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+    """Most frequent value; ties resolved to the smallest value; NULL for a group without values.
+    Values are counted first, so no task holds a group's values."""
+    counts = df.groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min_by("_v", F.struct(F.col("_v").isNull(), -F.col("_n"), F.col("_v"))).alias(f"{column}_mode")
+    return counts.groupBy(*by).agg(best) if by else counts.agg(best)
 
 
 def distinct_count(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.maps import (BINARY_LABEL_WORDS, BURNOUT_FREQUENCY_POSITIVE, BU
                               BURNOUT_LEVEL_POSITIVE, DASS_PHQ2_ITEMS, DASS_STRESS_ITEMS,
                               DEPRESSION_GENDER_WORDS, PHQ9_ITEMS)
 from ..functions.noise import integer_jitter
+from .splits import cap_sample
 
 # Standard DASS-42 depression item key (public scoring key): used when the
 # caller does not pass the list that the source mapping names.
@@ -164,6 +165,16 @@ def normalise_source(df: DataFrame, source: str = "DatasetSource", marker: str =
     }).drop("_screen_max")
 
 
+def balanced_pool(df: DataFrame, key: str, synthetic_rows: int | None = None, source: str = "DatasetSource",
+                  marker: str = "Synthetic") -> DataFrame:
+    """Every row of the non-synthetic sources (a NULL source counts as one) and an exact sample of
+    ``synthetic_rows`` rows of the synthetic ones; None, the default, takes them all."""
+    if synthetic_rows is None:
+        return df
+    synth = is_true(F.col(source).contains(marker))
+    return df.filter(~synth).unionByName(cap_sample(df.filter(synth), key, synthetic_rows))
+
+
 def holdout_map(df: DataFrame, column_map: dict[str, str], stress_col: str = "StressLevel",
                 label_col: str = "burnout_risk", positive: Sequence[str] = ("High", "Medium")) -> DataFrame:
     """Rename, stress/10 clipped to 0-10, label in {High, Medium}."""

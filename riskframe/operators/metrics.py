@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import before_in_order, in_ranges, null_safe
+
 DEFAULT_SWEEP = [0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 
 
@@ -96,40 +98,26 @@ def score_table(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[
         F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
 
 
-def cumulative(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int = 20_000) -> DataFrame:
+def cumulative(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact prefix sums of pos / neg over scores DESCENDING, two-level.
 
-    Buckets are score ranges from approximate quantiles of the distinct
-    scores (the edges are the only thing on the driver).  Within a bucket a
-    window orders only that bucket's distinct scores.  Adds ``pos_above`` and
-    ``neg_above`` (strictly higher scores), plus group totals ``P`` and ``N``.
+    Ranges follow (group, score), so a large group or one with a narrow score range is
+    spread as well.  Within a range a window orders only its distinct scores.  Adds
+    ``pos_above`` and ``neg_above`` (strictly higher scores), plus group totals ``P`` and ``N``.
     """
     by = list(by)
-    # the distinct-score table feeds three consumers (edges, bucket totals, in-bucket
-    # prefix): materialise it once on the shared checkpoint folder so the raw rows are
-    # aggregated in one pass and lineage stops here
-    scores = scores.checkpoint()
-    n_buckets = max(1, -(-scores.count() // rows_per_bucket))
-    edges = scores.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets) \
-        if n_buckets > 1 else []
-    edges = sorted(set(e for e in edges if e is not None))
-    cuts = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-    bucket = F.size(F.filter(cuts, lambda e: e < F.col("score"))) if edges else F.lit(0)
-    s = scores.withColumn("_b", bucket)
-    tot = s.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    # prefix over buckets with higher scores (small table: groups x buckets)
-    wb = Window.partitionBy(*by).orderBy(F.col("_b").desc()) if by else Window.orderBy(F.col("_b").desc())
-    wall = Window.partitionBy(*by) if by else Window.partitionBy()
-    tot = tot.select(*by, "_b",
-                     F.coalesce(F.sum("_bp").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_op"),
-                     F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_on"),
-                     F.sum("_bp").over(wall).alias("P"), F.sum("_bn").over(wall).alias("N"))
-    wi = Window.partitionBy(*by, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    inner = s.select("*", F.coalesce(F.sum("pos").over(wi), F.lit(0)).alias("_ip"),
-                     F.coalesce(F.sum("neg").over(wi), F.lit(0)).alias("_in"))
-    out = inner.join(tot, on=[*by, "_b"], how="inner")
-    return out.select(*by, "score", "pos", "neg", (F.col("_op") + F.col("_ip")).alias("pos_above"),
-                      (F.col("_on") + F.col("_in")).alias("neg_above"), "P", "N")
+    s = in_ranges(scores, by, "score")
+    keys = [*by, "_range"]
+    sums = s.groupBy(*keys).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), F.max("score").alias("_top"))
+    sums = before_in_order(sums, by, "_top", ["_bp", "_bn"], descending=True).drop("_bp", "_bn", "_top")
+    within = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding,
+                                                                                Window.currentRow)
+    inner = s.select("*", (F.sum("pos").over(within) - F.col("pos")).alias("_ip"),
+                     (F.sum("neg").over(within) - F.col("neg")).alias("_in"))
+    out = null_safe(inner, sums, keys)
+    return out.select(*by, "score", "pos", "neg", (F.col("_bp_before") + F.col("_ip")).alias("pos_above"),
+                      (F.col("_bn_before") + F.col("_in")).alias("neg_above"),
+                      F.col("_bp_total").alias("P"), F.col("_bn_total").alias("N"))
 
 
 def roc_auc(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = (),

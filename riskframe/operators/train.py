@@ -187,9 +187,15 @@ def fold_id(key: str, folds: int, seed: int = 42) -> Column:
 
 
 def isotonic_fit(scores: DataFrame, score: str = "p", label: str = "y"):
-    """Isotonic map score -> calibrated probability (clips outside the fitted range)."""
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p_cal").fit(
-        scores.withColumn(label, F.col(label).cast("double")))
+    """Isotonic map score -> calibrated probability (clips outside the fitted range).
+
+    Fitted on one row per distinct score, its mean label weighted by its rows: the same least-squares solution as on
+    raw rows.  Rows without a score or a label take no part.
+    """
+    known = scores.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    table = known.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_mean"),
+                                     F.count(F.lit(1)).cast("double").alias("_rows"))
+    return IsotonicRegression(featuresCol=score, labelCol="_mean", weightCol="_rows", predictionCol="p_cal").fit(table)
 
 
 def fold_calibrated(df: DataFrame, make: Callable[[], Bundle], key: str, folds: int = 5, seed: int = 42,

@@ -6,13 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import map_lookup
-from ..functions.maps import (DASS_STRESS_ITEMS, HOLDOUT_SOURCES, STRESS_SOURCE_WEIGHTS)
+from ..functions.maps import DASS_STRESS_ITEMS, POOL_SYNTHETIC_ROWS, STRESS_SOURCE_WEIGHTS
 from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import selection as SEL
 from ..operators.aggregates import global_median_fill, importance_share
 from ..operators.prep import MedianImputer, OneHot, PopulationScaler
-from ..operators.schema import missing_flags
 from ..operators.splits import cap_sample, holdout_split, source_weight, stratified_split
 from ..sources import fixtures as fx
 from .q_survey import BURNOUT_SOURCE_NAMES, POOL, STRESS_SOURCE_NAMES, _lit, pool, sql_cap, sql_map
@@ -264,16 +263,24 @@ def q_normalise_source(spark, sf_dir):
 
 
 @register("pool_balanced", f"""WITH {POOL},
-b AS (SELECT rec_id, {sql_map('DatasetSource', BURNOUT_SOURCE_NAMES)} AS DatasetSource FROM pool)
-SELECT rec_id, DatasetSource FROM b WHERE NOT contains(DatasetSource, 'Synthetic')
+b AS (SELECT rec_id, {sql_map('DatasetSource', BURNOUT_SOURCE_NAMES)} AS DatasetSource, StressLevel,
+        EmailSentiment AS ScreenTime FROM pool),
+m AS (SELECT DatasetSource, max(ScreenTime) AS mx FROM b GROUP BY 1),
+n AS (SELECT rec_id, DatasetSource,
+        CASE WHEN contains(DatasetSource, 'Synthetic') THEN 1 + 5 * StressLevel ELSE StressLevel END AS StressLevel,
+        CASE WHEN contains(DatasetSource, 'Synthetic') AND coalesce(mx <= 1, false) THEN ScreenTime * 12
+             ELSE ScreenTime END AS ScreenTime
+      FROM b LEFT JOIN m USING (DatasetSource))
+SELECT * FROM n WHERE NOT coalesce(contains(DatasetSource, 'Synthetic'), false)
 UNION ALL
-SELECT * FROM (SELECT rec_id, DatasetSource FROM b WHERE contains(DatasetSource, 'Synthetic')
-               ORDER BY md5(CAST(rec_id AS VARCHAR) || '#42'), rec_id LIMIT 16000)""")
+SELECT * FROM (SELECT * FROM n WHERE contains(DatasetSource, 'Synthetic')
+               ORDER BY md5(CAST(rec_id AS VARCHAR) || '#42'), rec_id LIMIT {POOL_SYNTHETIC_ROWS})""")
 def q_pool_balanced(spark, sf_dir):
-    """I22 variant C: every non-synthetic row plus an exact 16,000-row synthetic sample."""
-    b = pool(spark, sf_dir).select("rec_id", map_lookup(BURNOUT_SOURCE_NAMES, "DatasetSource").alias("DatasetSource"))
-    synth = F.col("DatasetSource").contains("Synthetic")
-    return b.filter(~synth).unionByName(cap_sample(b.filter(synth), "rec_id", 16000))
+    """I22 variant C: the normalised pool's non-synthetic rows plus an exact sample of its synthetic rows."""
+    b = pool(spark, sf_dir).select("rec_id", map_lookup(BURNOUT_SOURCE_NAMES, "DatasetSource").alias("DatasetSource"),
+                                   "StressLevel", F.col("EmailSentiment").alias("ScreenTime"))
+    return L.balanced_pool(L.normalise_source(b), "rec_id", synthetic_rows=POOL_SYNTHETIC_ROWS).select(
+        "rec_id", "DatasetSource", "StressLevel", "ScreenTime")
 
 
 @register("holdout_map", f"""WITH {POOL}
@@ -483,5 +490,3 @@ def q_importance_share(spark, sf_dir):
     mean = {c: sc.stats[c][0] for c in Z_COLS}
     return importance_share(SEL.linear_contributions(p, Z_COLS, coef, mean, "rec_id"))
 
-
-_ = (HOLDOUT_SOURCES, missing_flags)  # re-exported names used by callers

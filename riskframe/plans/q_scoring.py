@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import score as S
 from ..operators import text as T
 from ..operators.prep import PopulationScaler
+from ..operators.ranks import quantiles
 from ..operators.timeline import deterioration_targets, serve_deterioration
 from ..sources import fixtures as fx
 from . import q_timeline as qt
@@ -573,7 +574,7 @@ def q_external_validation(spark, sf_dir):
     """Workplace scenario -- label at the 0.85 quantile of the raw score, then
     rename, 0-10 rescale, route and band, metrics (one row)."""
     raw = pool(spark, sf_dir).select(*[F.col(v).alias(k) for k, v in EV_RENAME.items()])
-    cut = raw.agg(F.percentile("burnout_score", 0.85)).first()[0]
+    cut = quantiles(raw, ["burnout_score"], [0.85]).first()[0]
     label = F.col("burnout_score") >= F.lit(cut)
     return M.external_validation(
         raw, label, "Workplace_Generalization", EV_SCALE,

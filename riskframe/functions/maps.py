@@ -141,3 +141,9 @@ DEPRESSION_SOURCE_WEIGHTS = {"University_Student": 10.0, "Global_2025": 6.0, "St
 DETERIORATION_CLASS_WEIGHTS = {0: 1.0, 1: 2.0, 2: 4.0, 3: 10.0}
 # size of the synthetic sample of the balanced experiment pool (the sampling is the operator's purpose)
 POOL_SYNTHETIC_ROWS = 16000
+
+# --- fixed values: sources and per-source weights of the two burnout models ---
+INTEGRATED_SOURCES = ["Synthetic_Employee", "Remote_Work"]
+INTEGRATED_WEIGHTS = {"Remote_Work": 10.0}
+CLINICAL_SOURCES = ["Synthetic_Clinical_Backbone", "Healthcare_Workforce", "WFH_Corporate", "Remote_Work"]
+CLINICAL_WEIGHTS = {"Healthcare_Workforce": 15.0, "WFH_Corporate": 5.0, "Remote_Work": 5.0}

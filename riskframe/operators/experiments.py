@@ -8,14 +8,17 @@ returns a small metric DataFrame; metrics are distributed aggregations
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .splits import stratified_split
-from .train import Bundle
+from .aggregates import group_median_fill
+from .splits import source_weight, stratified_split
+from .train import Bundle, soft_vote
 
 
 def evaluate(scored: DataFrame, name: str, threshold: float, score: str = "p", label: str = "y",
@@ -59,35 +62,57 @@ def ablation(df: DataFrame, key: str, label: str, variants: dict[str, Sequence[s
 
 
 def experiment_grid(variants: dict[str, DataFrame], holdouts: dict[str, DataFrame], features: Sequence[str],
-                    label: str, kind: str = "gbt", threshold: float = 0.5, fill: float = 5.0,
-                    **params) -> DataFrame:
-    """Train one model per variant pool, score every hold-out (missing / bad values -> ``fill``)."""
+                    label: str, kinds: dict[str, dict], threshold: float = 0.5, fill: float = 5.0) -> DataFrame:
+    """Per variant pool a soft vote (J19) of the learners in ``kinds`` (kind -> parameters), scored on every
+    hold-out (missing / bad values -> ``fill``)."""
     rows = []
     for vname, pool in variants.items():
-        b = Bundle(vname, list(features), label, kind, threshold, params=params).fit(pool)
+        data = pool.checkpoint()  # read by every learner and its statistics
+        members = [Bundle(vname, list(features), label, kind, threshold, params=params).fit(data)
+                   for kind, params in kinds.items()]
         for hname, hold in holdouts.items():
             h = hold.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill)) for c in features})
-            rows.append(evaluate(b.transform(h), vname, threshold, label=label, name_col="variant",
+            rows.append(evaluate(soft_vote(h, members), vname, threshold, label=label, name_col="variant",
                                  holdout=hname))
     return reduce(DataFrame.unionByName, rows)
 
 
-def dual_model(df: DataFrame, key: str, label: str, integrated: Sequence[str], clinical: Sequence[str],
-               clinical_sources: Sequence[str] | None = None, source: str = "DatasetSource",
-               weight: str | None = None, kind: str = "gbt", thresholds: tuple[float, float] = (0.5, 0.4),
-               **params) -> tuple[Bundle, Bundle, DataFrame]:
-    """Integrated model on all sources, clinical model on the clinical sources (or all)."""
-    data = split_cached(df, key, label, [source])
-    train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    a = Bundle("integrated", list(integrated), label, kind, thresholds[0], params=params).fit(train, weight)
-    ctrain, ctest = train, test
-    if clinical_sources:
-        ctrain = train.filter(F.col(source).isin(list(clinical_sources)))
-        ctest = test.filter(F.col(source).isin(list(clinical_sources)))
-    b = Bundle("clinical", list(clinical), label, kind, thresholds[1], params=params).fit(ctrain, weight)
-    report = evaluate(a.transform(test), "integrated", thresholds[0], label=label).unionByName(
-        evaluate(b.transform(ctest), "clinical", thresholds[1], label=label))
-    return a, b, report
+@dataclass
+class SubModel:
+    """One model of :func:`dual_model`: its features, its sources (None: all) and its weight per source."""
+    features: Sequence[str]
+    sources: Sequence[str] | None = None
+    weights: dict[str, float] = field(default_factory=dict)
+    threshold: float = 0.5
+
+
+def dual_model(df: DataFrame, key: str, label: str, models: dict[str, SubModel], source: str = "DatasetSource",
+               kind: str = "gbt", **params) -> tuple[dict[str, Bundle], DataFrame]:
+    """One model per entry, each on its own sources, with gaps filled by the source's median (J1) and its own
+    weights (J8).  Returns the bundles and one metric row per model over the held-out rows of its sources."""
+    bundles, rows = {}, []
+    for name, m in models.items():
+        part = df if m.sources is None else df.filter(F.col(source).isin(list(m.sources)))
+        gaps = [f for f in m.features if not f.endswith("_missing")]
+        data = split_cached(source_weight(group_median_fill(part, gaps, source), m.weights, source), key, label, [source])
+        b = Bundle(name, list(m.features), label, kind, m.threshold, params=params)
+        bundles[name] = b.fit(data.filter(~F.col("is_test")), "sample_weight")
+        rows.append(evaluate(b.transform(data.filter("is_test")), name, m.threshold, label=label))
+    return bundles, reduce(DataFrame.unionByName, rows)
+
+
+def save_calibrated(spark: SparkSession, members: Sequence[tuple[Bundle, object]], path: str) -> str:
+    """Base bundles and their calibration maps as one saved model."""
+    for i, (b, iso) in enumerate(members):
+        b.save(spark, f"{path}/member_{i}")
+        iso.write().overwrite().save(f"{path}/calibrator_{i}")
+    return path
+
+
+def load_calibrated(spark: SparkSession, path: str, members: int) -> list[tuple[Bundle, object]]:
+    """The members written by :func:`save_calibrated`, ready for ``calibrated_transform``."""
+    return [(Bundle.load(spark, f"{path}/member_{i}"), IsotonicRegressionModel.load(f"{path}/calibrator_{i}"))
+            for i in range(members)]
 
 
 def model_build(spark: SparkSession, df: DataFrame, key: str, label: str, features: Sequence[str],
@@ -96,7 +121,7 @@ def model_build(spark: SparkSession, df: DataFrame, key: str, label: str, featur
                 sweep: Sequence[float] = tuple(i / 100 for i in range(5, 100, 5)), save_to: str | None = None,
                 **params) -> DataFrame:
     """Split -> (oversample) -> fit (fold-calibrated) -> pick threshold on the test
-    sweep (F5) -> evaluate -> (save bundle).  Returns the evaluation row with the
+    sweep (F5) -> evaluate -> (save the members with their calibration maps).  Returns the evaluation row with the
     chosen threshold and rule."""
     from .train import calibrated_transform, fold_calibrated
     data = split_cached(df, key, label)
@@ -120,7 +145,10 @@ def model_build(spark: SparkSession, df: DataFrame, key: str, label: str, featur
     t = float(pick["threshold"]) if pick is not None and pick["threshold"] is not None else 0.5
     rule = pick["rule"] if pick is not None and "rule" in pick.asDict() else "none"
     if save_to:
-        for i, (b, _iso) in enumerate(members):
+        for b, _ in members:
             b.threshold = t
-            b.save(spark, f"{save_to}/member_{i}")
+        if calibrate:
+            save_calibrated(spark, members, save_to)
+        else:
+            members[0][0].save(spark, f"{save_to}/member_0")
     return evaluate(scored, f"{label}_{kind}", t, chosen_threshold=t, rule=rule)

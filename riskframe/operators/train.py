@@ -273,13 +273,14 @@ def sample_params(space: dict[str, list], n_iter: int, seed: int = 42) -> list[d
 
 def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str, kind: str,
                   space: dict[str, list], n_iter: int = 10, folds: int = 3, seed: int = 42,
-                  parallelism: int = 4) -> DataFrame:
+                  parallelism: int = 4, key: str = "rec_id") -> DataFrame:
     """Sampled parameter maps, ``folds``-fold cross validation scored by positive-class recall.
 
-    Returns (trial, params_json, mean_recall, rank)."""
+    Folds come from a hash of ``key``, so they do not move with the partitioning.  Returns (trial, params_json, mean_recall, rank)."""
     imp = MedianImputer(list(features)).fit(df)
     x = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
         imp.transform(df)).withColumn("label", F.col(label).cast("double"))
+    x = x.withColumn("_fold", F.coalesce(fold_id(key, folds, seed), F.lit(0)).cast("int"))
     est = classifier(kind, "label", "features")
     trials = sample_params(space, n_iter, seed)
     maps = []
@@ -290,7 +291,7 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
         maps.extend(g.build())
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
+                        parallelism=parallelism, foldCol="_fold")
     model = cv.fit(x)
     rows = [(i, json.dumps(t, sort_keys=True), float(m)) for i, (t, m) in enumerate(zip(trials, model.avgMetrics))]
     ranked = sorted(rows, key=lambda r: (-r[2], r[0]))

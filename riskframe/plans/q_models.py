@@ -12,19 +12,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import map_lookup
-from ..functions.maps import STRESS_SOURCE_WEIGHTS
+from ..functions.maps import (CLINICAL_SOURCES, CLINICAL_WEIGHTS, INTEGRATED_SOURCES, INTEGRATED_WEIGHTS,
+                              POOL_SYNTHETIC_ROWS, STRESS_SOURCE_WEIGHTS)
 from ..operators import experiments as X
 from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import train as TR
 from ..operators.sampling import smote
-from ..operators.splits import class_weights, source_weight, stratified_split, user_split
+from ..operators.splits import class_weights, source_weight, user_split
 from ..operators.timeline import deterioration_features, deterioration_targets
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import fixtures as fx
 from .q_labels import BURN_COLS, BURN_FLAGS, STRESS_IN, STRESS_OUT
-from .q_survey import STRESS_SOURCE_NAMES, pool
+from .q_survey import BURNOUT_SOURCE_NAMES, POOL, STRESS_SOURCE_NAMES, pool
 from .registry import register
 
 GBT_SMALL = {"maxIter": 20, "maxDepth": 4}
@@ -100,12 +101,12 @@ def q_json_scan(spark, sf_dir):
     return frames[0]
 
 
-@register("table_sink")
+@register("table_sink", f"WITH {POOL} SELECT rec_id, DatasetSource, WorkHours, SleepHours FROM pool")
 def q_table_sink(spark, sf_dir):
-    """Stage sink partitioned by source; a per-source read prunes to one partition."""
+    """Stage sink partitioned by source, read back whole (a per-source read prunes to one partition)."""
     path = FS.write_table(pool(spark, sf_dir).select("rec_id", "DatasetSource", "WorkHours", "SleepHours"),
                           scratch_path(spark, "stage"), partition_by=["DatasetSource"])
-    return spark.read.parquet(path).filter(F.col("DatasetSource") == "S1")
+    return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------------ J10: SMOTE
@@ -249,7 +250,8 @@ def q_ablation(spark, sf_dir):
         "Variant B (No Eng)": [f for f in allf if f not in ENGINEERED],
         "Variant C (No Proxies)": [f for f in allf if f not in PROXIES],
         "Variant D (Cross-Domain)": [f for f in allf if not f.startswith("DatasetSource")],
-        "Variant E (Target-Blind)": [f for f in allf if f not in LEAKY],
+        # without the target's own columns and everything computed from them
+        "Variant E (Target-Blind)": [f for f in allf if f not in LEAKY + ENGINEERED],
         "Variant F (Minimal)": ["SleepHours", "ScreenTime", "WorkHours", "Age", "ExperienceYears"],
     }
     return X.ablation(s, "rec_id", "Target", variants, "gbt", **GBT_SMALL)
@@ -258,40 +260,43 @@ def q_ablation(spark, sf_dir):
 BURN_FEATURES = ["DigitalOverloadIndex", "WorkloadIntensity", "StressLoad", "SleepDebt", "RecoveryScore"]
 
 
-def burnout_table(spark, sf_dir):
-    p = pool(spark, sf_dir).select("rec_id", "DatasetSource", "RiskCategory", "p", *BURN_COLS)
-    f = FE.feat_burnout(p)
+def burnout_table(spark, sf_dir, prepare=lambda p: p):
+    """Burnout features of the pool; ``prepare`` changes the raw rows first."""
+    p = pool(spark, sf_dir).select("rec_id", map_lookup(BURNOUT_SOURCE_NAMES, "DatasetSource").alias("DatasetSource"),
+                                   "RiskCategory", "p", "ScreenTime", *BURN_COLS)
+    f = FE.feat_burnout(prepare(p))
     return f.select("rec_id", "DatasetSource", "RiskCategory", *BURN_FEATURES,
                     *[f"{c}_missing" for c in BURN_FLAGS], "SlackActivity", "MeetingParticipation", "EmailSentiment")
 
 
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
-    """Three training pools x two hold-out sources (S4, S5 never trained on)."""
-    b = burnout_table(spark, sf_dir)
-    train_pool = b.filter(~F.col("DatasetSource").isin("S4", "S5"))
-    synth = F.col("DatasetSource") == "S1"
+    """Original, normalised and balanced pools (I22) x two hold-out sources that no pool holds; soft vote of
+    boosted trees and a forest."""
+    held = F.col("DatasetSource").isin("Student_Burnout", "WFH_Corporate")
+    plain = burnout_table(spark, sf_dir)
+    normal = burnout_table(spark, sf_dir, L.normalise_source).filter(~held)
     variants = {
-        "BASELINE": train_pool,
-        "NORMALIZED_MIXED": train_pool.withColumn(
-            "StressLoad", F.when(synth, F.col("StressLoad") * 0.8).otherwise(F.col("StressLoad"))),
-        "BALANCED_HYBRID": train_pool.filter(~synth).unionByName(
-            stratified_split(train_pool.filter(synth), "rec_id", ["RiskCategory"], 0.5).filter("is_test")
-            .drop("is_test")),
+        "BASELINE": plain.filter(~held),
+        "NORMALIZED_MIXED": normal,
+        "BALANCED_HYBRID": L.balanced_pool(normal, "rec_id", POOL_SYNTHETIC_ROWS),
     }
-    holdouts = {"Workplace_Success_Anchor": b.filter(F.col("DatasetSource") == "S5"),
-                "Psychological_Stress_Test": b.filter(F.col("DatasetSource") == "S4")}
-    return X.experiment_grid(variants, holdouts, BURN_FEATURES, "RiskCategory", "gbt", **GBT_SMALL)
+    holdouts = {"Workplace_Success_Anchor": plain.filter(F.col("DatasetSource") == "WFH_Corporate"),
+                "Psychological_Stress_Test": plain.filter(F.col("DatasetSource") == "Student_Burnout")}
+    return X.experiment_grid(variants, holdouts, BURN_FEATURES, "RiskCategory",
+                             {"gbt": GBT_SMALL, "forest": FOREST_SMALL})
 
 
 @register("dual_model")
 def q_dual_model(spark, sf_dir):
-    """Integrated (with integration columns) and clinical models, per-source weights."""
-    b = source_weight(burnout_table(spark, sf_dir), {"S1": 1.0, "S2": 2.0, "S3": 1.5, "S4": 1.5, "S5": 2.0})
-    integrated = BURN_FEATURES + [f"{c}_missing" for c in BURN_FLAGS]
-    clinical = ["StressLoad", "SleepDebt", "RecoveryScore"]
-    _a, _b, report = X.dual_model(b, "rec_id", "RiskCategory", integrated, clinical, weight="sample_weight",
-                                  **GBT_SMALL)
+    """Integrated model on the sources with workplace integrations, clinical model on its own four sources,
+    each with its own source weights."""
+    flags = [f"{c}_missing" for c in BURN_FLAGS]
+    clinical = [c for c in flags if "Slack" not in c and "Meeting" not in c]
+    _bundles, report = X.dual_model(burnout_table(spark, sf_dir), "rec_id", "RiskCategory", {
+        "integrated": X.SubModel(BURN_FEATURES + flags, INTEGRATED_SOURCES, INTEGRATED_WEIGHTS),
+        "clinical": X.SubModel(["StressLoad", "SleepDebt", "RecoveryScore"] + clinical, CLINICAL_SOURCES,
+                               CLINICAL_WEIGHTS, 0.4)}, **GBT_SMALL)
     return report
 
 

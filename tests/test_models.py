@@ -130,7 +130,7 @@ def test_absent_source_is_skipped(spark):
 def test_random_search_ranks(spark):
     df = _tab(spark)
     out = TR.random_search(spark, df, ["a", "b"], "y", "logreg", {"regParam": [0.0, 0.1, 1.0]}, n_iter=3,
-                           folds=2, parallelism=2).orderBy("rank").toPandas()
+                           folds=2, parallelism=2, key="k").orderBy("rank").toPandas()
     assert out["rank"].tolist() == [1, 2, 3]
     assert (np.diff(out.mean_recall.to_numpy()) <= 1e-12).all()
 
@@ -205,3 +205,22 @@ def test_bundle_reuses_superset_statistics(spark):
     shared = TR.Bundle("lr", ["a"], "y", "logreg").fit(df, imputer=imp, scaler=sc)
     assert own.imputer.medians == shared.imputer.medians
     assert np.allclose(own.scaler.stats["a"], shared.scaler.stats["a"])
+
+
+def test_saved_calibrators_give_the_same_scores(spark):
+    from riskframe.operators.experiments import load_calibrated, save_calibrated
+    df = _tab(spark)
+    members = TR.fold_calibrated(df, lambda: TR.Bundle("lr", ["a", "b"], "y", "logreg"), "k", 3)
+    path = save_calibrated(spark, members, scratch_path(spark, "t_calibrated"))
+    before = TR.calibrated_transform(df, members).select("k", "p").orderBy("k").toPandas()
+    after = TR.calibrated_transform(df, load_calibrated(spark, path, 3)).select("k", "p").orderBy("k").toPandas()
+    assert np.allclose(before.p, after.p, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("key,rows", [("dual_model", 2)])
+def test_harness_rows(spark, key, rows):
+    from riskframe.plans import all_queries
+    from riskframe.plans.registry import query_map
+    all_queries.load()
+    out = query_map()[key](spark, SMALL).toPandas()
+    assert len(out) == rows and (out["n"] > 0).all() and out["brier"].between(0, 1).all()

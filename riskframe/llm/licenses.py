@@ -36,74 +36,95 @@ WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for texts in TEMPLATES.values() for t in texts for w in WORD.findall(t.lower())})
+FLUSH = 200_000  # words a task holds before it sends their counts on
+FOUND = "array<struct<line:int,name:string,dot:double,known:double,rest:array<struct<word:string,n:long>>>>"
+FOUND_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("name", pa.string()), ("dot", pa.float64()), ("known", pa.float64()),
+                                  ("rest", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]))
 
 
-def line_frequencies(files: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
-    """(number of lines, lines that hold each template word) over all files.  Each task sends sums of the fixed
-    vocabulary alone."""
+def line_frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """(word, n): how many lines of all files hold each word; '' counts all lines."""
     small_batches(files.sparkSession)
-    words = vocabulary()
-    place = {w: i for i, w in enumerate(words)}
+
+    def sums(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                                          names=["word", "n"])
 
     def count(batches):
-        lines, seen = 0, [0] * len(words)
+        seen = Counter()
         for batch in batches:
             for text in strings(batch.column(0)):
                 for line in text.lower().split("\n"):
-                    lines += 1
-                    for w in set(WORD.findall(line)) & place.keys():
-                        seen[place[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(["", *words]), pa.array([lines, *seen], pa.int64())],
-                                         names=["word", "n"])
+                    seen.update(("", *set(WORD.findall(line))))
+                if len(seen) > FLUSH:
+                    yield sums(seen)
+                    seen = Counter()
+        yield sums(seen)
 
-    sums = files.select(text_or_empty(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n"))
-    got = {r[0]: r[1] for r in sums.collect()}
-    return got.pop("", 0), got
+    counts = files.select(text_or_empty(text_col)).mapInArrow(count, "word string, n long")
+    return written(counts.groupBy("word").agg(F.sum("n").alias("n")), "line_frequencies")
 
 
 class Matcher:
-    """Cosine of lines to templates.  A line that holds no word of any template's prefix cannot reach the threshold:
-    the words beyond a prefix, the rarest first, have too little weight together."""
+    """Cosine of lines to templates, as far as the template words alone tell it.  A line that holds no word of any
+    template's prefix cannot reach the threshold: the words beyond a prefix, the rarest first, have too little weight
+    together.  The other words of a line only add to its norm, each at least its count; a line that fails with that
+    is dropped, the rest wait for the frequencies of their other words."""
 
-    def __init__(self, lines: int, seen: dict[str, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], lines: int, seen: dict[str, int], threshold: float):
         self.threshold = threshold
-        self.idf = {w: math.log((lines + 1) / (n + 1)) + 1.0 for w, n in seen.items()}
-        self.rare = math.log(lines + 1) + 1.0  # of words no template has
+        counted = [(name, Counter(WORD.findall(text.lower()))) for name, text in templates]
+        self.idf = {w: math.log((lines + 1) / (seen.get(w, 0) + 1)) + 1.0 for _, c in counted for w in c}
         self.templates, self.prefix = [], set()
-        for name, texts in TEMPLATES.items():
-            for text in texts:
-                w = self.weigh(Counter(WORD.findall(text.lower())))
-                self.templates.append((name, w))
-                rest = 1.0
-                for word, x in sorted(w.items(), key=lambda i: (-i[1], i[0])):
-                    if math.sqrt(max(rest, 0.0)) < threshold:
-                        break
-                    self.prefix.add(word)
-                    rest -= x * x
-
-    def weigh(self, counts: Counter) -> dict[str, float]:
-        w = {t: n * self.idf.get(t, self.rare) for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-        return {t: x / norm for t, x in w.items()}
-
-    def best(self, line: str) -> tuple[float, str | None]:
+        for name, counts in counted:
+            w = {t: n * self.idf[t] for t, n in counts.items()}
+            norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+            w = {t: x / norm for t, x in w.items()}
+            self.templates.append((name, w))
+            rest = 1.0
+            for word, x in sorted(w.items(), key=lambda i: (-i[1], i[0])):
+                if math.sqrt(max(rest, 0.0)) < threshold:
+                    break
+                self.prefix.add(word)
+                rest -= x * x
+
+    def best(self, at: int, line: str) -> dict | None:
+        """The best template of a line with the line's dot product, the squared norm of its template words and its
+        other words."""
         words = WORD.findall(line)
         if self.prefix.isdisjoint(words):
-            return 0.0, None
-        w = self.weigh(Counter(words))
-        found = [(sum(x * w.get(t, 0.0) for t, x in template.items()), name) for name, template in self.templates]
-        score, name = max(found, key=lambda f: (f[0], f[1]))
-        return (score, name) if score >= self.threshold else (0.0, None)
-
-    def scan(self, text: str) -> tuple[float, str | None]:
-        """The best line of a whole text, or the text as one; ties to the earlier line."""
+            return None
+        counts = Counter(words)
+        w = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
+        dot, name = max(((sum(x * template.get(t, 0.0) for t, x in w.items()), name) for name, template in self.templates))
+        known = sum(x * x for x in w.values())
+        rest = [{"word": t, "n": n} for t, n in counts.items() if t not in self.idf]
+        if dot < self.threshold * (1 - 1e-9) * math.sqrt(known + sum(r["n"] ** 2 for r in rest)):
+            return None
+        return {"line": at, "name": name, "dot": dot, "known": known, "rest": sorted(rest, key=lambda r: r["word"])}
+
+    def scan(self, text: str) -> list[dict]:
+        """What the lines of a whole text, and the text as one after them, may match."""
         text = text.lower()
         if self.prefix.isdisjoint(WORD.findall(text)):
-            return 0.0, None
-        found = [self.best(line) for line in text.split("\n")] + [self.best(text)]
-        return max(found, key=lambda f: f[0])
+            return []
+        lines = text.split("\n")
+        return [f for i, line in enumerate([*lines, text]) if (f := self.best(i, line))]
+
+
+def best_lines(found: DataFrame, frequencies: DataFrame, lines: int, threshold: float) -> DataFrame:
+    """(row, own_score, own_license) of the best line of every row of ``found`` that reaches the threshold; ties to the
+    earlier line.  Equal sets of other words are weighed once."""
+    each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    words = (each.where(F.size("rest") > 0).select("rest").distinct()
+             .select("rest", F.explode("rest").alias("r")).select("rest", "r.word", F.col("r.n").alias("times")))
+    idf = F.log(F.lit(lines + 1.0) / (F.col("n") + 1)) + 1.0
+    weight = words.join(frequencies, "word").groupBy("rest").agg(F.sum(F.pow(F.col("times") * idf, 2)).alias("other"))
+    scored = each.join(weight, "rest", "left").withColumn(
+        "score", F.round(F.col("dot") / F.sqrt(F.col("known") + F.coalesce("other", F.lit(0.0))), 9))
+    top = F.max_by(F.struct("score", "name"), F.struct("score", -F.col("line")))
+    return (scored.where(F.col("score") >= threshold).groupBy("row").agg(top.alias("top"))
+            .select("row", F.col("top.score").alias("own_score"), F.col("top.name").alias("own_license")))
 
 
 def ancestors(folder: Column) -> Column:
@@ -117,7 +138,8 @@ def license_scan(files: DataFrame, id_col: str, path_col: str = "path", text_col
                  threshold: float = 0.6) -> DataFrame:
     """One row per file: ``id_col``, path, own_license, own_score, license, inherited_from.
 
-    A file's own licence is its best line at ``threshold`` or above.  Files named LICENSE, COPYING or NOTICE declare
+    A file's own licence is its best line at ``threshold`` or above; every word weighs by the lines of the table that
+    hold it.  Files named LICENSE, COPYING or NOTICE declare
     their folder's licence (best score, then first path).  A file without its own takes that of the nearest folder at
     or above its own that declares one; ``inherited_from`` names it.  Folders are resolved once each, however many
     files they hold.  Null texts are empty and null paths lie in the root.  Rows repeat as given; empty tables give an
@@ -125,13 +147,21 @@ def license_scan(files: DataFrame, id_col: str, path_col: str = "path", text_col
     """
     base = files.select(F.col(id_col), F.coalesce(F.col(path_col), F.lit("")).alias("path"),
                         text_or_empty(text_col).alias("text"))
-    matcher = Matcher(*line_frequencies(base, "text"), threshold)
+    templates = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
+    frequencies = line_frequencies(base, "text")
+    vocabulary = sorted({w for _, text in templates for w in WORD.findall(text.lower())} | {""})
+    known = files.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
+    seen = {r["word"]: r["n"] for r in frequencies.join(known, "word").collect()}  # template words only
+    lines = seen.pop("", 0)
+    matcher = Matcher(templates, lines, seen, threshold)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [matcher.scan(t) for t in strings(batch.column(2))]
-        return [pa.array([n for _, n in found], pa.string()), pa.array([round(s, 9) for s, _ in found], pa.float64())]
+        return [pa.array([matcher.scan(t) for t in strings(batch.column(2))], FOUND_ARROW)]
 
-    own = with_arrow(base, run, "own_license string, own_score double").drop("text")
+    found = with_arrow(base, run, f"found {FOUND}", ["found"]).drop("text")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "license_lines")
+    own = (found.drop("found").join(best_lines(found, frequencies, lines, threshold), "row", "left").drop("row")
+           .withColumn("own_score", F.coalesce("own_score", F.lit(0.0))))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     own = written(own.withColumn("folder", folder), "licenses")
     name = F.element_at(F.split("path", "/"), -1)

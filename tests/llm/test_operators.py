@@ -359,6 +359,20 @@ def test_license_scan_and_inheritance(spark):
     assert licenses.license_scan(d.where("false"), "doc_id").count() == 0
 
 
+def test_common_words_weigh_little_at_any_corpus_size(spark):
+    header = "Released under the MIT License en that"
+    for lines in (300, 30_000):
+        data = [(0, "LICENSE", header), *((i + 1, f"f{i}", "en that word\n" * 100 + f"w{i}") for i in range(lines // 100))]
+        d = spark.createDataFrame(data, "doc_id long, path string, text string")
+        seen = collections.Counter(w for _, _, t in data for x in t.lower().split("\n") for w in set(licenses.WORD.findall(x)))
+        n = sum(len(t.split("\n")) for _, _, t in data)
+        w = {t: math.log((n + 1) / (seen[t] + 1)) + 1 for t in licenses.WORD.findall(header.lower())}
+        norm = math.sqrt(sum(w[t] ** 2 for t in "released under the mit license".split()))
+        r = licenses.license_scan(d, "doc_id").where("doc_id = 0").first()
+        assert r["own_license"] == "MIT"
+        assert math.isclose(r["own_score"], norm / math.sqrt(sum(x * x for x in w.values())), abs_tol=1e-8)
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

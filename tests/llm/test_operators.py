@@ -373,6 +373,27 @@ def test_common_words_weigh_little_at_any_corpus_size(spark):
         assert math.isclose(r["own_score"], norm / math.sqrt(sum(x * x for x in w.values())), abs_tol=1e-8)
 
 
+def test_near_licences_are_told_apart(spark):
+    texts = {"GNU General Public License, version 2": "GPL-2.0", "GNU Lesser General Public License, version 3": "LGPL-3.0",
+             "CC BY-SA 4.0": "CC-BY-SA-4.0", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+             "(* SPDX-License-Identifier: MIT OR GPL-2.0-only *)": "MIT OR GPL-2.0", "Licensed under the BSD License.": None,
+             "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+             "Licensed under the Apache License, Version 1.1": None, "GNU General Public License, version 4": None,
+             "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General "
+             "Public License as published by\n# the Free Software Foundation, either version 3 of the License, or": "GPL-3.0"}
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts |= {"Copyright 2020 A. Body\n\n" + f.read_text(): f.stem for f in folder.glob("*.txt")}
+    d = spark.createDataFrame([(i, f"{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.license_scan(d, "doc_id").collect()}
+    assert got == dict(enumerate(texts.values()))
+    own = spark.createDataFrame([("GPL-3.0", "GNU General Public License, version 3"), ("X", "Use it as you like, friend")],
+                                "license string, text string")
+    got = {r["text"]: r["own_license"] for r in licenses.license_scan(d, "doc_id", templates=own).join(d, "doc_id").collect()}
+    assert got["GNU General Public License, version 2"] is None and got["GNU Lesser General Public License, version 3"] is None
+    assert licenses.license_scan(d.limit(1).withColumn("text", licenses.F.lit("use it as you like, friend")), "doc_id",
+                                 templates=own).first()["own_license"] == "X"
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

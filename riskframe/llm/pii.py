@@ -37,7 +37,14 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
+IBAN_ENDS = re.compile(r"(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+#: Lengths of the registered countries (ISO 13616).
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 DIGIT = re.compile(r"[0-9]")
@@ -75,6 +82,27 @@ def small(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def ibans(text: str):
+    """Spans of valid IBANs, their characters in groups of four: of the length of a registered country, for others the
+    longest that passes."""
+    end = 0
+    for m in IBAN_HEAD.finditer(text):
+        run = IBAN_ENDS.match(text, m.end()) if m.start() >= end else None
+        if run is None:
+            continue
+        wanted, packed, ends = IBAN_LENGTH.get(m[0][:2]), 4, []
+        for at in range(run.start(), run.end()):
+            packed += text[at] != " "
+            after = text[at + 1:at + 2]
+            if text[at] != " " and packed >= 15 and not (after.isascii() and after.isalnum()):
+                ends.append((at + 1, packed))
+        for stop, n in reversed(ends):
+            if n <= 34 and (wanted is None or n == wanted) and mod97(text[m.start():stop].replace(" ", "")):
+                end = stop
+                yield m.start(), stop
+                break
+
+
 def propose(text: str):
     """(kind, start, end) of every span that its checksum or format confirms, per kind in order."""
     if "@" in text:
@@ -94,10 +122,8 @@ def propose(text: str):
         for m in PHONE.finditer(text):
             if 10 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        packed = m[0].replace(" ", "")
-        if 15 <= len(packed) <= 34 and mod97(packed):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()

@@ -164,6 +164,17 @@ def test_pii_checksums_and_context():
     assert [s[0] for s in pii.find_spans("ssn 123-45-6789")] == ["ssn"] and not pii.find_spans("part 123-45-6789")
 
 
+def test_iban_before_a_short_token():
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68539007547034",
+                 "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB29NWBK60161331926819"):
+        for tail in ("", " 2024", " I", " 12 euros", " EUR", " AB12 and", ".", f" {iban}"):
+            text = f"pay to {iban}{tail}"
+            got = [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+            assert got == [iban] * (1 + (tail[1:] == iban)), text
+            assert pii.mask(text, pii.find_spans(text)).startswith("pay to <IBAN>")
+        assert not list(pii.ibans(iban + "9")) and not list(pii.ibans("x" + iban)) and not list(pii.ibans(iban[:-1]))
+
+
 # ------------------------------------------------------------------ 4 mixing
 def test_mixing_budgets_and_blocks(spark, none):
     data = [(i, " ".join(["w"] * (1 + i % 7)), "hot" if i % 2 else f"s{i % 10}") for i in range(2000)]

@@ -309,6 +309,26 @@ def test_page_text(spark):
     assert pages.main_texts(d.where("false")).count() == 0
 
 
+def test_page_marks_take_whole_names():
+    def kept(page):
+        found = pages.blocks(page)
+        return pages.assemble([t for t, _ in found], [k for _, k in found], [False] * len(found))
+
+    body = "<html class='no-sidebar'><body class='has-sidebar menu' id=page>%s</body></html>"
+    for page in ("<main class='no-sidebar'><p>Text</p></main>", "<article class='overflow-hidden comment'><p>Text</p></article>",
+                 "<div class='overflow-hidden'><article><p>Text</p></article></div>", "<article><div class='entry-header'>Text</div></article>",
+                 "<div style='overflow: hidden'><p>Text</p></div>", "<div data-hidden='hidden' title='hidden'><p>Text</p></div>",
+                 "<div class='entry-header'><p>Text</p></div>", "<div aria-hidden='false'><p>Text</p></div>"):
+        assert kept(body % page) == kept(page) == "Text", page
+    for attrs in ("hidden", "hidden=''", "style='color:red; display : none'", "STYLE='visibility:hidden'", "aria-hidden=true",
+                  "class='x sidebar'", "class='site-footer'", "role=navigation", "id=cookie-banner", "aria-label='breadcrumb'"):
+        assert kept(f"<div {attrs}><p>Gone</p></div><p>Text</p>") == "Text", attrs
+    for inline in ("<span class='ad'>Buy</span>", "<a href=x class=share>Share</a>", "<b hidden>no</b>", "<button>Go</button>"):
+        assert kept(f"<article><p>One {inline} two</p><p>{inline} three</p><p>four</p></article>") == "One two\nthree\nfour", inline
+        assert kept(f"<p>One</p>{inline} two") == "One\ntwo", inline
+    assert kept("<div class='post-comments'><p>Gone?</p></div><div class='post-body'><p>Text</p></div>") == "Text"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(4)
 

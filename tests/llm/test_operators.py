@@ -271,6 +271,19 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in langid.language_report(same).collect()} <= {"", "und"}
 
 
+def test_language_stage_at_its_own_threshold(spark):
+    import corpus_pipeline
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = {r["lang"]: r["text"].split() for r in clean.where("lang is not null").limit(200).collect()}
+    mixed = [" ".join(w for words in some.values() for w in words[k:k + n]) for k in range(8) for n in (1, 2, 6)]
+    odd = [None, "", "123 !!!", *mixed]
+    d = clean.unionByName(spark.createDataFrame([(10**6 + i, t, None, "x", len(t or "")) for i, t in enumerate(odd)], clean.schema))
+    said = langid.identify(d.select("doc_id", "text"), langid.train(d)).collect()
+    want = {r["doc_id"] for r in said if r["lang_pred"] != "und" and r["score"] >= 0.3}
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, d, "").collect()}
+    assert kept == want and kept >= {r["doc_id"] for r in clean.collect()} and not kept & {10**6, 10**6 + 1, 10**6 + 2}
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from ..session import scratch_path
+from . import decontaminate, lexical, mixing, warc
 from .ann import nearest
 from .common import table
 from .decontaminate import contamination
 from .langid import language_report
+from .lexical import lexical_search
 from .licenses import license_scan
 from .lm import lm_scores
 from .mixing import mix_sources
@@ -19,6 +21,8 @@ from .pages import main_texts
 from .pii import pii_report
 from .quality import quality_scores
 from .simhash import simhash_dedup
+from .warc import archived
+from .whitening import whitened
 
 
 def op1_adsampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whitened on the 16 strongest components of all distinct vectors."""
+    return whitened(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive on the shared folder and read back."""
+    return archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_revisit_bytes=0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adsampling": op1_adsampling,
     "op2_pii": op2_pii,
@@ -89,9 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }

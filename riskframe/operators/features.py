@@ -152,6 +152,7 @@ def feat_stress(df: DataFrame, key: str = "rec_id", noise: bool = False, seed: i
 
 
 # ------------------------------------------------------------------ serving
+# --- fixed values: request fields and their defaults ---
 ANXIETY_DEFAULTS = {
     "phq2_score": 2.0, "gad2_score": 2.0, "online_stress": 3.0, "academic_performance": 3.0, "sleep_hours": 7.0,
     "family_support": 7.0, "diet_quality": 5.0, "sleep_quality": 5.0, "exercise_freq": 3.0,
@@ -172,19 +173,24 @@ def _req(df: DataFrame, c: str, defaults: dict) -> Column:
     return _get(df, c, defaults[c]).cast("double")
 
 
+def hybrid_inputs(df: DataFrame) -> dict[str, Column]:
+    """The model inputs of an anxiety / depression request, in model order (defaults per field)."""
+    g = lambda c: _req(df, c, ANXIETY_DEFAULTS)
+    return {
+        "PHQ2": g("phq2_score"), "GAD2": g("gad2_score"), "OnlineStress": g("online_stress"),
+        "GPA": g("academic_performance"), "SleepHours": g("sleep_hours"),
+        "FamilySupport": g("family_support"), "DietQuality": g("diet_quality"),
+        "LifestyleScore": g("sleep_hours") + g("exercise_freq") + g("diet_quality") + g("sleep_quality"),
+        "SupportScore": g("family_support") + g("peer_relationship") + g("social_activity"),
+        "MentalResilience": g("self_efficacy") + g("family_support") + g("peer_relationship"),
+        "BurnoutRisk": g("academic_stress") + g("screen_time") - g("sleep_hours"),
+    }
+
+
 def serve_hybrid(df: DataFrame) -> DataFrame:
     """anxiety/depression request -> model inputs (defaults per field)."""
-    g = lambda c: _req(df, c, ANXIETY_DEFAULTS)
-    return df.select(
-        *[F.col(k) for k in df.columns if k not in ANXIETY_DEFAULTS],
-        g("phq2_score").alias("PHQ2"), g("gad2_score").alias("GAD2"), g("online_stress").alias("OnlineStress"),
-        g("academic_performance").alias("GPA"), g("sleep_hours").alias("SleepHours"),
-        g("family_support").alias("FamilySupport"), g("diet_quality").alias("DietQuality"),
-        (g("sleep_hours") + g("exercise_freq") + g("diet_quality") + g("sleep_quality")).alias("LifestyleScore"),
-        (g("family_support") + g("peer_relationship") + g("social_activity")).alias("SupportScore"),
-        (g("self_efficacy") + g("family_support") + g("peer_relationship")).alias("MentalResilience"),
-        (g("academic_stress") + g("screen_time") - g("sleep_hours")).alias("BurnoutRisk"),
-    )
+    keep = [F.col(k) for k in df.columns if k not in ANXIETY_DEFAULTS]
+    return df.select(*keep, *[v.alias(k) for k, v in hybrid_inputs(df).items()])
 
 
 BURNOUT_SOURCE_ONE_HOT = {"DatasetSource_Healthcare_Workforce": 0.0, "DatasetSource_Remote_Work": 0.0,
@@ -192,14 +198,14 @@ BURNOUT_SOURCE_ONE_HOT = {"DatasetSource_Healthcare_Workforce": 0.0, "DatasetSou
                           "DatasetSource_WFH_Corporate": 0.0}
 
 
-def serve_burnout(df: DataFrame) -> DataFrame:
-    """Burnout request -> model inputs (serving scale, differs from I15)."""
+def burnout_inputs(df: DataFrame) -> dict[str, Column]:
+    """The model inputs of a burnout request, in model order (serving scale, differs from I15)."""
     g = lambda c: _req(df, c, BURNOUT_DEFAULTS)
     work, sleep, screen, brk, stress = g("work_hours"), g("sleep_hours"), g("screen_time"), g("break_frequency"), g("stress_level")
     job = g("job_satisfaction")
     fin = F.coalesce(F.col("financial_stress").cast("double"), stress) if "financial_stress" in df.columns else stress
     workload_score = F.least(F.lit(10.0), work / 10.0 * 10.0)
-    cols = {
+    return {
         "WorkHours": work, "SleepHours": sleep, "ScreenTime": screen, "BreakFrequency": brk, "StressLevel": stress,
         "ExperienceYears": g("experience_years"), "JobSatisfaction": job, "AcademicStress": stress,
         "FinancialStress": fin, "GPA": g("gpa"),
@@ -216,16 +222,20 @@ def serve_burnout(df: DataFrame) -> DataFrame:
         "AcademicStress_missing": F.lit(0.0), "FinancialStress_missing": F.lit(0.0), "SlackActivity_missing": F.lit(1.0),
         **{k: F.lit(v) for k, v in BURNOUT_SOURCE_ONE_HOT.items()},
     }
+
+
+def serve_burnout(df: DataFrame) -> DataFrame:
+    """Burnout request -> model inputs (serving scale, differs from I15)."""
     keep = [F.col(k) for k in df.columns if k not in BURNOUT_DEFAULTS and k not in ("financial_stress",)]
-    return df.select(*keep, *[v.alias(k) for k, v in cols.items()])
+    return df.select(*keep, *[v.alias(k) for k, v in burnout_inputs(df).items()])
 
 
-def serve_stress(df: DataFrame) -> DataFrame:
-    """Stress request -> model inputs (granular maps instead of step buckets)."""
+def stress_inputs(df: DataFrame) -> dict[str, Column]:
+    """The model inputs of a stress request, in model order (granular maps instead of step buckets)."""
     g = lambda c: _req(df, c, STRESS_DEFAULTS)
     mood, sleep, workload = g("mood_current"), g("sleep_hours"), g("workload_level")
     recovery = map_granular(sleep, scale_max=12.0, target_max=10.0) * 1.2
-    cols = {
+    return {
         "JobSatisfaction": g("job_satisfaction"), "WorkHours": g("work_hours"), "SleepHours": sleep,
         "ScreenTime": g("screen_time"), "Age": g("age"), "ExperienceYears": g("experience_years"),
         "AcademicStress": g("academic_stress"),
@@ -239,8 +249,12 @@ def serve_stress(df: DataFrame) -> DataFrame:
         "ConsecutivePoorSleepDays": F.when(sleep >= 6.0, F.lit(0.0)).otherwise(F.lit(1.0)),
         "HighWorkloadFrequency": F.lit(0.0),
     }
+
+
+def serve_stress(df: DataFrame) -> DataFrame:
+    """Stress request -> model inputs (granular maps instead of step buckets)."""
     keep = [F.col(k) for k in df.columns if k not in STRESS_DEFAULTS]
-    return df.select(*keep, *[v.alias(k) for k, v in cols.items()])
+    return df.select(*keep, *[v.alias(k) for k, v in stress_inputs(df).items()])
 
 
 def feature_list(df: DataFrame, exclude: Sequence[str]) -> list[str]:

@@ -185,6 +185,43 @@ def serve_deterioration(history: DataFrame, user: str = "user_id", day: str = "d
     return out
 
 
+def history_inputs(history: Column, min_days: int = 7) -> dict[str, Column]:
+    """I27 / K3 for a request that carries its own history: the last day's features of :func:`serve_deterioration`
+    out of an array of (day, mood, sleep, workload), in any order, with array expressions alone (no shuffle).
+    NULL below ``min_days`` days."""
+    days = F.array_sort(history)
+    short = F.coalesce(F.size(days), F.lit(0)) < min_days
+
+    def back(field: str, i: int) -> Column:
+        return F.try_element_at(days, F.lit(-1 - i))[field].cast("double")
+
+    def change(now: Column, then: Column) -> Column:
+        return F.coalesce(now - then, F.lit(0.0))
+
+    scale = {"mood": lambda x: map_granular(11.0 - x, target_min=2.5, target_max=8.5),
+             "sleep": lambda x: map_granular(x, scale_max=12.0, target_min=4.0, target_max=9.0),
+             "workload": lambda x: map_granular(x, target_min=2.0, target_max=9.0)}
+    rise = {f: change(mini(back(f, 0)), mini(back(f, 3))) for f, mini in scale.items()}
+    week = F.slice(days, F.greatest(F.coalesce(F.size(days), F.lit(0)) - 6, F.lit(1)), 7)
+    full = {"mood": F.size(F.filter(week, lambda d: d["mood"].isNotNull())) == 7,
+            "sleep": F.size(F.filter(week, lambda d: d["sleep"].isNotNull())) == 7}
+    total = F.aggregate(week, F.lit(0.0), lambda a, d: a + d["mood"])
+    spread = F.aggregate(week, F.lit(0.0), lambda a, d: a + (d["mood"] - total / 7.0) * (d["mood"] - total / 7.0))
+    deficit = [clip((11.0 - back("mood", i)) - back("sleep", i), 0, 10) for i in (0, 1)]
+    speed = [change(back("mood", i + 1), back("mood", i)) for i in (0, 1)]
+    risky = F.aggregate(days, F.lit(0), lambda a, d: F.when(F.coalesce(d["mood"] < 4.0, F.lit(False)), a + 1).otherwise(0))
+    found = {
+        **{f"{f.capitalize()}Mini": mini(back(f, 0)) for f, mini in scale.items()},
+        "EscalationVelocity_Mini": clip(rise["mood"] - rise["sleep"] + rise["workload"], -10, 10),
+        "SleepDecline_7D": F.when(full["sleep"], back("sleep", 6) - back("sleep", 0)).otherwise(F.lit(0.0)),
+        "ConsecutiveRiskDays": risky.cast("double"),
+        "RecoveryDeficitSlope": change(deficit[0], deficit[1]),
+        "MoodVolatility": F.when(full["mood"], F.sqrt(spread / 6.0)).otherwise(F.lit(0.0)),
+        "BurnoutAcceleration": speed[0] - speed[1],
+    }
+    return {c: F.when(~short, found[c]) for c in DETERIORATION_FEATURES}
+
+
 def latest_row(df: DataFrame, user: str = "user_id", order: str = "timepoint") -> DataFrame:
     """The last row per user (``max_by`` over a struct, one partial aggregation)."""
     others = [c for c in df.columns if c != user]

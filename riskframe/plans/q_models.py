@@ -12,19 +12,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import map_lookup
-from ..functions.maps import (CLINICAL_SOURCES, CLINICAL_WEIGHTS, INTEGRATED_SOURCES, INTEGRATED_WEIGHTS,
-                              POOL_SYNTHETIC_ROWS, STRESS_SOURCE_WEIGHTS)
+from ..functions.maps import (CLINICAL_SOURCES, CLINICAL_WEIGHTS, DETERIORATION_CLASS_WEIGHTS, INTEGRATED_SOURCES,
+                              INTEGRATED_WEIGHTS, POOL_SYNTHETIC_ROWS, STRESS_SOURCE_WEIGHTS)
 from ..operators import experiments as X
 from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import train as TR
+from ..operators.boosting import SoftmaxBoost
 from ..operators.sampling import smote
-from ..operators.splits import class_weights, source_weight, user_split
-from ..operators.timeline import deterioration_features, deterioration_targets
+from ..operators.splits import source_weight
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import fixtures as fx
+from .deterioration import build_features
 from .q_labels import BURN_COLS, BURN_FLAGS, STRESS_IN, STRESS_OUT
+from .q_timeline import DETERIORATION_SQL
 from .q_survey import BURNOUT_SOURCE_NAMES, POOL, STRESS_SOURCE_NAMES, pool
 from .registry import register
 
@@ -166,22 +168,41 @@ TL_FEATURES = ["MoodMini", "SleepMini", "WorkloadMini", "EscalationVelocity_Mini
                "ConsecutiveRiskDays", "RecoveryDeficitSlope", "MoodVolatility", "BurnoutAcceleration"]
 
 
+#: Smaller than the production defaults of ``SoftmaxBoost`` (300 rounds of depth 6 at rate 0.03).
+BOOST_SMALL = {"rounds": 8, "depth": 4, "rate": 0.3}
+
+
+def boosted_deterioration(spark, sf_dir):
+    """The 4-class booster on the timeline's training users with the fixed class weights, and the other users' rows."""
+    t = build_features(fx.timeline(spark, sf_dir)).withColumn("key", F.concat_ws("#", "user_id", "timepoint"))
+    t = t.withColumn("w", map_lookup({k: float(v) for k, v in DETERIORATION_CLASS_WEIGHTS.items()}, "Target", 1.0)).checkpoint()
+    model = SoftmaxBoost(TL_FEATURES, 4, **BOOST_SMALL).fit(t.where("Split = 'train'"), "Target", "key", "w")
+    return model, t.where("Split <> 'train'")
+
+
 @register("train_multiclass")
 def q_train_multiclass(spark, sf_dir):
-    """4-class deterioration model with balanced class weights (class 3 x1.5): soft probabilities.
-
-    Spark's GBT is binary only and one-vs-rest gives no probability column, so
-    a weighted random forest provides the per-class probabilities."""
-    t = deterioration_features(deterioration_targets(user_split(fx.timeline(spark, sf_dir))))
-    w = class_weights(t.filter(F.col("Split") == "train"), "Target", boost={3: 1.5}).select("Target", "class_weight")
-    # one row per class (4): a size bounded by the label's cardinality, safe to broadcast
-    d = t.join(F.broadcast(w), "Target", "left").withColumn("key", F.concat_ws("#", "user_id", "timepoint"))
-    train, test = d.filter(F.col("Split") == "train"), d.filter(F.col("Split") != "train")
-    b = TR.Bundle("deterioration", TL_FEATURES, "Target", "forest", params=FOREST_SMALL).fit(train, "class_weight")
-    out = b.raw_transform(test)
-    probs = TR.vector_to_array(F.col("probability"))
-    return out.select("user_id", "timepoint", "Target", *[probs[c].alias(f"prob_{c}") for c in range(4)],
-                      F.col("prediction").cast("int").alias("pred"))
+    """Softmax boosting of the 4-class deterioration target with the fixed 1 / 2 / 4 / 10 class weights."""
+    model, test = boosted_deterioration(spark, sf_dir)
+    return model.transform(test).select("user_id", "timepoint", "Target", *[F.col("probability")[c].alias(f"prob_{c}") for c in range(4)],
+                                        F.col("prediction").alias("pred"))
+
+
+@register("multiclass_checks", f"""SELECT user_id, timepoint, Target, true AS sums_to_one, true AS all_positive, true AS pred_is_likeliest,
+  {BOOST_SMALL["rounds"]} AS rounds_with_falling_loss, true AS same_after_reload
+FROM ({DETERIORATION_SQL}) WHERE Split <> 'train'""")
+def q_multiclass_checks(spark, sf_dir):
+    """What must hold for every scored row: probabilities, the predicted class, the loss of the rounds, a reload."""
+    model, test = boosted_deterioration(spark, sf_dir)
+    path = model.save(spark, scratch_path(spark, "boost"))
+    scored = SoftmaxBoost.load(spark, path).transform(model.transform(test), "again", "pred_again")
+    p = F.col("probability")
+    falls = sum(b < a for a, b in zip(model.losses, model.losses[1:]))
+    total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
+    return scored.select("user_id", "timepoint", "Target", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                         F.forall(p, lambda v: v > 0).alias("all_positive"),
+                         (p[F.col("prediction")] == F.array_max(p)).alias("pred_is_likeliest"),
+                         F.lit(falls).alias("rounds_with_falling_loss"), (p == F.col("again")).alias("same_after_reload"))
 
 
 @register("soft_vote")

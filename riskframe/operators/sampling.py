@@ -1,89 +1,27 @@
-"""SMOTE oversampling (J10) with an exact, distributed k-nearest-neighbour step.
+"""SMOTE oversampling (J10) over exact nearest neighbours (:mod:`.neighbours`).
 
-Neighbour search never sends the minority class to one task and never emits
-row pairs:
-
-1. minority rows are hashed into ``T`` tiles of about ``tile_rows`` rows
-   (``T`` from one count, so a tile's size is bounded whatever the skew of
-   any other column);
-2. every (query tile, reference tile) pair is one ``cogroup`` task: numpy
-   computes the distance block in chunks of 2,048 query rows (bounded
-   memory) and keeps only each query row's ``k`` nearest -- at most ``k``
-   rows per query leave the task;
-3. the ``T * k`` candidates of a query are merged by key (``row_number``
-   over ``dist, ref_id``) to the exact ``k`` nearest.
-
-The whole distance matrix is computed (exact kNN in many dimensions has no
-index that prunes in the worst case), but spread evenly over ``T^2`` tasks
-with bounded memory.  Synthetic rows are then an ``explode`` of replica
-indices and one equi-join to the chosen neighbour: ``x + u * (nn - x)``,
-with the neighbour choice and ``u`` drawn from ``xxhash64(id, replica, seed)``.
-The replica count per row is exact: ``n_new // n_min`` each, plus one for the
-first ``n_new % n_min`` rows in hash order.
+Synthetic rows are an ``explode`` of replica numbers and one equi-join to the chosen neighbour: ``x + u * (nn - x)``, with
+the neighbour and ``u`` drawn from md5 of (id, replica, seed), so any engine draws the same.  The replica count per
+row is exact: ``n_new // n_min`` each, plus one for the first ``n_new % n_min`` rows in hash order.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .neighbours import knn_within
 from .splits import hash_rank
 
-_KNN_SCHEMA = "qid long, rid long, dist double"
-
 
-def _tile_knn(k: int, chunk: int = 2048):
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        xr = np.stack(r["vec"].to_numpy()).astype(np.float64)
-        rid = r["id"].to_numpy(np.int64)
-        rr = (xr * xr).sum(1)[None, :]
-        kk = min(k, xr.shape[0])
-        parts = []
-        # query rows in chunks: memory per step is chunk x tile, whatever the tile size
-        for lo in range(0, len(q), chunk):
-            qc = q.iloc[lo:lo + chunk]
-            xq = np.stack(qc["vec"].to_numpy()).astype(np.float64)
-            qid = qc["id"].to_numpy(np.int64)
-            d2 = np.maximum((xq * xq).sum(1)[:, None] + rr - 2.0 * xq @ xr.T, 0.0)
-            d2[qid[:, None] == rid[None, :]] = np.inf           # a row is not its own neighbour
-            # k smallest per row; ties broken by reference id for determinism
-            order = np.lexsort((np.broadcast_to(rid, d2.shape), d2), axis=1)[:, :kk]
-            dist = np.take_along_axis(d2, order, axis=1)
-            keep = np.isfinite(dist).ravel()
-            parts.append(pd.DataFrame({"qid": np.repeat(qid, kk)[keep], "rid": rid[order].ravel()[keep],
-                                       "dist": np.sqrt(dist.ravel()[keep])}))
-        return pd.concat(parts, ignore_index=True)
-    return run
-
-
-def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, tile_rows: int = 32768,
-               seed: int = 42) -> DataFrame:
-    """Exact ``k`` nearest neighbours (Euclidean) of every row among the rows of ``df``.
-
-    Returns (qid, rid, dist, nn_rank) with ``nn_rank`` 0..k-1.
-    """
-    n = df.count()
-    tiles = max(1, math.ceil(n / tile_rows))
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                     F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(tiles)).alias("tile"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    q = base.select("id", "vec", F.col("tile").alias("qt"), other.alias("rt"))
-    r = base.select("id", "vec", other.alias("qt"), F.col("tile").alias("rt"))
-    cand = q.groupBy("qt", "rt").cogroup(r.groupBy("qt", "rt")).applyInPandas(_tile_knn(k), _KNN_SCHEMA)
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("nn_rank", F.row_number().over(w) - 1).filter(F.col("nn_rank") < k)
+def draw(tag: str, digits: int, seed: int) -> Column:
+    """An integer of ``digits`` hex digits out of md5 of the columns id and _j."""
+    text = F.concat_ws("#", F.col("id").cast("string"), F.col("_j").cast("string"), F.lit(f"{seed}"), F.lit(tag))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: int = 5, seed: int = 42,
-          n_new: int | None = None, tile_rows: int = 32768) -> DataFrame:
+          n_new: int | None = None, tile_rows: int = 4096) -> DataFrame:
     """Add synthetic minority rows until the classes balance (or ``n_new`` rows).
 
     Output: (id_col, vec_col, label, is_synthetic); synthetic ids are negative
@@ -101,17 +39,15 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
         return original
     kk = min(k, n_min - 1)
     mino = rows.filter(F.col("y") == minority).select("id", "vec")
-    nn = knn_within(mino, "id", "vec", kk, tile_rows, seed)
+    nn = knn_within(mino, "id", "vec", kk, tile_rows, seed=seed)
     base_rep, extra = divmod(n_new, n_min)
     lowest = min(0, rows.agg(F.min("id")).first()[0] or 0)
     ranked = hash_rank(mino, "id", [], seed)
     reps = ranked.withColumn("_reps", F.lit(base_rep) + (F.col("_rank") <= extra).cast("int"))
     rep = reps.filter(F.col("_reps") > 0).select(
         "id", "vec", "_rank", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)).alias("_j"))
-    h = F.xxhash64(F.col("id"), F.col("_j"), F.lit(seed))
-    rep = rep.select("id", "vec", "_rank", "_j",
-                     F.pmod(h, F.lit(kk)).alias("nn_rank"),
-                     ((F.pmod(F.xxhash64(h, F.lit("gap")), F.lit(1 << 30))).cast("double") / float(1 << 30)).alias("_u"))
+    rep = rep.select("id", "vec", "_rank", "_j", F.pmod(draw("nn", 8, seed), F.lit(kk)).cast("int").alias("nn_rank"),
+                     (draw("gap", 12, seed).cast("double") / float(1 << 48)).alias("_u"))
     pick = rep.join(nn.select(F.col("qid").alias("id"), "nn_rank", "rid"), ["id", "nn_rank"])
     nbr = mino.select(F.col("id").alias("rid"), F.col("vec").alias("_nv"))
     syn = pick.join(nbr, "rid").select(

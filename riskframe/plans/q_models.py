@@ -112,10 +112,24 @@ def q_table_sink(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ J10: SMOTE
-@register("smote")
+def _draw_sql(tag, digits):
+    return f"CAST(('0x' || substr(md5(id || '#' || j || '#42#{tag}'), 1, {digits})) AS BIGINT)"
+
+
+@register("smote", f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
+m AS (SELECT id, vec, row_number() OVER (ORDER BY md5(id || '#42'), id) AS rk FROM v WHERE y = 1),
+c AS (SELECT CAST(sum(y) AS BIGINT) AS n_min, CAST(greatest(sum(y), sum(1 - y)) - sum(y) AS BIGINT) AS n_new, least(0, min(id)) AS lowest FROM v),
+nn AS (SELECT a.id, b.id AS rid, b.vec AS nv, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) - 1 AS r
+       FROM m a JOIN m b ON a.id <> b.id),
+rp AS (SELECT id, vec, rk, unnest(range(n_new // n_min + CASE WHEN rk <= n_new % n_min THEN 1 ELSE 0 END)) AS j FROM m, c WHERE n_min >= 2),
+pk AS (SELECT rp.*, {_draw_sql('nn', 8)} % least(5, n_min - 1) AS r, {_draw_sql('gap', 12)} / 281474976710656.0 AS u, n_min, lowest FROM rp, c),
+s AS (SELECT lowest - (rk + j * n_min) AS vec_id, 1 AS y, true AS is_synthetic, vec, nv, u FROM pk JOIN nn ON nn.id = pk.id AND nn.r = pk.r
+      UNION ALL SELECT id, y, false, vec, vec, 0.0 FROM v)
+SELECT vec_id, y, is_synthetic, unnest(range(len(vec))) AS dim, unnest([vec[i] + u * (nv[i] - vec[i]) FOR i IN range(1, len(vec) + 1)]) AS value FROM s""")
 def q_smote(spark, sf_dir):
-    """SMOTE on FB7 (rare class 1), k=5, seed 42; exact tiled kNN."""
-    return smote(fx.vectors(spark, sf_dir), "vec_id", "embedding", "y", k=5, seed=42)
+    """SMOTE on FB7 (rare class 1), k=5, seed 42, over exact neighbours; a row per entry of every vector."""
+    out = smote(fx.vectors(spark, sf_dir), "vec_id", "embedding", "y", k=5, seed=42)
+    return out.select("vec_id", "y", "is_synthetic", F.posexplode("embedding").alias("dim", "value"))
 
 
 # ------------------------------------------------------------------ J12-J13 selection

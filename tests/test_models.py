@@ -185,13 +185,11 @@ def test_permutation_importance_finds_the_signal(spark):
 
 
 def test_knn_chunking_matches(spark):
-    from riskframe.operators.sampling import _tile_knn
-    import pandas as pd
+    from riskframe.operators.neighbours import nearest_pairs
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(50, 4))
-    df = pd.DataFrame({"id": np.arange(50, dtype=np.int64), "vec": list(x)})
-    a = _tile_knn(3, chunk=7)(df, df).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
-    b = _tile_knn(3, chunk=1000)(df, df).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
+    x, ids, far = rng.normal(size=(50, 4)), np.arange(50, dtype=np.int64), np.full(50, np.inf)
+    a = nearest_pairs(x, ids, far, x, ids, 3, chunk=7).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
+    b = nearest_pairs(x, ids, far, x, ids, 3, chunk=1000).sort_values(["qid", "dist", "rid"]).reset_index(drop=True)
     assert len(a) == 150 and a[["qid", "rid"]].equals(b[["qid", "rid"]])
     assert np.allclose(a.dist, b.dist, rtol=0, atol=1e-12)
 

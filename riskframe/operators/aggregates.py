@@ -47,11 +47,16 @@ def group_median_fill(df: DataFrame, columns: Sequence[str], by: str = "DatasetS
 
     Group medians are a small table (one row per source) joined back on the
     source key (AQE broadcasts it once its measured size is small); the global
-    medians are one row, brought to the driver and applied as literals.
+    medians are one row, brought to the driver and applied as literals.  Both come
+    from the same scans: every value counts for its group and for the whole.
     """
-    per = medians(df.filter(F.col(by).isNotNull()), columns, [by], exact)
-    per = per.select(by, *[F.col(c).alias(f"_gm_{c}") for c in columns])
-    glob = collect_medians(df, columns, exact)
+    both = F.explode(F.array(F.struct(F.lit(False).alias("_all"), F.col(f"`{by}`").alias("_by")),
+                             F.struct(F.lit(True).alias("_all"), F.lit(None).alias("_by"))))
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], both.alias("_k")).select(*[F.col(f"`{c}`") for c in columns], "_k.*")
+    found = medians(rows, columns, ["_all", "_by"], exact).checkpoint()  # a row per group
+    total = found.where("_all").first()
+    glob = {c: None if total is None else total[c] for c in columns}
+    per = found.where("NOT _all AND _by IS NOT NULL").select(F.col("_by").alias(by), *[F.col(f"`{c}`").alias(f"_gm_{c}") for c in columns])
     out = df.join(per, on=by, how="left")
     filled = {c: F.coalesce(F.col(c), F.col(f"_gm_{c}"), F.lit(glob[c]).cast("double")) for c in columns}
     return out.withColumns(filled).drop(*[f"_gm_{c}" for c in columns])

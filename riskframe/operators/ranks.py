@@ -99,8 +99,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Se
     brackets = _brackets(rows, groups, [F.col(n) for n in names], qs)
     if groups:
         few = brackets.limit(FEW_GROUPS + 1).collect()
-        brackets = brackets.checkpoint() if len(few) > FEW_GROUPS else spark.createDataFrame(few, brackets.schema)
-        placed = null_safe(rows, brackets if len(few) > FEW_GROUPS else F.broadcast(brackets), groups)
+        brackets = brackets.checkpoint() if len(few) > FEW_GROUPS else F.broadcast(spark.createDataFrame(few, brackets.schema))
+        placed = null_safe(rows, brackets, groups)
         most = max([r[f"n_{i}"] for r in few for i in range(len(columns))], default=0) * len(few)
     else:
         only = brackets.first()
@@ -113,10 +113,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Se
             F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.when(v >= low, v).alias("_v")))  # below: one row without a value
         return kept
 
-    entries = F.filter(F.array(*[entry(i, j) for i, j in cells]), lambda e: e.isNotNull())
     keys = [*groups, "_i", "_j"]
-    counts = placed.select(*groups, F.explode(entries).alias("_e")).select(*groups, "_e.*").groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_n"))
+    entries = placed.select(*groups, F.explode(F.array(*[entry(i, j) for i, j in cells])).alias("_e")).where(F.col("_e").isNotNull())
+    counts = entries.select(*groups, "_e.*").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = 2 * HALF_WIDTH * most * len(cells) > RANGED_ABOVE
     ordered = _ordered(counts, keys, ranged)
 

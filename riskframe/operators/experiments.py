@@ -11,12 +11,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
 from .aggregates import group_median_fill
+from .isotonic import IsotonicMap
 from .splits import source_weight, stratified_split
 from .train import Bundle, soft_vote
 
@@ -105,13 +105,13 @@ def save_calibrated(spark: SparkSession, members: Sequence[tuple[Bundle, object]
     """Base bundles and their calibration maps as one saved model."""
     for i, (b, iso) in enumerate(members):
         b.save(spark, f"{path}/member_{i}")
-        iso.write().overwrite().save(f"{path}/calibrator_{i}")
+        iso.save(f"{path}/calibrator_{i}")
     return path
 
 
 def load_calibrated(spark: SparkSession, path: str, members: int) -> list[tuple[Bundle, object]]:
     """The members written by :func:`save_calibrated`, ready for ``calibrated_transform``."""
-    return [(Bundle.load(spark, f"{path}/member_{i}"), IsotonicRegressionModel.load(f"{path}/calibrator_{i}"))
+    return [(Bundle.load(spark, f"{path}/member_{i}"), IsotonicMap.load(spark, f"{path}/calibrator_{i}"))
             for i in range(members)]
 
 

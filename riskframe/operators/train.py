@@ -22,12 +22,12 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .isotonic import isotonic_fit
 from .prep import MedianImputer, PopulationScaler
 
 CLASSIFIERS = {
@@ -186,18 +186,6 @@ def fold_id(key: str, folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("fold")), F.lit(folds))
 
 
-def isotonic_fit(scores: DataFrame, score: str = "p", label: str = "y"):
-    """Isotonic map score -> calibrated probability (clips outside the fitted range).
-
-    Fitted on one row per distinct score, its mean label weighted by its rows: the same least-squares solution as on
-    raw rows.  Rows without a score or a label take no part.
-    """
-    known = scores.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    table = known.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_mean"),
-                                     F.count(F.lit(1)).cast("double").alias("_rows"))
-    return IsotonicRegression(featuresCol=score, labelCol="_mean", weightCol="_rows", predictionCol="p_cal").fit(table)
-
-
 def fold_calibrated(df: DataFrame, make: Callable[[], Bundle], key: str, folds: int = 5, seed: int = 42,
                     weight: str | None = None) -> list[tuple[Bundle, object]]:
     """Per fold fit the base bundle on the other folds and an isotonic map on

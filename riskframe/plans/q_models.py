@@ -250,7 +250,12 @@ def q_fold_calibrated(spark, sf_dir):
     return TR.calibrated_transform(test, members).select("vec_id", "y", "p")
 
 
-@register("isotonic_full")
+@register("isotonic_full", f"""WITH s AS ({fx.SCORED_SQL}),
+t AS (SELECT p, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM s GROUP BY p),
+c AS (SELECT p, i, s, n, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM t),
+m AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON a.i <= b.i),
+f AS (SELECT b, max(low) AS p_cal FROM (SELECT b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m) GROUP BY b)
+SELECT rec_id, s.p, y, p_cal FROM s JOIN c ON s.p = c.p JOIN f ON f.b = c.i""")
 def q_isotonic_full(spark, sf_dir):
     """Isotonic map fitted on all FB3 scores; out-of-range scores clip to the ends."""
     s = fx.scored_rows(spark, sf_dir)

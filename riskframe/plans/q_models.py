@@ -9,6 +9,7 @@ Files go under the shared ``spark.checkpoint.dir`` (never a machine-local folder
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import map_lookup
@@ -17,17 +18,18 @@ from ..functions.maps import (CLINICAL_SOURCES, CLINICAL_WEIGHTS, DETERIORATION_
 from ..operators import experiments as X
 from ..operators import features as FE
 from ..operators import labels as L
+from ..operators import pipelines as PL
 from ..operators import train as TR
 from ..operators.boosting import SoftmaxBoost
 from ..operators.sampling import smote
-from ..operators.splits import source_weight
+from ..operators.splits import source_weight, stratified_split
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import fixtures as fx
 from .deterioration import build_features
-from .q_labels import BURN_COLS, BURN_FLAGS, STRESS_IN, STRESS_OUT
-from .q_timeline import DETERIORATION_SQL
+from .q_labels import ANX_COLS, BURN_COLS, BURN_FLAGS, STRESS_IN, STRESS_OUT
 from .q_survey import BURNOUT_SOURCE_NAMES, POOL, STRESS_SOURCE_NAMES, pool
+from .q_timeline import DETERIORATION_SQL
 from .registry import register
 
 GBT_SMALL = {"maxIter": 20, "maxDepth": 4}
@@ -388,3 +390,53 @@ def q_permutation_importance(spark, sf_dir):
     train, test = _split(s, "rec_id", "Target")
     b = TR.Bundle("forest", STRESS_OUT, "Target", "forest", params=FOREST_SMALL).fit(train)
     return TR.permutation_importance(spark, b, test, "rec_id")
+
+
+# ------------------------------------------------------------------ J40: persisted builds
+BUILDS = {
+    "hybrid_build": dict(rules=["hybrid_label", "hybrid_features"], purge=["PHQ9", "GAD7", "ClinicalTotal", "RiskScore", "RiskCategoryName"],
+                         candidates=[*ANX_COLS, "GPA", "Age", "PHQ2", "GAD2", "StressLoad", "LifestyleScore", "SupportScore", "DigitalOverload",
+                                     "MentalResilience", "BurnoutRisk", "RiskIndex"], k=15, n_select=12, step=4),
+    "anxiety_build": dict(rules=["anxiety_label", "anxiety_features", "view_without_diagnostics"], purge=["GAD2"], select=False,
+                          candidates=[*ANX_COLS, "GPA", "Age", "StressLoad", "LifestyleScore", "SupportScore", "RiskScore", "WellnessScore"]),
+}
+BUILD_LABELS = {"hybrid_build": "CAST((PHQ9 + GAD7) / 48 * 100 > 30 AS INTEGER)", "anxiety_build": "CAST(GAD7 >= 10 AS INTEGER)"}
+
+
+def _build(spark, sf_dir, name):
+    """Split, fit, save, load; the test rows scored by the fitted and by the loaded pipeline."""
+    p = pool(spark, sf_dir).select("rec_id", "PHQ9", "GAD7", *ANX_COLS, "GPA", "Age", "GAD2")
+    p = p.withColumn("y", F.expr(BUILD_LABELS[name]))
+    rows = stratified_split(p, "rec_id", ["y"]).checkpoint()
+    model = PL.build(rows, name, folds=3, forest={"numTrees": 10, "maxDepth": 5}, **BUILDS[name])
+    path = scratch_path(spark, name)
+    model.save(path)
+    test = rows.where("is_test")
+    before = model.transform(test).select("rec_id", "RiskCategory", "p", "needs_attention")
+    after = PipelineModel.load(path).transform(test).select("rec_id", F.col("p").alias("p2"), F.col("needs_attention").alias("n2"))
+    same = (F.abs(F.col("p") - F.col("p2")) < 1e-12) & (F.col("needs_attention") == F.col("n2"))
+    return before.join(after, "rec_id").select("rec_id", F.col("RiskCategory").alias("label"), F.col("p").between(0, 1).alias("is_probability"),
+                                               same.alias("same_after_reload"))
+
+
+def _build_sql(label):
+    return f"""WITH {POOL}, s AS (SELECT rec_id, {label} AS label FROM pool),
+c AS (SELECT label, count(*) AS n_s FROM s GROUP BY label),
+a AS (SELECT *, sum(n_s) OVER () AS n, ceil(CAST(sum(n_s) OVER () AS DOUBLE) * 0.2) AS ntt FROM c),
+b AS (SELECT *, ntt * n_s / n AS exact, floor(ntt * n_s / n) AS base FROM a),
+d AS (SELECT *, ntt - sum(base) OVER () AS lft, row_number() OVER (ORDER BY exact - base DESC, label) AS r FROM b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(rec_id AS VARCHAR) || '#42'), rec_id) AS rk FROM s)
+SELECT rec_id, label, true AS is_probability, true AS same_after_reload
+FROM rk JOIN d USING (label) WHERE rk <= base + CAST(r <= lft AS INTEGER)"""
+
+
+@register("hybrid_build", _build_sql(BUILD_LABELS["hybrid_build"]))
+def q_hybrid_build(spark, sf_dir):
+    """Hybrid labels and composites, three-list selection with fallback, SMOTE in the fit, calibration, threshold."""
+    return _build(spark, sf_dir, "hybrid_build")
+
+
+@register("anxiety_build", _build_sql(BUILD_LABELS["anxiety_build"]))
+def q_anxiety_build(spark, sf_dir):
+    """Anxiety label and composites, version B features, SMOTE in the fit, calibration, threshold."""
+    return _build(spark, sf_dir, "anxiety_build")

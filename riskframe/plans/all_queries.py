@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_timeline", "q_survey", "q_scoring", "q_labels", "q_models", "q_serving"]
+MODULES = ["q_timeline", "q_survey", "q_scoring", "q_labels", "q_models", "q_serving", "q_sources"]
 
 
 def load() -> None:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import capitalize, map_lookup
 from ..functions.maps import (CRISIS_HIT, CRISIS_KEYWORDS, CRISIS_MISS, ELEVATED_LEVELS, INSIGHT_ACTIONS,
-                              INSIGHT_ACTIONS_ELEVATED, INSIGHT_ENCOURAGEMENT, INSIGHT_SAFETY_NOTE, TONE_BY_LEVEL,
-                              TONE_DEFAULT)
+                              INSIGHT_ACTIONS_ELEVATED, INSIGHT_ENCOURAGEMENT, INSIGHT_SAFETY_NOTE, JOURNAL_FALLBACK,
+                              TONE_BY_LEVEL, TONE_DEFAULT)
 
 
 def normalise_text(c: Column) -> Column:
@@ -125,3 +125,46 @@ def parse_with_defaults(df: DataFrame, text: str, schema: str, defaults: dict, f
 def fallback_flag(text: Column) -> Column:
     """AI available unless the reply carries the SYSTEM_FALLBACK marker."""
     return ~F.coalesce(text.contains("SYSTEM_FALLBACK"), F.lit(False))
+
+
+# ------------------------------------------------------------------ typed replies over VARIANT
+# --- fixed values: reply forms (field, type, default) and whole-reply fallbacks ---
+REPLY_FORMS = {
+    "weekly": [("title", "string", "Your Weekly Insight"), ("summary", "string", ""), ("whatHelped", "string", ""),
+               ("challenges", "string", ""), ("recommendations", "array<string>", []), ("encouragement", "string", "Keep going! \U0001F31F")],
+    "journal": [("tone", "string", None), ("emotionalScore", "double", None), ("summary", "string", None),
+                ("suggestedAction", "string", None), ("detectedTriggers", "array<string>", None)],
+    "tone": [("safe", "boolean", None), ("label", "string", None), ("action", "string", None), ("reason", "string", None)],
+}
+TONE_FALLBACK = {"safe": True, "label": "SAFE", "action": "ALLOW", "reason": "Fallback"}
+REPLY_FALLBACKS = {"weekly": WEEKLY_FALLBACK, "journal": JOURNAL_FALLBACK, "tone": TONE_FALLBACK}
+REPLY_LIST_HEADS = {"weekly": {"recommendations": 3}}
+#: How ``schema_of_variant`` names the types that a field may have.
+_VARIANT_KINDS = {"string": r"STRING", "double": r"BIGINT|DOUBLE|DECIMAL\(.*", "boolean": r"BOOLEAN", "array<string>": r"ARRAY<.*"}
+
+
+def _plain(value, kind: str) -> Column:
+    if isinstance(value, list):
+        return F.array(*[F.lit(v) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def typed_reply(df: DataFrame, text: str, form: str, out: str = "reply") -> DataFrame:
+    """The fields of a reply form out of a JSON text, as ``<out>_<field>``, and ``<out>_valid``.
+
+    A text that is not exactly one JSON object gives the form's whole fallback.  In an object, an absent field or one of
+    another type takes the form's default, an explicit null stays NULL, and lists are cut to their first entries where
+    the form says so (entries that are no text become their JSON text)."""
+    parsed = F.try_parse_json(F.col(text))
+    # the parser stops after the first value; json_valid sees what follows it
+    valid = json_valid(F.col(text)) & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    fields = {}
+    for name, kind, default in REPLY_FORMS[form]:
+        node = F.try_variant_get(parsed, f"$.{name}", "variant")
+        fits = F.coalesce(F.regexp_like(F.schema_of_variant(node), F.lit(f"^({_VARIANT_KINDS[kind]})$")), F.lit(False))
+        value = F.when(F.coalesce(F.is_variant_null(node), F.lit(False)), F.lit(None).cast(kind)).when(
+            fits, F.try_variant_get(parsed, f"$.{name}", kind)).otherwise(_plain(default, kind))
+        if head := REPLY_LIST_HEADS.get(form, {}).get(name):
+            value = F.slice(value, 1, head)
+        fields[f"{out}_{name}"] = F.when(valid, value).otherwise(_plain(REPLY_FALLBACKS[form][name], kind))
+    return df.withColumns({**fields, f"{out}_valid": valid})

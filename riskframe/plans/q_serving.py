@@ -197,3 +197,51 @@ def q_score_deterioration(spark, sf_dir):
                       F.when(F.col("success"), healthy).alias("dampened"), "score", "riskLevel",
                       F.when(F.col("success"), T.tone(F.col("riskLevel"))).alias("tone"),
                       F.array_join("contributors", "|").alias("contributors"), "why")
+
+
+# ------------------------------------------------------------------ H11, L4, L5: typed replies
+#: Replies by event number: every field, a long list, wrong types, nulls, absent fields, an array, cut text, trailing text.
+PAYLOADS = [
+    '{"title": "T#", "summary": "S", "whatHelped": "H", "challenges": "C", "recommendations": ["a", "b", "c", "d #"], "encouragement": "E", '
+    '"tone": "calm", "emotionalScore": 7.25, "suggestedAction": "walk", "detectedTriggers": ["work", "x"], "safe": false, "label": "TOXIC", '
+    '"action": "FLAG", "reason": "R#"}',
+    '{"title": 5, "summary": ["S"], "recommendations": "one", "emotionalScore": "high", "detectedTriggers": {"a": 1}, "safe": "yes", "label": 3}',
+    '{"title": null, "recommendations": null, "summary": null, "tone": null, "emotionalScore": null, "safe": null, "reason": null}',
+    '{"summary": "only #", "emotionalScore": 4, "safe": true}',
+    '["title", "T"]',
+    '{"title": "cut',
+    '{"title": "T"} trailing',
+    '{}',
+]
+PAYLOAD_SQL = "CASE event_id % 9 " + " ".join(
+    f"WHEN {i} THEN replace({_lit(text)}, '#', CAST(event_id AS VARCHAR(20)))" for i, text in enumerate(PAYLOADS)) + " END"
+_JSON_KINDS = {"string": "'VARCHAR'", "double": "'DOUBLE', 'UBIGINT', 'BIGINT'", "boolean": "'BOOLEAN'", "array<string>": "'ARRAY'"}
+
+
+def _reply_sql(form, name, kind, default):
+    """A field of a form, lists joined with a bar."""
+    def plain(value):
+        if value is None:
+            return "NULL"
+        return _lit("|".join(value) if isinstance(value, list) else value)
+    read = {"string": f"payload ->> '$.{name}'", "double": f"CAST(payload ->> '$.{name}' AS DOUBLE)",
+            "boolean": f"CAST(payload ->> '$.{name}' AS BOOLEAN)"}
+    if kind == "array<string>":
+        n = T.REPLY_LIST_HEADS.get(form, {}).get(name, 100)
+        read[kind] = f"array_to_string(list_slice(from_json(payload -> '$.{name}', '[\"VARCHAR\"]'), 1, {n}), '|')"
+    return (f"CASE WHEN NOT ok THEN {plain(T.REPLY_FALLBACKS[form][name])} WHEN json_type(payload, '$.{name}') = 'NULL' THEN NULL "
+            f"WHEN json_type(payload, '$.{name}') IN ({_JSON_KINDS[kind]}) THEN {read[kind]} ELSE {plain(default)} END AS {form}_{name}")
+
+
+@register("typed_replies", f"""WITH r AS (SELECT event_id, {PAYLOAD_SQL} AS raw FROM events),
+v AS (SELECT event_id, coalesce(json_valid(raw), false) AS good, CASE WHEN json_valid(raw) THEN raw ELSE 'null' END AS payload FROM r),
+p AS (SELECT *, good AND json_type(payload) = 'OBJECT' AS ok FROM v)
+SELECT event_id, ok AS weekly_valid, ok AS journal_valid, ok AS tone_valid,
+  {', '.join(_reply_sql(form, *f) for form, fields in T.REPLY_FORMS.items() for f in fields)} FROM p""")
+def q_typed_replies(spark, sf_dir):
+    """Weekly, journal and tone replies of every kind through VARIANT."""
+    df = fx.table(spark, sf_dir, "events").select("event_id", F.expr(PAYLOAD_SQL).alias("raw"))
+    for form in T.REPLY_FORMS:
+        df = T.typed_reply(df, "raw", form, form)
+    lists = [f"{form}_{name}" for form, fields in T.REPLY_FORMS.items() for name, kind, _ in fields if kind == "array<string>"]
+    return df.drop("raw").withColumns({c: F.array_join(c, "|") for c in lists})

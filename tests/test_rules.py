@@ -184,3 +184,23 @@ def test_poisson_draws_have_the_right_mean(spark):
     df = spark.range(0, 20000).select(poisson("id", 3.0, 42, "t").alias("k"))
     mean = df.agg(F.avg("k")).collect()[0][0]
     assert abs(mean - 3.0) < 0.1
+
+
+def test_typed_replies_take_defaults_nulls_and_fallbacks(spark):
+    from riskframe.operators import text as T
+    rows = [("all", '{"title":"T","recommendations":["a","b","c","d"],"safe":false,"emotionalScore":2}'), ("null", '{"title":null}'),
+            ("types", '{"title":{"x":1},"recommendations":"abc","safe":"no","emotionalScore":"1"}'), ("none", None), ("text", "hello"),
+            ("list", "[1]"), ("tail", '{"title":"T"} x'), ("mixed", '{"recommendations":["a",1,{"b":2}]}')]
+    df = spark.createDataFrame(rows, "k string, payload string")
+    weekly = {r["k"]: r for r in T.typed_reply(df, "payload", "weekly").collect()}
+    assert weekly["all"]["reply_title"] == "T" and weekly["all"]["reply_recommendations"] == ["a", "b", "c"]
+    assert weekly["null"]["reply_title"] is None and weekly["null"]["reply_summary"] == ""
+    assert weekly["types"]["reply_title"] == "Your Weekly Insight" and weekly["types"]["reply_recommendations"] == []
+    assert [weekly[k]["reply_valid"] for k in ("none", "text", "list", "tail")] == [False] * 4
+    assert weekly["tail"]["reply_title"] == T.WEEKLY_FALLBACK["title"] and weekly["list"]["reply_recommendations"] == T.WEEKLY_FALLBACK["recommendations"]
+    assert weekly["mixed"]["reply_recommendations"][0] == "a" and len(weekly["mixed"]["reply_recommendations"]) == 3
+    tone = {r["k"]: r for r in T.typed_reply(df, "payload", "tone").collect()}
+    assert tone["all"]["reply_safe"] is False and tone["types"]["reply_safe"] is None and tone["text"]["reply_reason"] == "Fallback"
+    journal = {r["k"]: r for r in T.typed_reply(df, "payload", "journal").collect()}
+    assert journal["all"]["reply_emotionalScore"] == 2.0 and journal["types"]["reply_emotionalScore"] is None
+    assert journal["none"]["reply_emotionalScore"] == 5.0 and journal["none"]["reply_detectedTriggers"] == []

@@ -305,10 +305,9 @@ def permuted_copies(df: DataFrame, key: str, features: Sequence[str], seed: int
     """``df`` once unchanged (``_feature = ''``) plus one copy per feature whose values are
     permuted across rows; every other column stays in place.
 
-    One exact hash rank orders the rows; feature ``f`` moves the value at rank
-    ``(a_f * r + b_f) mod n`` to rank ``r`` (``a_f`` coprime to ``n``: a bijection).  The
-    values are unpivoted once and every copy finds its value with ONE equi-join on
-    (feature, source rank), so the cost is one rank plus one shuffle of n x F rows.
+    One exact hash rank orders the rows; feature ``f`` moves the value at rank ``s`` to the rank ``r`` with
+    ``(a_f * r + b_f) mod n = s`` (``a_f`` coprime to ``n``: a bijection).  Only the n x F values travel, each to
+    its new rank, where they meet the row as one array; the copies are made there, without a shuffle of rows.
     """
     from .splits import hash_rank
     feats = list(features)
@@ -319,17 +318,16 @@ def permuted_copies(df: DataFrame, key: str, features: Sequence[str], seed: int
     mult = _coprime_multipliers(n, len(feats), seed)
     rng = random.Random(seed + 1)
     shift = [rng.randrange(n) for _ in feats]
-    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in feats)
-    values = ranked.selectExpr("_r AS _src", f"stack({len(feats)}, {stack}) AS (_feature, _value)")
-    src = F.lit(None).cast("long")
-    for f, a, b in zip(feats, mult, shift):
-        src = F.when(F.col("_feature") == f, _affine(F.col("_r"), a, b, n)).otherwise(src)
-    copies = ranked.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in feats]))).withColumn("_src", src)
-    moved = copies.join(values, ["_feature", "_src"]).withColumns(
-        {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f).cast("double")) for f in feats})
-    cols = [c for c in df.columns] + ["_feature"]
-    original = ranked.withColumn("_feature", F.lit("")).withColumns({f: F.col(f).cast("double") for f in feats})
-    return original.select(*cols).unionByName(moved.select(*cols))
+    back = [pow(a, -1, n) if n > 1 else 0 for a in mult]  # the rank that takes the value of rank s is back * (s - shift)
+    values = ranked.select(F.explode(F.array(*[F.struct(
+        _affine(F.col("_r"), i, -i * b % n, n).alias("_to"), F.lit(j).alias("_j"), F.col(f).cast("double").alias("_v"))
+        for j, (f, i, b) in enumerate(zip(feats, back, shift))])).alias("_m")).select("_m.*")
+    taken = values.groupBy("_to").agg(F.transform(F.sort_array(F.collect_list(F.struct("_j", "_v"))), lambda m: m["_v"]).alias("_new"))
+    rows = ranked.join(taken, F.col("_r") == F.col("_to"))
+    copies = rows.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(feats) - 1))))
+    changed = {f: F.when(F.col("_j") == j, F.get("_new", F.lit(j))).otherwise(F.col(f).cast("double")) for j, f in enumerate(feats)}
+    names = F.element_at(F.array(F.lit(""), *[F.lit(f) for f in feats]), F.col("_j") + 2)
+    return copies.withColumns(changed).withColumn("_feature", names).select(*df.columns, "_feature")
 
 
 def _affine(r, a: int, b: int, n: int):

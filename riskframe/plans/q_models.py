@@ -66,7 +66,11 @@ def _pool_extract(spark, sf_dir):
     return pool(spark, sf_dir).select("rec_id", "DatasetSource", "WorkHours", "SleepHours", "StressText", "Age")
 
 
-@register("csv_scan")
+_EXTRACT_SQL = f"WITH {POOL} SELECT rec_id, DatasetSource, WorkHours, SleepHours, StressText, Age FROM pool"
+
+
+@register("csv_scan", f"""SELECT CAST(rec_id AS DOUBLE) AS rec_id, 'csv_pool' AS DatasetSource, WorkHours, SleepHours,
+  trim(StressText) AS StressText, Age FROM ({_EXTRACT_SQL})""")
 def q_csv_scan(spark, sf_dir):
     """A1: header CSV written by Spark, read back as text, numerics coerced."""
     path = FS.write_table(_pool_extract(spark, sf_dir), scratch_path(spark, "csv_scan"), "csv")
@@ -74,7 +78,8 @@ def q_csv_scan(spark, sf_dir):
     return FS.read_source(spark, spec)
 
 
-@register("tsv_scan")
+@register("tsv_scan", f"""SELECT CAST(rec_id AS VARCHAR) AS rec_id, 'tsv_pool' AS DatasetSource, WorkHours AS work_hours, SleepHours AS sleep_hours,
+  trim(StressText) AS StressText, CAST(Age AS VARCHAR) AS Age FROM ({_EXTRACT_SQL})""")
 def q_tsv_scan(spark, sf_dir):
     """A2: tab-separated source chosen by the spec (``fmt='tsv'``), renamed on read."""
     path = FS.write_table(_pool_extract(spark, sf_dir), scratch_path(spark, "tsv_scan"), "tsv")
@@ -84,7 +89,9 @@ def q_tsv_scan(spark, sf_dir):
     return FS.read_source(spark, spec)
 
 
-@register("headerless_scan")
+@register("headerless_scan", f"""SELECT DatasetSource AS DatasetSource_raw, WorkHours AS Age_raw, Age AS ExperienceYears,
+  'corporate' AS DatasetSource FROM ({_EXTRACT_SQL})
+UNION ALL SELECT 'DatasetSource', NULL, NULL, 'corporate'""")
 def q_headerless_scan(spark, sf_dir):
     """A3: headerless read by position; the written header line becomes a row of NULL numbers."""
     path = FS.write_table(_pool_extract(spark, sf_dir), scratch_path(spark, "headerless"), "csv")
@@ -94,7 +101,7 @@ def q_headerless_scan(spark, sf_dir):
     return FS.read_source(spark, spec)
 
 
-@register("json_scan")
+@register("json_scan", f"""SELECT rec_id, 'synthetic_json' AS DatasetSource, WorkHours, SleepHours, StressText, Age FROM ({_EXTRACT_SQL})""")
 def q_json_scan(spark, sf_dir):
     """A4 (read side) and A6: JSON-lines source plus an absent source reported as skipped."""
     path = FS.write_table(_pool_extract(spark, sf_dir), scratch_path(spark, "json_scan"), "json")
@@ -392,6 +399,26 @@ def q_permutation_importance(spark, sf_dir):
     return TR.permutation_importance(spark, b, test, "rec_id")
 
 
+PERMUTED = ["WorkHours", "SleepHours", "ScreenTime", "Age"]
+
+
+@register("permutation_checks", f"""WITH {POOL}, c AS (SELECT unnest(['', {', '.join(f"'{f}'" for f in PERMUTED)}]) AS copy)
+SELECT copy, feature, count(*) AS n_rows, count(v) AS n_values, sum(v) AS total, sum(v * v) AS squares,
+  CASE WHEN copy = feature THEN true ELSE false END AS moved
+FROM c, (SELECT unnest([{', '.join(f"'{f}'" for f in PERMUTED)}]) AS feature, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in PERMUTED)}]) AS v FROM pool)
+GROUP BY copy, feature""")
+def q_permutation_checks(spark, sf_dir):
+    """Every copy holds the same values in every feature, and only its own feature has moved."""
+    p = pool(spark, sf_dir).select("rec_id", *[F.col(f).cast("double").alias(f) for f in PERMUTED])
+    p = p.withColumns({f"_{f}": F.col(f) for f in PERMUTED})  # the values before
+    copies = TR.permuted_copies(p, "rec_id", PERMUTED)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v"), F.col(f).eqNullSafe(F.col(f"_{f}")).alias("same"))
+                                for f in PERMUTED]))
+    cells = copies.select(F.col("_feature").alias("copy"), cells.alias("c")).select("copy", "c.*")
+    return cells.groupBy("copy", "feature").agg(F.count("*").alias("n_rows"), F.count("v").alias("n_values"), F.sum("v").alias("total"),
+                                                F.sum(F.col("v") * F.col("v")).alias("squares"), (~F.bool_and("same")).alias("moved"))
+
+
 # ------------------------------------------------------------------ J40: persisted builds
 BUILDS = {
     "hybrid_build": dict(rules=["hybrid_label", "hybrid_features"], purge=["PHQ9", "GAD7", "ClinicalTotal", "RiskScore", "RiskCategoryName"],

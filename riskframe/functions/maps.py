@@ -19,6 +19,9 @@ SLEEP_HOURS_WORDS = {
 # financial-stress words, depression pool
 FINANCIAL_STRESS_WORDS = {"high": 8, "moderate": 5, "low": 2, "no": 0}
 
+# external audit: matched after strip + capitalize, anything else 5
+EXTERNAL_STRESS_WORDS = {"High": 8.5, "Moderate": 5.0, "Low": 2.5}
+
 # burnout pool: matched after strip + capitalize
 STRESS_LEVEL_WORDS = {"Low": 2.5, "Medium": 5.0, "Moderate": 5.0, "High": 7.5, "Severe": 10.0, "Extreme": 10.0}
 SLEEP_QUALITY_WORDS = {"Poor": 2.5, "Average": 5.0, "Good": 7.5, "Excellent": 10.0}

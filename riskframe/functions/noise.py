@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .exprs import ColumnOrName, unit_uniform
 
+#: Rates above this are drawn in parts.
+LARGEST_RATE = 500.0
+
 
 def gaussian(key: ColumnOrName, seed: int = 42, tag: str = "", std: float = 1.0) -> Column:
     """N(0, std) by Box-Muller from two hash uniforms."""
@@ -31,20 +34,33 @@ def poisson(key: ColumnOrName, lam: ColumnOrName | float, seed: int = 42, tag: s
     """Poisson(lam) by inverse CDF with the recurrence p_k = p_(k-1) * lam / k.
 
     The recurrence runs as far as a 53-bit uniform can reach at the row's own rate, so no
-    draw is cut.
+    draw is cut.  exp(-lam) vanishes for large rates: above ``LARGEST_RATE`` the rate is split
+    evenly and the independent draws of its parts are added up.
     """
     lam_c = F.lit(float(lam)) if isinstance(lam, (int, float)) else (F.col(lam) if isinstance(lam, str) else lam)
-    u = unit_uniform(key, seed, tag)
-    p0 = F.exp(-lam_c)
+    key_c = F.col(key) if isinstance(key, str) else key
+    parts = F.greatest(F.ceil(lam_c / LARGEST_RATE), F.lit(1)).cast("int")
+    first = unit_uniform(key, seed, tag)
+
+    def part(total, i):
+        u = F.when(i == 1, first).otherwise(unit_uniform(F.xxhash64(key_c, i), seed, tag))
+        return total + _poisson_draw(u, lam_c / parts)
+
+    return F.when(lam_c.isNotNull(), F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), part))
+
+
+def _poisson_draw(u: Column, lam: Column) -> Column:
+    """The smallest k whose cumulative probability exceeds ``u``."""
+    p0 = F.exp(-lam)
     init = F.struct(p0.alias("p"), p0.alias("cdf"), F.when(u < p0, F.lit(0)).otherwise(F.lit(-1)).alias("res"))
 
     def step(acc, k):
-        p = acc["p"] * lam_c / k.cast("double")
+        p = acc["p"] * lam / k.cast("double")
         cdf = acc["cdf"] + p
         res = F.when(acc["res"] >= 0, acc["res"]).when(u < cdf, k).otherwise(F.lit(-1))
         return F.struct(p.alias("p"), cdf.alias("cdf"), res.alias("res"))
 
-    reach = F.ceil(lam_c + 12 * F.sqrt(lam_c) + 40).cast("int")
+    reach = F.ceil(lam + 12 * F.sqrt(lam) + 40).cast("int")
     out = F.aggregate(F.sequence(F.lit(1), reach), init, step)["res"]
     return F.when(out < 0, reach).otherwise(out).cast("int")
 

@@ -185,14 +185,19 @@ def importance_share(imp: DataFrame, feature: str = "feature", value: str = "imp
     return per.withColumn("share_pct", F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy()) * 100)
 
 
-def minmax10(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def minmax10(df: DataFrame, columns: Sequence[str], words: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """H9: per column: numeric coerce, median fill, then min-max to 0-10.
 
+    ``words`` {column: {Word: number}} maps text columns first (trimmed, capitalised);
+    there anything else, NULL too, is 5.
     A column with no values becomes 5; a column without spread becomes 5.
     Statistics come from one aggregation (one small row on the driver).
     """
-    from ..functions import numeric_col
-    num = df.withColumns({c: numeric_col(df, c) for c in columns})
+    from ..functions import capitalize, map_lookup, numeric_col
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    mapped = {c: w for c, w in (words or {}).items() if c in texts}
+    num = df.withColumns({c: map_lookup(mapped[c], capitalize(F.trim(F.col(c))), 5.0) if c in mapped else numeric_col(df, c)
+                          for c in [*columns, *[c for c in mapped if c not in columns]]})
     med = collect_medians(num, columns)
     filled = num.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast("double")) for c in columns})
     row = filled.agg(*[F.min(c).alias(f"{c}__lo") for c in columns], *[F.max(c).alias(f"{c}__hi") for c in columns]).first()

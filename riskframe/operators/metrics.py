@@ -248,11 +248,12 @@ def linear_scorer(weights: dict[str, float], intercept: float, lo: float = 0.01,
 
 
 def external_validation(df: DataFrame, label: Column, scenario: str, scale: Sequence[str],
-                        prob_integrated: Column, prob_clinical: Column, rename: dict | None = None) -> DataFrame:
+                        prob_integrated: Column, prob_clinical: Column, rename: dict | None = None,
+                        words: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Audit one external scenario end to end.
 
     The ground-truth label is computed on the raw columns *before* renaming
-    (as the reference does), then the scaling columns are numeric-coerced,
+    (as the reference does), then worded columns are mapped, the scaling columns are numeric-coerced,
     median-filled and min-max rescaled to 0-10 (H9), each row is routed to
     the integrated or clinical model and banded (K5), and one row of metrics
     comes back: AUC (0.0 when only one class is present), recall and
@@ -267,7 +268,7 @@ def external_validation(df: DataFrame, label: Column, scenario: str, scale: Sequ
     x = df.withColumn("GroundTruthLabel", F.coalesce(label, F.lit(False)).cast("int"))
     if rename:
         x = rename_map(x, rename)
-    x = minmax10(x, [c for c in scale if c in x.columns])
+    x = minmax10(x, [c for c in scale if c in x.columns], words)
     x = x.withColumns({"_p_int": prob_integrated, "_p_cli": prob_clinical})
     r = route_and_band(x, "_p_int", "_p_cli").select(
         F.lit(scenario).alias("Scenario"), F.col("GroundTruthLabel").alias("y"),

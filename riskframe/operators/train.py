@@ -20,7 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -264,12 +264,15 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
                   parallelism: int = 4, key: str = "rec_id") -> DataFrame:
     """Sampled parameter maps, ``folds``-fold cross validation scored by positive-class recall.
 
-    Folds come from a hash of ``key``, so they do not move with the partitioning.  Returns (trial, params_json, mean_recall, rank)."""
-    imp = MedianImputer(list(features)).fit(df)
-    x = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
-        imp.transform(df)).withColumn("label", F.col(label).cast("double"))
+    Folds come from a hash of ``key``, so they do not move with the partitioning.  Missing values take the (sketched)
+    median of the fold's training rows.  Returns (trial, params_json, mean_recall, rank)."""
+    x = df.withColumns({f: F.col(f).cast("double") for f in features}).withColumn("label", F.col(label).cast("double"))
     x = x.withColumn("_fold", F.coalesce(fold_id(key, folds, seed), F.lit(0)).cast("int"))
     est = classifier(kind, "label", "features")
+    filled = [f"_filled_{i}" for i in range(len(features))]
+    # the imputer is a stage, so each fold's medians come from its own training rows
+    pipe = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=0.0001),
+                            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), est])
     trials = sample_params(space, n_iter, seed)
     maps = []
     for t in trials:
@@ -278,7 +281,7 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
             g = g.addGrid(est.getParam(k), [v])
         maps.extend(g.build())
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=parallelism, foldCol="_fold")
     model = cv.fit(x)
     rows = [(i, json.dumps(t, sort_keys=True), float(m)) for i, (t, m) in enumerate(zip(trials, model.avgMetrics))]

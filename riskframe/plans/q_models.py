@@ -37,12 +37,12 @@ FOREST_SMALL = {"numTrees": 30, "maxDepth": 6}
 
 
 # ------------------------------------------------------------------ model inputs
-def stress_table(spark, sf_dir):
-    """FB1 -> I6 composite target on the raw columns -> I16 features (leak columns purged)."""
+def stress_table(spark, sf_dir, more=()):
+    """FB1 -> I6 composite target on the raw columns -> I16 features (leak columns purged), with ``more`` of them."""
     p = pool(spark, sf_dir).select("rec_id", map_lookup(STRESS_SOURCE_NAMES, "DatasetSource").alias("DatasetSource"),
                                    *STRESS_IN, "WorkStress")
     p = L.stress_target(p).withColumn("WorkStress", F.col("WorkStress") * 1.2)
-    return FE.feat_stress(p).select("rec_id", "DatasetSource", "Target", *STRESS_OUT)
+    return FE.feat_stress(p).select("rec_id", "DatasetSource", "Target", *STRESS_OUT, *more)
 
 
 def vector_table(spark, sf_dir):
@@ -282,18 +282,19 @@ def q_random_search(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ J37-J40 harnesses
-ENGINEERED = ["RecentStressSpike", "RecoveryFailureScore", "StressLoad", "BurnoutRiskCalc", "WeeklyStressTrend"]
-PROXIES = ["WeeklyStressTrend"]
+PROXIES = ["WeeklyStressTrend", "ConsecutivePoorSleepDays", "HighWorkloadFrequency"]
+ENGINEERED = ["RecentStressSpike", "RecoveryFailureScore", "StressLoad", "BurnoutRiskCalc", *PROXIES]
 LEAKY = ["WorkStressMini", "ExhaustionMini", "WorkStress_missing", "EmotionalExhaustion_missing"]
 
 
 @register("ablation")
 def q_ablation(spark, sf_dir):
     """Variants A-F on one cached split (run on the engineered table, see README)."""
-    s = stress_table(spark, sf_dir)
+    drawn = PROXIES[1:]
+    s = stress_table(spark, sf_dir, drawn)
     s = s.withColumns({f"DatasetSource_{v}": (F.col("DatasetSource") == v).cast("double")
                        for v in sorted(STRESS_SOURCE_NAMES.values())[1:]})
-    allf = STRESS_OUT + [c for c in s.columns if c.startswith("DatasetSource_")]
+    allf = STRESS_OUT + drawn + [c for c in s.columns if c.startswith("DatasetSource_")]
     variants = {
         "Variant A (Full)": allf,
         "Variant B (No Eng)": [f for f in allf if f not in ENGINEERED],

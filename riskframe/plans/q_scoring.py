@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import capitalize
-from ..functions.maps import MODEL_REGISTRY
+from ..functions.maps import EXTERNAL_STRESS_WORDS, MODEL_REGISTRY, SLEEP_QUALITY_WORDS
 from ..functions.noise import integer_jitter
 from ..operators import metrics as M
 from ..operators import score as S
@@ -545,16 +545,15 @@ def _mm_sql(c):
     return f"CASE WHEN hi_{c} > lo_{c} THEN 10 * ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 5.0 END AS {c}"
 
 
-@register("external_validation", f"""WITH {POOL},
-q AS (SELECT quantile_cont(StressLevel, 0.85) AS cut FROM pool),
-l AS (SELECT CAST(coalesce(StressLevel >= cut, false) AS INT) AS y, MeetingParticipation IS NOT NULL AS integ,
-             {', '.join(EV_SCALE)} FROM pool, q),
+def _external_sql(scenario, labelled):
+    """Metrics of a scenario whose rows ``labelled`` selects: y, integ and the scaling columns."""
+    return f"""WITH {POOL}, {labelled},
 m AS (SELECT {', '.join(f'median({c}) AS med_{c}' for c in EV_SCALE)} FROM l),
 f AS (SELECT y, integ, {', '.join(f'coalesce({c}, med_{c}) AS {c}' for c in EV_SCALE)} FROM l, m),
 r AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in EV_SCALE)} FROM f),
 x AS (SELECT y, integ, {', '.join(_mm_sql(c) for c in EV_SCALE)} FROM f, r),
 pr AS (SELECT y, integ, CASE WHEN integ THEN {_lin_sql(EV_INTEGRATED)} ELSE {_lin_sql(EV_CLINICAL)} END AS p0 FROM x),
-b AS (SELECT 'Workplace_Generalization' AS Scenario, y, round_even(p0, 4) AS p,
+b AS (SELECT '{scenario}' AS Scenario, y, round_even(p0, 4) AS p,
              CAST(p0 >= CASE WHEN integ THEN 0.5 ELSE 0.4 END AS INT) AS na,
              CASE WHEN integ THEN 'integrated' ELSE 'clinical' END AS sel FROM pr),
 t AS (SELECT Scenario, p AS score, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM b GROUP BY ALL),
@@ -569,7 +568,12 @@ rt AS (SELECT Scenario, sel AS Routing FROM b GROUP BY Scenario, sel
        QUALIFY row_number() OVER (PARTITION BY Scenario ORDER BY count(*) DESC, sel) = 1)
 SELECT g.Scenario, AUC, CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS Recall,
        CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS Precision, Brier, Routing
-FROM g JOIN a ON g.Scenario = a.Scenario JOIN rt ON g.Scenario = rt.Scenario""")
+FROM g JOIN a ON g.Scenario = a.Scenario JOIN rt ON g.Scenario = rt.Scenario"""
+
+
+@register("external_validation", _external_sql("Workplace_Generalization", f"""q AS (SELECT quantile_cont(StressLevel, 0.85) AS cut FROM pool),
+l AS (SELECT CAST(coalesce(StressLevel >= cut, false) AS INT) AS y, MeetingParticipation IS NOT NULL AS integ,
+             {', '.join(EV_SCALE)} FROM pool, q)"""))
 def q_external_validation(spark, sf_dir):
     """Workplace scenario -- label at the 0.85 quantile of the raw score, then
     rename, 0-10 rescale, route and band, metrics (one row)."""
@@ -579,3 +583,24 @@ def q_external_validation(spark, sf_dir):
     return M.external_validation(
         raw, label, "Workplace_Generalization", EV_SCALE,
         M.linear_scorer(*EV_INTEGRATED), M.linear_scorer(*EV_CLINICAL), rename=EV_RENAME)
+
+
+# the second scenario brings worded stress, sleep quality and burnout level, and no integration column
+EV_STUDENT = {"daily_study_hours": "WorkHours", "daily_sleep_hours": "SleepHours", "screen_time_hours": "ScreenTime",
+              "stress_level": "StressLevel", "burnout_level": "RiskCategory"}
+EV_WORDS = {"StressLevel": EXTERNAL_STRESS_WORDS, "SleepQuality": SLEEP_QUALITY_WORDS}
+
+
+@register("external_psychological", _external_sql("Psychological_Generalization", f"""l AS (
+  SELECT CAST(coalesce(upper(substr(trim(LevelText), 1, 1)) || lower(substr(trim(LevelText), 2)) = 'High', false) AS INT) AS y, false AS integ,
+    coalesce({sql_map("upper(substr(trim(StressText), 1, 1)) || lower(substr(trim(StressText), 2))", EXTERNAL_STRESS_WORDS)}, 5.0) AS StressLevel,
+    WorkHours, SleepHours, ScreenTime FROM pool)"""))
+def q_external_psychological(spark, sf_dir):
+    """Student scenario -- label from the worded burnout level, worded stress mapped before the rescale."""
+    p = pool(spark, sf_dir)
+    raw = p.select(F.col("WorkHours").alias("daily_study_hours"), F.col("SleepHours").alias("daily_sleep_hours"),
+                   F.col("ScreenTime").alias("screen_time_hours"), F.col("StressText").alias("stress_level"),
+                   F.col("LevelText").alias("burnout_level"), F.col("QualityText").alias("SleepQuality"))
+    label = capitalize(F.trim("burnout_level")).isin(["High"])
+    return M.external_validation(raw, label, "Psychological_Generalization", EV_SCALE, M.linear_scorer(*EV_INTEGRATED),
+                                 M.linear_scorer(*EV_CLINICAL), rename=EV_STUDENT, words=EV_WORDS)

@@ -204,3 +204,20 @@ def test_typed_replies_take_defaults_nulls_and_fallbacks(spark):
     journal = {r["k"]: r for r in T.typed_reply(df, "payload", "journal").collect()}
     assert journal["all"]["reply_emotionalScore"] == 2.0 and journal["types"]["reply_emotionalScore"] is None
     assert journal["none"]["reply_emotionalScore"] == 5.0 and journal["none"]["reply_detectedTriggers"] == []
+
+
+def test_poisson_of_large_rates_has_the_right_mean_and_spread(spark):
+    from riskframe.functions.noise import poisson
+    df = spark.range(4000).select("id", *[poisson("id", rate, 3, "t").alias(f"r{i}") for i, rate in enumerate((3.0, 499.0, 2000.0))],
+                                  poisson("id", F.lit(None).cast("double")).alias("none"))
+    row = df.agg(*[f(f"r{i}") for i in range(3) for f in (F.avg, F.var_pop)], F.count("none")).first()
+    for i, rate in enumerate((3.0, 499.0, 2000.0)):
+        assert abs(row[2 * i] - rate) < 5 * (rate / 4000) ** 0.5 and 0.85 < row[2 * i + 1] / rate < 1.15
+    assert row[6] == 0
+
+
+def test_minmax_maps_words_first(spark):
+    from riskframe.operators.aggregates import minmax10
+    rows = [(" high ", "1"), ("LOW", "3"), ("odd", None), (None, "x")]
+    got = minmax10(spark.createDataFrame(rows, "s string, n string"), ["s", "n"], {"s": {"High": 8.0, "Low": 2.0}}).collect()
+    assert [round(r["s"], 6) for r in got] == [10.0, 0.0, 5.0, 5.0] and [r["n"] for r in got] == [0.0, 10.0, 5.0, 5.0]

@@ -87,7 +87,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
             probe_share: float = 0.6, max_lists: int = 1024, sample_rows: int = 65_536) -> DataFrame:
     """query_id, rank, ``id_col``, score: the k nearest rows found for every row whose id is divisible by ``every``.
 
-    A query probes the nearest ``probe_share`` of the lists: on vectors without clusters, as in the given tables, it
+    A query probes the nearest ``probe_share`` of the lists, and more until they hold ``k`` other vectors: on vectors without clusters, as in the given tables, it
     takes about half of them for a recall above 0.9; clustered vectors need far fewer.
 
     Equal vectors are searched once: a distinct vector stands for the k + 1 smallest of its ids, which are all that
@@ -140,10 +140,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     def probe(batches):
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()) @ turn if len(pdf) else np.zeros((0, dim))
-            near = np.argsort(squared(x, centers), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query": np.repeat(pdf["rep"].to_numpy(), near.shape[1]),
-                                "qv": pd.Series([v for v in pdf["v"] for _ in range(near.shape[1])], dtype=object),
-                                "cell": near.ravel().astype(np.int32)})
+            near = np.argsort(squared(x, centers), axis=1, kind="stable")
+            # as many more lists as it takes to meet k + 1 vectors, its own among them
+            enough = (np.cumsum(sizes[near], axis=1) < k + 1).sum(1) + 1
+            taken = np.minimum(np.maximum(enough, probes), lists)
+            yield pd.DataFrame({"query": np.repeat(pdf["rep"].to_numpy(), taken),
+                                "qv": pd.Series([v for v, n in zip(pdf["v"], taken) for _ in range(n)], dtype=object),
+                                "cell": np.concatenate([r[:n] for r, n in zip(near, taken)] or [np.zeros(0)]).astype(np.int32)})
 
     probing = written(queries.mapInPandas(probe, "query long, qv array<double>, cell int"), "probes")
     load = np.zeros(lists, np.int64)

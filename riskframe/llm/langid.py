@@ -1,15 +1,16 @@
-"""Hierarchical language identification: the family first, then one-versus-rest linear SVMs inside the family."""
+"""Hierarchical language identification: the family first, then one-versus-one linear SVMs inside the family."""
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, strings, with_arrow
+from .common import held_out, strings, with_arrow, written
 from .linear import fit_hinge, sigmoid
 from .tokens import pieces
 
@@ -23,6 +24,7 @@ FAMILIES = {
 UNKNOWN = "und"
 BITS = 15
 SCALE = 20.0  # relative frequencies are small; the SVMs see them times this
+SAMPLE_BYTES = 256 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -72,46 +74,71 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5,
-          per_lang: int = 600, c: float = 1.0) -> dict:
-    """The models, fitted on a bounded sample of about ``per_lang`` documents per language.  Workers make the sparse
-    features of whole texts; only those of the sample reach the driver."""
+          per_lang: int = 600, c: float = 1.0, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """The models, fitted on a bounded sample of about ``per_lang`` documents per language and at most about
+    ``sample_bytes`` of features.  Workers make the sparse features of whole texts; only those of the sample reach the
+    driver, packed.  Families are told apart by one model each against the rest; inside a family of m languages
+    there are m * (m - 1) / 2 machines, each fitted on the documents of its two languages alone."""
     sample = labelled_sample(docs, id_col, text_col, lang_col, folds, per_lang)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = [(i, v) for i, v in frequencies(strings(batch.column(1)))]
-        return [pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())),
-                pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))]
-
-    made = with_arrow(sample, run, "idx array<int>, val array<double>").select("lang", "idx", "val").collect()
-    rows = [(np.array(r["idx"], np.int64), np.array(r["val"])) for r in made]
+        rows = frequencies(strings(batch.column(1)))
+        return [pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()),
+                pa.array([v.astype(np.float64).tobytes() for _, v in rows], pa.binary())]
+
+    made = written(with_arrow(sample, run, "idx binary, val binary").select("lang", "idx", "val"), "language-sample")
+    size = made.agg(F.sum(F.octet_length("idx") + F.octet_length("val"))).first()[0] or 0
+    share = min(1_000_000, sample_bytes * 1_000_000 // max(size, 1))
+    made = made.where(F.pmod(F.xxhash64("idx", "val"), F.lit(1_000_000)) < share).orderBy("lang", "idx", "val").collect()
+    rows = [(np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["val"])) for r in made]
     langs = np.array([r["lang"] for r in made], dtype=object)
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family(lang), []).append(lang)
-    columns, groups = [], []
-
-    def one_versus_rest(names, of):
-        """Columns of the models for ``names`` over the rows whose class is among them (none for a single class)."""
-        if len(names) < 2:
-            return None
-        some = [i for i in range(len(rows)) if of[i] in names]
-        first = len(columns)
-        for name in names:
-            y = np.array([1.0 if of[i] == name else -1.0 for i in some])
-            columns.append(fit_hinge([rows[i] for i in some], y, 1 << BITS, c))
-        return list(range(first, len(columns)))
-
-    top = one_versus_rest(sorted(families), [family(x) for x in langs])
-    for f in sorted(families):
-        groups.append((families[f], one_versus_rest(families[f], langs)))
+    columns: list[tuple[np.ndarray, float]] = []
+
+    def machine(some: list[int], positive) -> int:
+        """The column of a model of the rows ``some``, those where ``positive`` holds against the others."""
+        y = np.array([1.0 if positive(i) else -1.0 for i in some])
+        columns.append(fit_hinge([rows[i] for i in some], y, 1 << BITS, c))
+        return len(columns) - 1
+
+    names = sorted(families)
+    of = [family(x) for x in langs]
+    top = [machine(range(len(rows)), lambda i, f=f: of[i] == f) for f in names] if len(names) > 1 else None
+    groups = []
+    for f in names:
+        duels = []
+        for a, b in combinations(range(len(families[f])), 2):
+            one, other = families[f][a], families[f][b]
+            some = [i for i in range(len(rows)) if langs[i] in (one, other)]
+            duels.append((a, b, machine(some, lambda i, one=one: langs[i] == one)))
+        groups.append((families[f], duels))
     weights = np.stack([w for w, _ in columns], axis=1) if columns else np.zeros((1 << BITS, 1))
     return {"weights": (SCALE * weights).astype(np.float32), "bias": np.array([b for _, b in columns] or [0.0]),
             "top": top, "groups": groups}
 
 
+def votes(margin: np.ndarray, names: int, duels: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(winner, its lead) of every row from the machines (first, second, column): a margin of at least 0 is a vote for the
+    first.  Most votes win; ties go to the larger sum of a language's margins over its machines, then to the first
+    name.  The lead is the winner's margin over the next in that order."""
+    n = len(margin)
+    count, total, duel = np.zeros((n, names)), np.zeros((n, names)), np.zeros((n, names, names))
+    for a, b, column in duels:
+        m = margin[:, column]
+        count[:, a] += m >= 0
+        count[:, b] += m < 0
+        total[:, a] += m
+        total[:, b] -= m
+        duel[:, a, b], duel[:, b, a] = m, -m
+    order = np.lexsort((np.broadcast_to(np.arange(names), (n, names)), -total, -count), axis=1)
+    return order[:, 0], duel[np.arange(n), order[:, 0], order[:, 1]]
+
+
 def predict(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
-    """(language, score) of each text. The score multiplies, over both levels, the sigmoid of the lead of the best
-    model's margin over the next; a level with one class counts 1."""
+    """(language, score) of each text: the family of the largest margin, and in it the language with most votes.  The
+    score multiplies, over both levels, the sigmoid of the lead over the next; a level with one class counts 1."""
     w, n = model["weights"], len(texts)
     total, sums = np.zeros(n), np.zeros((n, w.shape[1]))
     for of, size, code in trigrams(texts):
@@ -132,12 +159,13 @@ def predict(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
     rows = np.array([i for i, t in enumerate(texts) if has_letter(t)], dtype=np.int64)
     if len(rows) and model["groups"]:
         group, p = best(model["top"], rows) if model["top"] else (np.zeros(len(rows), np.int64), np.ones(len(rows)))
-        for g, (names, columns) in enumerate(model["groups"]):
+        for g, (names, duels) in enumerate(model["groups"]):
             mine = rows[group == g]
             if len(mine):
-                k, q = best(columns, mine) if columns else (np.zeros(len(mine), np.int64), np.ones(len(mine)))
+                k, lead = votes(margin[mine], len(names), duels) if duels else (np.zeros(len(mine), np.int64), None)
                 lang[mine] = np.array(names, dtype=object)[k]
-                score[mine] = p[group == g] * q
+                # a machine's two sides differ by twice its margin
+                score[mine] = p[group == g] * (1.0 if lead is None else sigmoid(8 * lead))
     return lang.tolist(), score
 
 
@@ -159,7 +187,10 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     folds: int = 5, per_lang: int = 600) -> DataFrame:
-    """Per document: ``id_col``, held_out, lang_pred, score."""
+    """Per document: ``id_col``, held_out, lang_pred, score.
+
+    Null and empty texts, and texts without a letter, are ``und``; null languages teach nothing; rows repeat as they do
+    in ``docs``; an empty table gives an empty result; other columns are not read, whatever their names."""
     model = train(docs, id_col, text_col, lang_col, folds, per_lang)
     base = docs.select(id_col, held_out(id_col, folds).alias("held_out"), F.col(text_col).alias("text"))
     return identify(base, model).select(id_col, "held_out", "lang_pred", "score")
@@ -168,7 +199,8 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5,
                per_lang: int = 600, min_score: float = 0.3) -> DataFrame:
     """``docs`` without the documents that have no language (``und``) or whose best score is below ``min_score``.
-    The score of a clear decision is near 1 and that of a tie at both levels 0.25."""
+    The score of a clear decision is near 1 and that of a tie at both levels 0.25.  Null and empty texts have no
+    language; repeated rows stay or go together; an empty table stays empty; all columns pass as they are."""
     model = train(docs, id_col, text_col, lang_col, folds, per_lang)
     columns = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(columns))])

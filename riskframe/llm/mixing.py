@@ -44,7 +44,7 @@ def choose_alpha(sources: DataFrame, budget_ratio: float, target_entropy: float
     largest that still reaches it.  ``max_epochs`` bounds how often a source may repeat: the exponent is at least
     the smallest that keeps it."""
     total, n = sources.agg(F.sum("tokens").cast("double"), F.count("*")).first()
-    if not total or n < 2:
+    if not total:
         return 1.0
     share = F.col("tokens") / F.lit(total)
 
@@ -62,6 +62,10 @@ def choose_alpha(sources: DataFrame, budget_ratio: float, target_entropy: float
         s = sums(alpha)
         return budget_ratio * s["top"] / s["z"] <= max_epochs
 
+    if max_epochs is not None and budget_ratio > max_epochs:
+        raise ValueError(f"no mixture of {budget_ratio} times all tokens repeats every source at most {max_epochs} times")
+    if n < 2:
+        return 1.0
     alpha = 0.0
     if target_entropy is not None:
         alpha = max(alpha, bisect(flat_enough_no_more))
@@ -73,10 +77,11 @@ def choose_alpha(sources: DataFrame, budget_ratio: float, target_entropy: float
 def mixing_plan(tokens: DataFrame, budget_ratio: float = 1.0, target_entropy: float | None = 0.95,
                 max_epochs: float | None = 4.0, bucket_rows: int = 1_000) -> DataFrame:
     """Per source of ``tokens`` (source, tokens, u = row hash): tokens, weight, target_tokens, epochs, whole passes and
-    ``cut``: rows with a hash up to it join the partial pass.
+    ``cut``: rows with a hash below it join the partial pass, and ``take`` of the ``copies`` rows that have it.
 
-    The cut is the first row, in hash order, at which the source's remaining budget is reached.  Hash buckets of
-    about ``bucket_rows`` rows are summed first; only the one bucket of each source that holds the cut is ordered.
+    The cut is the first row, in hash order, at which the source's remaining budget is reached.  Equal rows are counted
+    first, so a row that repeats is one.  Hash buckets of about ``bucket_rows`` rows are summed next; only the one bucket
+    of each source that holds the cut is ordered.
     """
     sources = written(tokens.where("tokens > 0").groupBy("source")
                       .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
@@ -87,27 +92,31 @@ def mixing_plan(tokens: DataFrame, budget_ratio: float = 1.0, target_entropy: fl
     weight = power / F.lit(z)
     plan = sources.select("source", "tokens", "docs", weight.alias("weight"),
                           F.floor(weight * F.lit(float(total) * budget_ratio) + 0.5).alias("target_tokens"))
+    if max_epochs is not None:  # rounding does not pass the limit
+        plan = plan.withColumn("target_tokens", F.least("target_tokens", F.floor(F.col("tokens") * F.lit(float(max_epochs)))))
     plan = plan.withColumn("epochs", F.col("target_tokens") / F.col("tokens"))
     plan = plan.withColumn("rest", F.col("target_tokens") % F.col("tokens"))
     plan = plan.withColumn("passes", ((F.col("target_tokens") - F.col("rest")) / F.col("tokens")).cast("long"))
     plan = written(plan.withColumn("buckets", F.ceil(F.col("docs") / F.lit(float(bucket_rows)))), "plan")
 
     bucket = F.floor(F.col("u") / F.lit(HASH_RANGE) * F.col("buckets"))
-    rows = (with_plan(tokens.where("tokens > 0").withColumnRenamed("tokens", "doc_tokens"), plan)
-            .select("source", "u", "doc_tokens", "rest", bucket.alias("bucket")))
+    once = tokens.where("tokens > 0").groupBy("source", "u", F.col("tokens").alias("doc_tokens")).agg(F.count("*").alias("copies"))
+    rows = with_plan(once, plan).select("source", "u", "doc_tokens", "copies", "rest", bucket.alias("bucket"))
+    held = F.col("doc_tokens") * F.col("copies")
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (rows.groupBy("source", "bucket").agg(F.sum("doc_tokens").alias("own"), F.first("rest").alias("rest"))
+    sums = (rows.groupBy("source", "bucket").agg(F.sum(held).alias("own"), F.first("rest").alias("rest"))
             .withColumn("before", F.coalesce(F.sum("own").over(upto), F.lit(0)))
             .where("before < rest and before + own >= rest").select("source", "bucket", "before"))
     sums = written(sums, "cut_buckets")  # one row per source at most
     ordered = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (rows.join(sums, ["source", "bucket"])
-            .withColumn("ahead", F.col("before") + F.coalesce(F.sum("doc_tokens").over(ordered), F.lit(0)))
-            .where("ahead < rest").groupBy("source").agg(F.max("u").alias("cut")))
+            .withColumn("ahead", F.col("before") + F.coalesce(F.sum(held).over(ordered), F.lit(0)))
+            .where("ahead < rest").withColumn("take", F.least("copies", F.ceil((F.col("rest") - F.col("ahead")) / F.col("doc_tokens"))))
+            .groupBy("source").agg(F.max("u").alias("cut"), F.max_by("take", "u").alias("take"), F.max_by("copies", "u").alias("copies")))
     return written(plan.join(cuts, "source", "left")
                    .select("source", "tokens", "weight", "target_tokens", "epochs", "passes",
                            F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("cut", F.lit(16 ** 15)))
-                           .alias("cut")), "plan")
+                           .alias("cut"), F.coalesce("take", F.lit(1)).alias("take"), F.coalesce("copies", F.lit(1)).alias("copies")), "plan")
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -116,6 +125,22 @@ def with_plan(rows: DataFrame, plan: DataFrame, broadcast_rows: int = 100_000) -
     return rows.join(F.broadcast(plan) if plan.count() <= broadcast_rows else plan, "source")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the equal rows at their source's cut numbered from 1 in ``copy``: by their place in the written part
+    and the counts of the parts before it, so no task needs them all."""
+    at = F.col("u") == F.col("cut")
+    place = F.monotonically_increasing_id()
+    ends = written(rows.where(at).withColumn("place", place), "cut_rows")
+    ends = ends.withColumn("part", F.shiftrightunsigned("place", 33))
+    parts = ends.groupBy("source", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("ahead", F.sum("n").over(before) - F.col("n")).select("source", "part", "ahead")
+    inside = Window.partitionBy("source", "part").orderBy("place")
+    ends = ends.withColumn("copy", F.row_number().over(inside)).join(parts, ["source", "part"])
+    ends = ends.withColumn("copy", (F.col("copy") + F.col("ahead")).cast("long"))
+    return rows.where(~at).unionByName(ends.select(*rows.columns))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 budget_ratio: float = 1.0, target_entropy: float | None = 0.95, max_epochs: float | None = 4.0,
                 block_tokens: int = 250_000, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
@@ -124,7 +149,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The budget is ``budget_ratio`` times all tokens (words between ASCII white space).  Each source's budget is met
     to within one document.  A null source counts as ''.  Documents without words hold no tokens and take no part.
-    Rows with the same id and text share a hash and stand or fall together.  Empty tables give an empty stream.
+    Rows with the same id and text share a hash, and as many of them as the budget asks for join the partial pass.  A
+    budget of more than ``max_epochs`` times all tokens raises an error.  Empty tables give an empty stream.
     """
     keep = [id_col] if keep is None else keep
     text = text_or_empty(text_col)
@@ -142,13 +168,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     budget = plan.agg(F.sum("target_tokens")).first()[0] or 0.0
     blocks = max(1, math.ceil(budget / block_tokens))
     rows = with_plan(base.where("tokens > 0").withColumnRenamed("tokens", "n_tokens"), plan.drop("tokens"))
-    times = F.col("passes") + F.when(F.col("u") <= F.col("cut"), 1).otherwise(0)
+    rows = rows.withColumn("copy", F.lit(1).cast("long"))
+    if plan.where("take < copies").limit(1).count():  # some source ends among equal rows
+        rows = numbered(rows)
+    partial = (F.col("u") < F.col("cut")) | ((F.col("u") == F.col("cut")) & (F.col("copy") <= F.col("take")))
+    times = F.col("passes") + F.when(partial, 1).otherwise(0)
     rows = rows.withColumn("times", times.cast("int")).where("times > 0")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times"))))
     place = (F.col("pass") - 1 + F.col("u") / F.lit(HASH_RANGE)) / F.col("epochs")
     rows = rows.withColumn("block", F.least(F.floor(place * blocks), F.lit(blocks - 1)).cast("long"))
     rows = rows.withColumn("turn", row_hash(F.lit(seed), F.col("block"), F.col("pass"), F.col("u")))
-    order = Window.partitionBy("block").orderBy("turn", "pass", "u")
+    order = Window.partitionBy("block").orderBy("turn", "pass", "u", "copy")
     rows = rows.withColumn("rank", F.row_number().over(order).cast("long"))
     out = [c for c in keep if c != source_col]
     return rows.select(*[F.col(f"k{keep.index(c)}").alias(c) for c in out], F.col("source").alias(source_col),

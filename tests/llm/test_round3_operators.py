@@ -264,3 +264,76 @@ def test_lexical_search_of_empty_tables(spark):
                  (docs, items.where("item_id = 'g'"))):
         got = lexical.lexical_search(d, i)
         assert got.columns == ["item_id", "rank", "doc_id", "score"] and got.count() == 0
+
+
+# ------------------------------------------------------------------ 8 votes, 1 few vectors, 4 limits
+def test_one_versus_one_votes_against_brute_force():
+    from riskframe.llm import langid
+    rng = np.random.default_rng(5)
+    names = 4
+    duels = [(a, b, k) for k, (a, b) in enumerate((a, b) for a in range(names) for b in range(a + 1, names))]
+    margin = rng.normal(size=(300, len(duels))).round(1)  # zeros and ties occur
+    margin[:20] = 0.0
+    margin[20] = [1, -1, 0.5, 1, 0.5, 0.5]  # 0 beats 1, 1 beats 2, 2 beats 0: all beat 3
+    winner, lead = langid.votes(margin, names, duels)
+    for row, w, d in zip(margin, winner, lead):
+        count, total, against = [0] * names, [0.0] * names, {}
+        for a, b, k in duels:
+            count[a if row[k] >= 0 else b] += 1
+            total[a] += row[k]
+            total[b] -= row[k]
+            against[a, b], against[b, a] = row[k], -row[k]
+        order = sorted(range(names), key=lambda i: (-count[i], -total[i], i))
+        assert w == order[0] and d == pytest.approx(against[order[0], order[1]])
+    assert winner[0] == 0 and winner[20] in (0, 1, 2)
+
+
+def test_three_languages_of_a_family_are_told_apart(spark):
+    from riskframe.llm import langid
+    rng = np.random.default_rng(1)
+    syllables = {"en": "th ing er and wh", "de": "sch ung ein und cht", "nl": "ij oe een het ge", "fi": "ää kk nen yö ll"}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang].split(), 3)) for _ in range(25)), lang)
+            for i, lang in enumerate(np.random.default_rng(2).choice(list(syllables), 400))]
+    docs = spark.createDataFrame([(int(i), t, str(lang), 1.0) for i, t, lang in rows], "doc_id long, text string, lang string, score double")
+    model = langid.train(docs, per_lang=60)
+    assert sorted(len(d) for _, d in model["groups"]) == [0, 3]
+    got = {r["doc_id"]: r for r in langid.language_report(docs, per_lang=60).collect()}
+    held = [r for r in rows if got[r[0]]["held_out"]]
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang in held) / len(held) > 0.97
+    small = langid.train(docs, per_lang=60, sample_bytes=60_000)  # a sample bounded in bytes still knows every language
+    assert sorted(len(d) for _, d in small["groups"]) == [0, 3]
+
+
+@pytest.mark.parametrize("n", [2, 7, 8, 11, 12, 20, 30])
+def test_nearest_finds_all_that_are_due_in_small_tables(spark, n):
+    from riskframe.llm import ann
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, every=4, k=10, probe_share=0.2).collect():
+        got[r["query_id"]].append(r["rank"])
+    assert set(got) == set(range(0, n, 4))
+    assert all(sorted(v) == list(range(1, min(10, n - 1) + 1)) for v in got.values())
+
+
+def test_mixing_meets_budgets_with_equal_rows_and_keeps_the_limit(spark):
+    from riskframe.llm import mixing
+    data = [(1, "a b c d e f g h i j", "same", "x")] * 20 + [(i, "a b", f"s{i % 3}", "y") for i in range(2, 62)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, rank string").repartition(6)
+    total = 20 * 10 + 60 * 2
+    got = mixing.mix_sources(docs, target_entropy=1.0, max_epochs=None, block_tokens=50, keep=["doc_id", "text"]).collect()
+    spent = collections.Counter()
+    for r in got:
+        spent[r["source"]] += r["n_tokens"]
+    assert all(abs(spent[s] - total / 4) <= 10 for s in ("same", "s0", "s1", "s2")) and spent["same"] == 80
+    blocks = collections.defaultdict(list)
+    for r in got:
+        blocks[r["block"]].append(r["rank"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in blocks.values())
+    for limit in (1.5, 2.0, 3.0):
+        passes = [r["pass"] for r in mixing.mix_sources(docs, budget_ratio=limit, target_entropy=1.0, max_epochs=limit).collect()]
+        assert max(passes) <= math.ceil(limit)
+    with pytest.raises(ValueError, match="no mixture"):
+        mixing.mix_sources(docs, budget_ratio=6.0, max_epochs=4.0)
+    with pytest.raises(ValueError, match="no mixture"):
+        mixing.mix_sources(docs.where("source = 'same'"), budget_ratio=6.0, max_epochs=4.0)

@@ -68,10 +68,17 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def narrow(array: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of the array fit, exactly; ``look_up`` widens what it finds."""
+    fits = array.dtype == np.int64 and (not len(array) or 0 <= array.min() and array.max() < 1 << 32)
+    return array.astype(np.uint32) if fits else array
+
+
 def save(folder: str, name: str, **arrays: np.ndarray) -> None:
     """Each array as one file; a repeated task writes the same bytes and replaces the file at once."""
     os.makedirs(folder, exist_ok=True)
     for key, array in arrays.items():
+        array = narrow(array)
         part = os.path.join(folder, f"{name}-{key}-{uuid.uuid4().hex}.tmp")
         with open(part, "wb") as out:
             np.save(out, array)

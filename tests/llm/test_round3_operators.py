@@ -337,3 +337,48 @@ def test_mixing_meets_budgets_with_equal_rows_and_keeps_the_limit(spark):
         mixing.mix_sources(docs, budget_ratio=6.0, max_epochs=4.0)
     with pytest.raises(ValueError, match="no mixture"):
         mixing.mix_sources(docs.where("source = 'same'"), budget_ratio=6.0, max_epochs=4.0)
+
+
+# ------------------------------------------------------------------ 6 broken markup, names, long alignments
+def text_of(page):
+    from riskframe.llm import pages
+    found = pages.blocks(page)
+    return pages.assemble([t for t, _ in found], [k for _, k in found], [False] * len(found))
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert text_of("<p title=it's>Hello</p><p>World it's fine</p><p>End</p>") == "Hello\nWorld it's fine\nEnd"
+    assert text_of('<article><a href=x title="5" tall">link</a> text</article>') == "link text"
+    assert text_of('<p a="x > y">in</p><p b=">out') == "in\n" + 'out'
+    assert text_of("<p>1 < 2 and <b>3</b> <4") == "1 < 2 and 3 <4"
+    assert text_of("<!-- <p>no</p> --><p>yes</p><!-- open <p>no") == "yes"
+
+
+@pytest.mark.parametrize("unit", ["a <b ", "<b =\"", "<b ='\">", "<! ", "<a href='x\" ", "</p <", "<p><div></b>", "<b><div></b>", "<p><b>x</i>", "<!--"])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+    from riskframe.llm import pages
+    page = "<p>x</p>" + unit * (400_000 // len(unit))
+    began = time.process_time()
+    found = pages.blocks(page)
+    assert time.process_time() - began < 3 and found[0] == ("x", pages.OTHER)
+
+
+@pytest.mark.parametrize("name,gone", [("article-comments", True), ("user-comments", True), ("post-comments", True), ("related-articles", True),
+                                       ("has-comments", False), ("no-sidebar", False), ("entry-header", False), ("overflow-hidden", False)])
+def test_names_of_reader_comments_and_the_like(name, gone):
+    assert text_of(f"<article><p>one</p><div class='{name}'><p>two</p></div></article>") == ("one" if gone else "one\ntwo")
+
+
+def test_alignment_in_halves_is_as_long(monkeypatch):
+    from riskframe.llm import pages
+    rng = np.random.default_rng(3)
+    for n, m in ((60, 80), (1, 30), (200, 3), (0, 5), (37, 37)):
+        a, b = rng.integers(0, 9, n).tolist(), rng.integers(0, 9, m).tolist()
+        monkeypatch.setattr(pages, "ROW_BITS", 1 << 26)
+        whole = pages.common_lines(a, b)
+        monkeypatch.setattr(pages, "ROW_BITS", 40)
+        halves = pages.common_lines(a, b)
+        assert sum(whole) == sum(halves)
+        it = iter(b)
+        assert all(x in it for x, s in zip(a, halves) if s)  # the marked lines are a subsequence of b

@@ -22,7 +22,7 @@ HEADLINE = [
     "align_union", "group_median_fill", "priority_dedup", "describe", "corr_matrix", "null_fraction",
     "stratified_split", "impute_median", "mutual_info", "feat_burnout", "feat_stress", "serve_burnout",
     "threshold_sweep", "roc_auc", "source_audit", "auc_ovr", "contributors", "score_batch", "route_and_band",
-    "crisis_flag", "norm_text", "json_defaults", "cap_sample", "external_validation", "smote",
+    "crisis_flag", "norm_text", "json_defaults", "cap_sample", "external_validation", "smote", "isotonic_full", "score_requests", "typed_replies",
 ]
 
 

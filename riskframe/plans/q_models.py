@@ -381,13 +381,33 @@ def q_bundle_score(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ 2.M streaming extension
-@register("stream_daily_state")
+STREAM_SQL = """
+WITH d AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, avg(value) AS av, count(*) AS n,
+             count(*) FILTER (WHERE event_type = 'error') AS e
+           FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+i AS (SELECT user_id, day, n AS n_events, least(10.0::DOUBLE, round(av, 4) / 12.0::DOUBLE) AS Stress,
+        CASE WHEN n % 5 = 0 THEN NULL ELSE least(10.0::DOUBLE, 3.0::DOUBLE + n * 1.5::DOUBLE) END AS Sleep,
+        CASE WHEN n = 1 AND e = 0 THEN NULL ELSE least(10.0::DOUBLE, 10.0::DOUBLE * e / n) END AS Workload FROM d),
+c AS (SELECT *, (Stress + coalesce(Workload, 0)) / CASE WHEN Workload IS NULL THEN 1 ELSE 2 END AS CompositeRisk,
+        row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn FROM i),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id, CompositeRisk > 7 ORDER BY day) AS island FROM c)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n_events, Stress, Sleep, Workload, CompositeRisk,
+  avg(CompositeRisk) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS RollingMean_7D,
+  CASE WHEN CompositeRisk > 7 THEN row_number() OVER (PARTITION BY user_id, CompositeRisk > 7, island ORDER BY day)
+       ELSE 0 END AS ConsecutiveRiskDays, rn AS history_len,
+  CASE WHEN rn >= 7 THEN 'ok' ELSE 'insufficient_data' END AS status
+FROM g"""
+
+
+@register("stream_daily_state", STREAM_SQL)
 def q_stream_daily_state(spark, sf_dir):
-    """Optional streaming extension: events replayed as a file stream in time order,
-    watermark 1 hour, per-user daily state (closed days only)."""
+    """Streaming extension: events replayed as a file stream in time order with an end mark, watermark 1 hour, per-user
+    daily state in the state store; every day closes."""
     from ..streaming import daily_state as DS
     src = DS.split_by_time(fx.table(spark, sf_dir, "events"), scratch_path(spark, "events_feed"))
-    return DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"))
+    DS.write_end_mark(spark, src)
+    out = DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"))
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 # ------------------------------------------------------------------ J23 permutation importance

@@ -1,92 +1,126 @@
 """Streaming daily timeline state (optional extension of SURVEY 2.M; not a parity claim).
 
-``events`` arrive as files.  One stateful operator keyed by ``user_id``
-(``applyInPandasWithState``) keeps, per user, the partial sums of each still
-open UTC day and a ring of the user's last 7 closed days.  A day closes when
-the event-time watermark passes its end (late rows older than the watermark
-are dropped by Spark before they reach the state).  For every closed day one
-row is emitted with the FB2 daily indicators and the timeline rules that only
-need the trailing week: composite risk (I17), 7-day rolling mean (E2), run of
-risky days (E4) and the history gate (E12).
-
-State per user is bounded (open days + 7 summaries), so a hot user costs
-state size, not task memory; the checkpoint (on the shared
-``spark.checkpoint.dir``) makes the query restartable after executor or
-driver loss.
+``events`` arrive as files.  One stateful operator keyed by ``user_id`` (``transformWithStateInPandas``) keeps, per
+user, in the state store: a map of the still open UTC days with their partial sums, a list of the last seven days'
+composite risks, and the run of risky days with the number of days.  Each open day has an event-time timer at its end.
+When the watermark passes it the timer closes the day and one row is emitted with the FB2 daily indicators and the
+timeline rules that only need the trailing week: composite risk (I17), 7-day rolling mean (E2), run of risky days (E4)
+and the history gate (E12).  Rows older than the watermark are dropped by Spark before they reach the state.
+
+A bounded replay ends with an end mark, a row far enough ahead that the watermark passes every open day, so the last
+days close like all others and the result is that of the batch plan.  A mark carries no event.
+
+A batch of a user touches only the days it holds, each as its own entry of the map, so a hot user costs neither a large
+state value nor task memory.  The checkpoint (on the shared ``spark.checkpoint.dir``) makes the query restartable after
+executor or driver loss.
 """
 
 from __future__ import annotations
 
-import json
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
 HISTORY = 7
 RISKY_AT = 7.0
 MIN_DAYS = 7
+END_MARK = "end-of-feed"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 OUTPUT_SCHEMA = ("user_id long, day timestamp, n_events long, Stress double, Sleep double, Workload double, "
                  "CompositeRisk double, RollingMean_7D double, ConsecutiveRiskDays int, history_len int, "
                  "status string")
-STATE_SCHEMA = "blob string"
 
 
 def _daily(total: float, n: int, errors: int) -> tuple[float, float | None, float | None]:
     """FB2 daily indicators from one day's (sum of value, events, error events)."""
-    stress = min(10.0, round(total / n, 4) / 12.0)
+    mean = float(Decimal(repr(total / n)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    stress = min(10.0, mean / 12.0)
     sleep = None if n % 5 == 0 else min(10.0, 3.0 + n * 1.5)
     work = None if (n == 1 and errors == 0) else min(10.0, 10.0 * errors / n)
     return stress, sleep, work
 
 
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    user = int(key[0])
-    st = json.loads(state.get[0]) if state.exists else {"open": {}, "hist": [], "run": 0, "n": 0}
-    if not state.hasTimedOut:
-        for pdf in batches:
+class DailyState(StatefulProcessor):
+    """Open days, the last week and the run of one user."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "day long", "total double, n long, errors long")
+        self.week = handle.getListState("week", "risk double")
+        self.past = handle.getValueState("past", "run int, days int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        added = defaultdict(lambda: [0.0, 0, 0])
+        for pdf in rows:
+            pdf = pdf[pdf["event_type"].ne(END_MARK) | pdf["event_type"].isna()]
             ms = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[ms]").astype("int64")
-            day = (ms // DAY_MS) * DAY_MS
-            g = pd.DataFrame({"day": day, "v": pdf["value"].astype(float),
-                              "e": (pdf["event_type"] == "error").astype(int)}).groupby("day")
-            for d, row in g.agg(s=("v", "sum"), n=("v", "size"), e=("e", "sum")).iterrows():
-                cur = st["open"].get(str(int(d)), [0.0, 0, 0])
-                st["open"][str(int(d))] = [cur[0] + float(row["s"]), cur[1] + int(row["n"]), cur[2] + int(row["e"])]
-    wm = state.getCurrentWatermarkMs()
-    out = []
-    for d in sorted(int(x) for x in st["open"]):
-        if d + DAY_MS > wm:
-            break
-        total, n, errors = st["open"].pop(str(d))
+            g = pd.DataFrame({"day": ms // DAY_MS * DAY_MS, "v": pdf["value"].astype(float).to_numpy(),
+                              "e": (pdf["event_type"] == "error").astype(int).to_numpy()}).groupby("day")
+            for day, r in g.agg(s=("v", "sum"), n=("v", "size"), e=("e", "sum")).iterrows():
+                a = added[int(day)]
+                added[int(day)] = [a[0] + float(r["s"]), a[1] + int(r["n"]), a[2] + int(r["e"])]
+        for day, a in added.items():
+            if self.open.containsKey((day,)):
+                b = self.open.getValue((day,))
+                a = [x + y for x, y in zip(a, b)]
+            else:
+                self.handle.registerTimer(day + DAY_MS)
+            self.open.updateValue((day,), tuple(a))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Closes one day; a user's timers fire in the order of their days."""
+        day = expiredTimerInfo.getExpiryTimeInMs() - DAY_MS
+        total, n, errors = self.open.getValue((day,))
+        self.open.removeKey((day,))
         stress, sleep, work = _daily(total, n, errors)
-        present = [x for x in (stress, work) if x is not None]        # Depression is null in FB2
-        cr = sum(present) / len(present) if present else 5.0
-        st["hist"] = (st["hist"] + [cr])[-HISTORY:]
-        st["run"] = st["run"] + 1 if cr > RISKY_AT else 0
-        st["n"] += 1
-        out.append((user, pd.Timestamp(d, unit="ms"), n, stress, sleep, work, cr,
-                    sum(st["hist"]) / len(st["hist"]), st["run"], st["n"],
-                    "ok" if st["n"] >= MIN_DAYS else "insufficient_data"))
-    state.update((json.dumps(st),))
-    if st["open"]:
-        state.setTimeoutTimestamp(max(wm, min(int(x) for x in st["open"]) + DAY_MS) + 1)
-    if not out:
-        return
-    cols = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
-    yield pd.DataFrame(out, columns=cols).astype({"n_events": "int64", "ConsecutiveRiskDays": "int32",
-                                                  "history_len": "int32"})
+        present = [x for x in (stress, work) if x is not None]  # Depression is null in FB2
+        risk = sum(present) / len(present) if present else 5.0
+        # added from left to right, as a window does: sum() would compensate the rounding
+        week = ([r[0] for r in self.week.get()] + [risk])[-HISTORY:]
+        self.week.put([(r,) for r in week])
+        run, days = self.past.get() if self.past.exists() else (0, 0)
+        run, days = (run + 1 if risk > RISKY_AT else 0), days + 1
+        self.past.update((run, days))
+        row = (key[0], pd.Timestamp(day, unit="ms"), n, stress, sleep, work, risk, reduce(add, week) / len(week), run, days,
+               "ok" if days >= MIN_DAYS else "insufficient_data")
+        out = pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
+        yield out.astype({"user_id": "Int64", "n_events": "int64", "Sleep": "float64", "Workload": "float64",
+                          "ConsecutiveRiskDays": "int32", "history_len": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State in RocksDB, which timers and composite state need, while a query of ours is started and run."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def daily_state_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The stateful transformation (``events`` may be a streaming or a batch DataFrame)."""
+    """The stateful transformation of a streaming DataFrame.  Rows without a time or a value belong to no day's sum and
+    are left out; rows without a user are one user of their own."""
     ev = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
-    ev = ev.withWatermark("ts", delay)
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    ev = ev.where("ts is not null and value is not null").withWatermark("ts", delay)
+    return ev.groupBy("user_id").transformWithStateInPandas(DailyState(), OUTPUT_SCHEMA, "append", "EventTime")
 
 
 def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
@@ -94,18 +128,29 @@ def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     """Process every file present in ``source_dir`` (``availableNow``) into a parquet sink."""
     schema = spark.read.parquet(source_dir).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    q = (daily_state_stream(stream, delay).writeStream.format("parquet").outputMode("append")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink_dir)
+    with rocksdb_state(spark):
+        q = (daily_state_stream(stream, delay).writeStream.format("parquet").outputMode("append")
+             .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(sink_dir)
+
+
+def write_end_mark(spark: SparkSession, source_dir: str, ahead: timedelta = timedelta(days=3)) -> None:
+    """One more file that ends a feed: a row ``ahead`` of its last event, without an event.  ``ahead`` must be above the
+    watermark's delay and one day."""
+    feed = spark.read.parquet(source_dir)
+    last = feed.agg((F.max(F.col("ts").cast("timestamp")) + F.lit(ahead)).alias("ts")).where("ts is not null")
+    own = {"ts": F.col("ts"), "event_type": F.lit(END_MARK), "value": F.lit(0.0)}
+    last.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in feed.schema.fields]).coalesce(1) \
+        .write.mode("append").parquet(source_dir)
 
 
 def daily_state_batch(events: DataFrame) -> DataFrame:
     """The same rules as one batch plan (window functions), for checking the stream."""
     from pyspark.sql.window import Window
     from ..operators.timeline import composite_risk, run_length
-    d = events.groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(
+    d = events.where("ts is not null and value is not null").groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(
         F.avg("value").alias("av"), F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("event_type") == "error").alias("e"))
     n = F.col("n_events")
@@ -123,9 +168,13 @@ def daily_state_batch(events: DataFrame) -> DataFrame:
 
 
 def split_by_time(events: DataFrame, path: str, pieces: int = 6) -> str:
-    """Write ``events`` as ``pieces`` sequential files in event-time order (a replayable feed)."""
+    """Write ``events`` as ``pieces`` sequential files in event-time order (a replayable feed).  Rows without a time, and
+    tables without rows, give none."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = events.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        events.where("false").write.mode("append").parquet(path)
+        return path
     step = (hi - lo) // pieces + 1
     for i in range(pieces):
         part = events.filter((us >= lo + i * step) & (us < lo + (i + 1) * step))

@@ -141,24 +141,53 @@ def test_rfe_keeps_requested_count(spark):
     assert out.selected.sum() == 2
 
 
+COMPARED = ["n_events", "Stress", "Sleep", "Workload", "CompositeRisk", "RollingMean_7D", "ConsecutiveRiskDays",
+            "history_len"]
+
+
+def _same_days(got, batch):
+    m = got.merge(batch, on=["user_id", "day"], suffixes=("_s", "_b"))
+    assert len(m) == len(got) > 0 and not got.duplicated(["user_id", "day"]).any()
+    for c in COMPARED:
+        assert np.allclose(m[c + "_s"].astype(float).fillna(-1), m[c + "_b"].astype(float).fillna(-1), atol=1e-9)
+    assert (m.status_s == m.status_b).all()
+
+
 def test_stream_matches_batch_on_closed_days(spark):
     from riskframe.sources import fixtures as fx
     from riskframe.streaming import daily_state as DS
     ev = fx.table(spark, SMALL, "events")
-    src = DS.split_by_time(ev, scratch_path(spark, "t_feed"), pieces=4)
-    out = DS.run_available(spark, src, scratch_path(spark, "t_sink"), scratch_path(spark, "t_ckpt")).toPandas()
+    src = DS.split_by_time(ev, scratch_path(spark, "t_feed"), pieces=3)
+    sink, ckpt = scratch_path(spark, "t_sink"), scratch_path(spark, "t_ckpt")
+    out = DS.run_available(spark, src, sink, ckpt).toPandas()
     batch = DS.daily_state_batch(ev).toPandas()
-    m = out.merge(batch, on=["user_id", "day"], suffixes=("_s", "_b"))
-    assert len(m) == len(out) > 0
-    for c in ["n_events", "Stress", "Sleep", "Workload", "CompositeRisk", "RollingMean_7D", "ConsecutiveRiskDays",
-              "history_len"]:
-        assert np.allclose(m[c + "_s"].astype(float).fillna(-1), m[c + "_b"].astype(float).fillna(-1), atol=1e-9)
-    assert (m.status_s == m.status_b).all()
+    _same_days(out, batch)
     # only each user's trailing open day(s) may be missing
     last = batch.groupby("user_id").day.max()
     missing = batch.merge(out[["user_id", "day"]], how="left", indicator=True)
     missing = missing[missing._merge == "left_only"]
     assert (missing.day.to_numpy() >= missing.user_id.map(last).to_numpy() - np.timedelta64(1, "D")).all()
+    # a second run from the same checkpoint goes on from the kept state and closes them
+    DS.write_end_mark(spark, src)
+    out = DS.run_available(spark, src, sink, ckpt).toPandas()
+    assert len(out) == len(batch)
+    _same_days(out, batch)
+
+
+def test_stream_leaves_out_rows_without_time_or_value_and_ends_when_empty(spark):
+    from riskframe.streaming import daily_state as DS
+    data = [(1, "2024-01-01 10:00:00", 3.0, "error"), (1, "2024-01-01 23:59:59", None, "error"), (1, None, 1.0, "x"),
+            (1, "2024-01-03 00:00:00", 150.0, None), (None, "2024-01-02 00:00:00", 7.25, "x")]
+    ev = spark.createDataFrame(data, "user_id long, ts string, value double, event_type string") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    src = DS.split_by_time(ev, scratch_path(spark, "t_feed"), pieces=1)
+    DS.write_end_mark(spark, src)
+    got = DS.run_available(spark, src, scratch_path(spark, "t_sink"), scratch_path(spark, "t_ckpt")).toPandas()
+    assert sorted(map(str, got.user_id)) == sorted(map(str, DS.daily_state_batch(ev).toPandas().user_id))
+    _same_days(got[got.user_id.notna()], DS.daily_state_batch(ev.where("user_id = 1")).toPandas())
+    none = DS.split_by_time(ev.where("false"), scratch_path(spark, "t_feed"))
+    DS.write_end_mark(spark, none)
+    assert DS.run_available(spark, none, scratch_path(spark, "t_sink"), scratch_path(spark, "t_ckpt")).count() == 0
 
 
 def test_permuted_copies_are_permutations(spark):

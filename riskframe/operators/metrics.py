@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exprs import map_lookup, numeric_col
 from .ranks import before_in_order, in_ranges, null_safe
 
 DEFAULT_SWEEP = [0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
@@ -284,3 +285,29 @@ def external_validation(df: DataFrame, label: Column, scenario: str, scale: Sequ
     both = base.unionByName(auc, allowMissingColumns=True)
     return both.groupBy("Scenario").agg(*[F.max(c).alias(c) for c in ("AUC", "Recall", "Precision", "Brier",
                                                                      "Routing")])
+
+
+def blind_stress_audit(df: DataFrame, words: dict[str, float], features: Sequence[str], probability: Column,
+                       severe: float = 7.5, threshold: float = 0.5) -> DataFrame:
+    """J36, blind test: one row (AUC, Recall, Precision, n) of a stress model on a set it has never seen.
+
+    ``df`` has Stress_Level (a word), Sleep_Hours and Age.  The word is mapped exactly as it stands; the truth is mapped
+    stress at or above ``severe`` (an unknown word: 0).  Load and recent spike are made of it with 5 and 7 for missing
+    stress and sleep, and features of the model that the set does not have are 0.  ``probability`` is an expression over
+    ``features``; a row without one counts as not flagged and is left out of the AUC.
+    """
+    x = df.select(map_lookup(words, "Stress_Level").alias("WorkStress"),
+                  numeric_col(df, "Sleep_Hours").cast("double").alias("SleepHours"),
+                  numeric_col(df, "Age").cast("double").alias("Age"))
+    load = F.coalesce("WorkStress", F.lit(5.0))
+    short = F.least(F.greatest(8.0 - F.coalesce("SleepHours", F.lit(7.0)), F.lit(0.0)), F.lit(8.0))
+    x = x.withColumns({"Target": F.coalesce(F.col("WorkStress") >= severe, F.lit(False)).cast("int"), "StressLoad": load,
+                       "RecentStressSpike": load + short})
+    x = x.withColumns({f: F.lit(0.0) for f in features if f not in x.columns})
+    r = x.select("Target", probability.alias("p"))
+    y, flag = F.col("Target") == 1, F.coalesce(F.col("p") >= threshold, F.lit(False))
+    tp, fp, fn = F.count_if(flag & y), F.count_if(flag & ~y), F.count_if(~flag & y)
+    base = r.agg(_div0(tp, tp + fn).alias("Recall"), _div0(tp, tp + fp).alias("Precision"), F.count(F.lit(1)).alias("n"))
+    auc = roc_auc(r, "p", "Target", single_class=0.0).select(F.col("roc_auc").alias("AUC"))
+    both = base.unionByName(auc, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("AUC", "Recall", "Precision", "n")])

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .aggregates import collect_medians
 
@@ -64,17 +65,15 @@ class OneHot:
     drop_first: bool = False
     prefix: str | None = None
     categories: list = field(default_factory=list)
-    max_levels: int | None = None
+    max_levels: int = 5_000
 
     def fit(self, df: DataFrame) -> "OneHot":
-        """One output column per level, so all levels reach the driver.  ``max_levels``, if given,
-        is a limit beyond which the fit raises."""
-        distinct = df.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
-        if self.max_levels is not None:
-            distinct = distinct.limit(self.max_levels + 1)
+        """One output column per level, so all levels reach the driver: beyond ``max_levels`` the fit raises, and
+        :class:`OneHotLong` does the same with a row per level."""
+        distinct = df.select(self.column).filter(F.col(self.column).isNotNull()).distinct().limit(self.max_levels + 1)
         levels = [r[0] for r in distinct.collect()]
-        if self.max_levels is not None and len(levels) > self.max_levels:
-            raise ValueError(f"{self.column}: more than {self.max_levels} levels; one-hot is not suitable")
+        if len(levels) > self.max_levels:
+            raise ValueError(f"{self.column}: more than {self.max_levels} levels; use OneHotLong")
         self.categories = sorted(levels)
         return self
 
@@ -83,3 +82,35 @@ class OneHot:
         pre = self.prefix or self.column
         return df.withColumns({f"{pre}_{v}": F.coalesce((F.col(self.column) == F.lit(v)).cast("double"), F.lit(0.0))
                                for v in levels})
+
+
+@dataclass
+class OneHotLong:
+    """J3 / J4 for any number of levels: the encoding as the position of the one that is set.
+
+    ``fit`` numbers the training levels from 0 in sorted order, as a table (level, index) that is written once; ranges
+    of levels are numbered apart and joined with the counts before them, so no task and no driver holds all levels.
+    ``transform`` adds ``<prefix>_index``: the number, or NULL where all columns of the wide form would be 0 (NULL, a
+    level that training has not seen, or the dropped first level).  Row for row it says what :class:`OneHot` says.
+    """
+    column: str
+    drop_first: bool = False
+    prefix: str | None = None
+    levels: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> "OneHotLong":
+        from .ranks import before_in_order, in_ranges
+        distinct = df.select(F.col(self.column).alias("level")).where("level is not null").distinct()
+        ranged = in_ranges(distinct, [], "level")
+        sums = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("least"))
+        before = before_in_order(sums.withColumn("_all", F.lit(0)), ["_all"], "least", ["n"]).select("_range", "n_before")
+        place = F.row_number().over(Window.partitionBy("_range").orderBy("level")) - 1
+        self.levels = (ranged.withColumn("place", place).join(before, "_range")
+                       .select("level", (F.col("n_before") + F.col("place") - int(self.drop_first)).alias("index"))
+                       .where("index >= 0").checkpoint())
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        name = f"{self.prefix or self.column}_index"
+        levels = self.levels.select(F.col("level").alias("_level"), F.col("index").alias(name))
+        return df.join(levels, df[self.column] == levels["_level"], "left").drop("_level")

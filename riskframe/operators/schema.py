@@ -101,12 +101,15 @@ def null_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return wide.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, null_fraction)")
 
 
-def sparse_columns(df: DataFrame, threshold: float = 0.8, protect: Sequence[str] = ()) -> list[str]:
-    """B8 (fit): columns whose null fraction exceeds ``threshold``, minus the protect list.
+def sparse_names(df: DataFrame, threshold: float = 0.8, protect: Sequence[str] = ()) -> DataFrame:
+    """One row (column) per column whose null fraction exceeds ``threshold``, minus the protect list; one scan."""
+    return (null_fractions(df).where(F.col("null_fraction") > threshold)
+            .where(~F.col("column").isin(list(protect))).select("column"))
+
 
-    One aggregation; only the per-column fractions reach the driver."""
-    fr = null_fractions(df).filter(F.col("null_fraction") > threshold)
-    return [r["column"] for r in fr.collect() if r["column"] not in set(protect)]
+def sparse_columns(df: DataFrame, threshold: float = 0.8, protect: Sequence[str] = ()) -> list[str]:
+    """B8 (fit): the names of ``sparse_names``; only they reach the driver."""
+    return [r["column"] for r in sparse_names(df, threshold, protect).collect()]
 
 
 def drop_sparse(df: DataFrame, threshold: float = 0.8, protect: Sequence[str] = ()) -> DataFrame:

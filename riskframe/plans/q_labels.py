@@ -151,11 +151,11 @@ SELECT rec_id, OnlineStress + AcademicStress + FinancialStress AS StressLoad,
 def q_feat_anxiety(spark, sf_dir):
     """Anxiety sums, with the absent-column fallbacks exercised on a narrower view."""
     p = pool(spark, sf_dir).select("rec_id", *ANX_COLS)
-    full = FE.feat_anxiety(p)
-    narrow = FE.feat_anxiety(p.drop("PeerRelationship", "ScreenTime")).select(
-        "rec_id", F.col("SupportScore").alias("SupportScore_noPeer"), F.col("RiskScore").alias("RiskScore_noScreen"))
-    return full.select("rec_id", "StressLoad", "LifestyleScore", "SupportScore", "RiskScore", "WellnessScore").join(
-        narrow, "rec_id")
+    sums = ["StressLoad", "LifestyleScore", "SupportScore", "RiskScore", "WellnessScore"]
+    full = FE.feat_anxiety(p).withColumnsRenamed({c: f"full_{c}" for c in sums})
+    both = FE.feat_anxiety(full.drop("PeerRelationship", "ScreenTime"))
+    return both.select("rec_id", *[F.col(f"full_{c}").alias(c) for c in sums],
+                       F.col("SupportScore").alias("SupportScore_noPeer"), F.col("RiskScore").alias("RiskScore_noScreen"))
 
 
 @register("feat_hybrid", f"""WITH {POOL}

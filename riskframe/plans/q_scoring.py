@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import capitalize
-from ..functions.maps import EXTERNAL_STRESS_WORDS, MODEL_REGISTRY, SLEEP_QUALITY_WORDS
+from ..functions.maps import EXTERNAL_STRESS_WORDS, MODEL_REGISTRY, REMOTE_BURNOUT_WORDS, SLEEP_QUALITY_WORDS
 from ..functions.noise import integer_jitter
 from ..operators import metrics as M
 from ..operators import score as S
@@ -604,3 +604,25 @@ def q_external_psychological(spark, sf_dir):
     label = capitalize(F.trim("burnout_level")).isin(["High"])
     return M.external_validation(raw, label, "Psychological_Generalization", EV_SCALE, M.linear_scorer(*EV_INTEGRATED),
                                  M.linear_scorer(*EV_CLINICAL), rename=EV_STUDENT, words=EV_WORDS)
+
+
+BLIND_FEATURES = ["StressLoad", "RecentStressSpike", "Age", "AcademicStress"]
+BLIND_MODEL = ({"StressLoad": 0.03, "RecentStressSpike": 0.04, "Age": -0.005, "AcademicStress": 0.02}, 0.2)
+
+
+@register("external_blind_stress", f"""WITH {POOL},
+w AS (SELECT {sql_map("RemoteStressText", REMOTE_BURNOUT_WORDS)} AS s, CAST(SleepHours AS DOUBLE) AS h, CAST(Age AS DOUBLE) AS Age FROM pool),
+f AS (SELECT CAST(coalesce(s >= 7.5, false) AS INT) AS y, coalesce(s, 5.0::DOUBLE) AS StressLoad, Age, 0.0::DOUBLE AS AcademicStress,
+        coalesce(s, 5.0::DOUBLE) + least(greatest(8.0::DOUBLE - coalesce(h, 7.0::DOUBLE), 0.0::DOUBLE), 8.0::DOUBLE) AS RecentStressSpike FROM w),
+p AS (SELECT y, {_lin_sql(BLIND_MODEL)} AS p FROM f),
+t AS (SELECT p, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM p WHERE p IS NOT NULL GROUP BY p),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t),
+a AS (SELECT CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.0
+             ELSE sum(pos * (below + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS AUC FROM c),
+g AS (SELECT count_if(p >= 0.5 AND y = 1) AS tp, count_if(p >= 0.5 AND y <> 1) AS fp, count_if(y = 1) AS pos, count(*) AS n FROM p)
+SELECT AUC, CASE WHEN pos = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pos END AS Recall,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS Precision, n FROM a, g""")
+def q_external_blind_stress(spark, sf_dir):
+    """Blind stress audit -- worded stress, engineered load and spike, absent features 0."""
+    raw = pool(spark, sf_dir).select(F.col("RemoteStressText").alias("Stress_Level"), F.col("SleepHours").alias("Sleep_Hours"), "Age")
+    return M.blind_stress_audit(raw, REMOTE_BURNOUT_WORDS, BLIND_FEATURES, M.linear_scorer(*BLIND_MODEL))

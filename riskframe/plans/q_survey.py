@@ -185,11 +185,7 @@ SPARSE_PROTECT = ["RiskCategory", "DatasetSource", "SleepHours", "GPA", "PHQ2"]
           + f""" AS t WHERE null_fraction > 0.7 AND "column" NOT IN ({', '.join(_lit(c) for c in SPARSE_PROTECT)})""")
 def q_sparse_cols(spark, sf_dir):
     """Columns dropped as sparse (threshold 0.7 here; 0.8 in the depression pool)."""
-    p = pool(spark, sf_dir)
-    dropped = sch.sparse_columns(p, 0.7, SPARSE_PROTECT)
-    kept = sch.drop_sparse(p, 0.7, SPARSE_PROTECT).columns
-    assert not set(dropped) & set(kept)
-    return sch.null_fractions(p).filter(F.col("column").isin(dropped)).select("column")
+    return sch.sparse_names(pool(spark, sf_dir), 0.7, SPARSE_PROTECT)
 
 
 @register("missing_flags", f"""WITH {POOL}

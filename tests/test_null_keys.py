@@ -6,7 +6,7 @@ import pytest
 
 from riskframe.functions.noise import poisson
 from riskframe.operators.metrics import roc_auc
-from riskframe.operators.prep import OneHot
+from riskframe.operators.prep import OneHot, OneHotLong
 from riskframe.operators.splits import cap_sample, hash_rank, holdout_split, stratified_split, user_split
 from riskframe.operators.train import permuted_copies
 
@@ -66,11 +66,26 @@ def test_poisson_reaches_beyond_forty(spark):
     assert max(got) > 70 and abs(sum(got) / 2000 - 60) < 4 * math.sqrt(60 / 2000)
 
 
-def test_one_hot_has_no_default_limit(spark):
+def test_one_hot_of_many_levels(spark):
     df = spark.range(1500).selectExpr("concat('v', id) as c")
     assert len(OneHot("c").fit(df).categories) == 1500
     with pytest.raises(ValueError):
         OneHot("c", max_levels=10).fit(df)
+    with pytest.raises(ValueError):
+        OneHot("c").fit(spark.range(6000).selectExpr("concat('v', id) as c"))
+
+
+@pytest.mark.parametrize("drop_first", [False, True])
+def test_one_hot_in_long_form_equals_the_wide_one(spark, drop_first):
+    train = spark.range(3000).selectExpr("concat('v', id % 700) as c").union(spark.sql("select cast(null as string)"))
+    rows = spark.range(800).selectExpr("id", "if(id % 9 = 0, null, concat('v', id)) as c")
+    wide = OneHot("c", drop_first=drop_first).fit(train)
+    levels = wide.categories[1:] if drop_first else wide.categories
+    long = {r["id"]: r["c_index"] for r in OneHotLong("c", drop_first=drop_first).fit(train).transform(rows).collect()}
+    assert len(long) == 800
+    for r in rows.collect():
+        assert long[r["id"]] == (levels.index(r["c"]) if r["c"] in levels else None)
+    assert OneHotLong("c").fit(train.where("false")).transform(rows).where("c_index is not null").count() == 0
 
 
 def test_permuted_copies_keep_each_features_values(spark):

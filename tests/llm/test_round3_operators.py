@@ -382,3 +382,47 @@ def test_alignment_in_halves_is_as_long(monkeypatch):
         assert sum(whole) == sum(halves)
         it = iter(b)
         assert all(x in it for x, s in zip(a, halves) if s)  # the marked lines are a subsequence of b
+
+
+# ------------------------------------------------------------------ 5 files of the language model
+def test_counts_of_any_size_are_kept_exactly(tmp_path):
+    from riskframe.llm import lm
+    key = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64))
+    counts = [np.arange(len(key)) * step for step in (1, 0, 1 << 33)]
+    lm.save(str(tmp_path), "x", key, *counts)
+    got, columns = lm.load(str(tmp_path / "x.bin"), 3)
+    assert (got == key).all()
+    wanted = np.sort(np.concatenate([key, key + np.uint64(1)]))
+    for found, c in zip(lm.look_up(got, wanted, columns), counts):
+        true = dict(zip(key.tolist(), c.tolist()))
+        assert found.tolist() == [true.get(k, 0) for k in wanted.tolist()]
+    for x in (np.array([0, 254, 255, 256]), np.array([1 << 32, 7]), np.array([], np.int64)):
+        assert lm.unpacked(lm.packed(x), len(x)).tolist() == x.tolist()
+    lm.save(str(tmp_path), "empty", np.array([], np.uint64), np.array([], np.int64))
+    none, columns = lm.load(str(tmp_path / "empty.bin"), 1)
+    assert lm.look_up(none, wanted, columns)[0].sum() == 0
+
+
+def test_model_does_not_depend_on_shards_and_units(spark, monkeypatch):
+    from riskframe.llm import lm
+    rng = np.random.default_rng(5)
+    texts = [" ".join("the " + f"w{int(x)}" for x in rng.zipf(1.3, 400) % 3000) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string").repartition(3)
+    train = d.where("text is not null")
+
+    def scores(**how):
+        model = lm.train(train, **how)
+        rows = lm.score_texts(d, model).collect()
+        return model, {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows}
+
+    one, true = scores(spread_bits=0)
+    monkeypatch.setattr(lm, "MAPPED", 3)
+    many, got = scores(shard_chars=20_000, spread_bits=6)
+    assert one["shards"] == 1 and many["shards"] > 5
+    assert {k: one[k] for k in ("types", "tokens", "pairs", "word_n")} == {k: many[k] for k in ("types", "tokens", "pairs", "word_n")}
+    for i, row in true.items():
+        assert row[:2] == got[i][:2] and np.allclose(row[2:], got[i][2:], rtol=1e-12)
+    # the continuations of the most frequent word lie in many shards
+    word = np.random.default_rng(7).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    unit = lm.unit_of(np.full(5000, 12345, np.uint64), word, 6)
+    assert len(np.unique(unit)) == 64 and len(np.unique(lm.shard_of(unit, 40))) > 20

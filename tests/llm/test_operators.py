@@ -436,33 +436,3 @@ def test_near_licences_are_told_apart(spark):
     assert got["GNU General Public License, version 2"] is None and got["GNU Lesser General Public License, version 3"] is None
     assert licenses.license_scan(d.limit(1).withColumn("text", licenses.F.lit("use it as you like, friend")), "doc_id",
                                  templates=own).first()["own_license"] == "X"
-
-
-# ------------------------------------------------------------------ pipeline
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-    import duckdb
-    sf = "/root/testdata/sf0.01"
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "mixture"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    items = duckdb.connect().sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
-    fed = docs
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, fed, sf).write.parquet(f"{tmp_path}/{k}")
-        out = spark.read.parquet(f"{tmp_path}/{k}")
-        if k < 4:
-            assert out.columns == docs.columns
-        now = {r["doc_id"]: r["text"] for r in out.collect()}
-        before = {r["doc_id"]: r["text"] for r in fed.collect()}
-        if name == "near_duplicates":
-            fps = {i: slow_simhash(t) for i, t in now.items()}
-            values = list(fps.values())
-            assert all((a ^ b).bit_count() > 4 for n, a in enumerate(values) for b in values[:n])
-        if name == "decontamination":
-            lost = set(before) - set(now)
-            assert lost and all(slow_hits(before[i], items)[1] for i in lost)
-        if name == "personal_data":
-            assert set(now) == set(before) and not any(slow_base(t) for t in now.values())
-            assert all(now[i] == t for i, t in before.items() if not pii.find_spans(t))
-        fed = out
-    assert set(out.columns) >= {"doc_id", "pass", "block", "rank"} and out.count() > 0

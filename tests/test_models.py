@@ -251,3 +251,16 @@ def test_harness_rows(spark, key, rows):
     all_queries.load()
     out = query_map()[key](spark, SMALL).toPandas()
     assert len(out) == rows and (out["n"] > 0).all() and out["brier"].between(0, 1).all()
+
+
+# ---------------------------------------------------------------- round 3: work that grows with the rows alone
+def test_poisson_computes_its_rate_once(spark):
+    from riskframe.functions.noise import poisson
+    df = spark.range(3000).select("id", (F.col("id") % 40 / 10.0).alias("r"))
+    drawn = df.select("id", poisson("id", F.col("r") * 1.2345, 42, "t").alias("k"))
+    # once for the NULL test and once for the draw, not at every step of the recurrence
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("1.2345") <= 2
+    means = drawn.join(df, "id").groupBy("r").agg(F.avg("k").alias("k")).toPandas()
+    assert (means.k - means.r * 1.2345).abs().max() < 1.5
+    assert abs(drawn.agg(F.avg("k")).first()[0] - 1.95 * 1.2345) < 0.15
+

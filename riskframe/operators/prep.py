@@ -7,6 +7,7 @@ runs inside whole-stage codegen on the executors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,6 +18,18 @@ from pyspark.sql.window import Window
 from .aggregates import collect_medians
 
 
+#: Rows of a fit that one task reads, pass after pass.
+ROWS_PER_TASK = 200_000
+
+
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of about ``n`` rows, dealt out so that no task of the fits on it holds much more than ``ROWS_PER_TASK`` rows:
+    the number of tasks grows with the rows, whatever files or shuffles ``df`` comes from.  Small tables stay as they are."""
+    if n <= ROWS_PER_TASK:
+        return df
+    return df.repartition(max(math.ceil(n / ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism))
+
+
 @dataclass
 class MedianImputer:
     """Exact median imputation fitted on the training rows."""

@@ -14,21 +14,22 @@ import json
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .isotonic import isotonic_fit
-from .prep import MedianImputer, PopulationScaler
+from .prep import MedianImputer, PopulationScaler, spread
 
 CLASSIFIERS = {
     "logreg": lambda **p: LogisticRegression(**{"maxIter": 100, **p}),
@@ -214,7 +215,7 @@ def calibrated_transform(df: DataFrame, members: Sequence[tuple[Bundle, object]]
 def forest_importance(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str,
                       **params) -> DataFrame:
     """Random-forest impurity importances as a (feature, importance, rank) table."""
-    b = Bundle("forest_importance", list(features), label, "forest", params=params).fit(df)
+    b = Bundle("forest_importance", list(features), label, "forest", params=params).fit(spread(df, df.count()))
     imp = b.model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
@@ -230,7 +231,7 @@ def recursive_elimination(spark: SparkSession, df: DataFrame, features: Sequence
     """
     imp = MedianImputer(list(features)).fit(df)
     data = VectorAssembler(inputCols=list(features), outputCol="all", handleInvalid="keep").transform(
-        imp.transform(df)).select("all", F.col(label).cast("double").alias("label")).cache()
+        imp.transform(spread(df, df.count()))).select("all", F.col(label).cast("double").alias("label")).cache()
     alive = list(range(len(features)))
     dropped: dict[str, int] = {}
     rnd = 0
@@ -265,26 +266,45 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
     """Sampled parameter maps, ``folds``-fold cross validation scored by positive-class recall.
 
     Folds come from a hash of ``key``, so they do not move with the partitioning.  Missing values take the (sketched)
-    median of the fold's training rows.  Returns (trial, params_json, mean_recall, rank)."""
-    x = df.withColumns({f: F.col(f).cast("double") for f in features}).withColumn("label", F.col(label).cast("double"))
-    x = x.withColumn("_fold", F.coalesce(fold_id(key, folds, seed), F.lit(0)).cast("int"))
+    median of the fold's training rows, found once per fold: all trials of a fold are fitted on the same vectors.
+    Returns (trial, params_json, mean_recall, rank)."""
+    x = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"),
+                  F.coalesce(fold_id(key, folds, seed), F.lit(0)).cast("int").alias("_fold"))
+    x = spread(x, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
     est = classifier(kind, "label", "features")
     filled = [f"_filled_{i}" for i in range(len(features))]
-    # the imputer is a stage, so each fold's medians come from its own training rows
-    pipe = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=0.0001),
-                            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), est])
+    imputer = Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=0.0001)
+    assembler = VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")
     trials = sample_params(space, n_iter, seed)
-    maps = []
-    for t in trials:
-        g = ParamGridBuilder()
-        for k, v in t.items():
-            g = g.addGrid(est.getParam(k), [v])
-        maps.extend(g.build())
+    maps = [{est.getParam(k): v for k, v in t.items()} for t in trials]
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism, foldCol="_fold")
-    model = cv.fit(x)
-    rows = [(i, json.dumps(t, sort_keys=True), float(m)) for i, (t, m) in enumerate(zip(trials, model.avgMetrics))]
+    metrics = np.zeros((folds, len(trials)))
+    try:
+        for fold in range(folds):
+            parts = x.where(F.col("_fold") != fold), x.where(F.col("_fold") == fold)
+            for part, what in zip(parts, ("training", "validation")):
+                if part.isEmpty():
+                    raise ValueError(f"The {what} data at fold {fold} is empty.")
+            # the medians come from the fold's own training rows
+            fill = imputer.fit(parts[0])
+            train, held = (assembler.transform(fill.transform(part)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+                           for part in parts)
+            fits = est.fitMultiple(train, maps)
+
+            def tried(_, fits=fits, held=held):
+                i, model = next(fits)
+                return i, ev.evaluate(model.transform(held))
+
+            try:
+                with ThreadPool(min(parallelism, len(maps))) as threads:
+                    for i, metric in threads.imap_unordered(inheritable_thread_target(spark)(tried), range(len(maps))):
+                        metrics[fold, i] = metric
+            finally:
+                train.unpersist()
+                held.unpersist()
+    finally:
+        x.unpersist()
+    rows = [(i, json.dumps(t, sort_keys=True), float(m)) for i, (t, m) in enumerate(zip(trials, metrics.mean(axis=0)))]
     ranked = sorted(rows, key=lambda r: (-r[2], r[0]))
     rank = {r[0]: i + 1 for i, r in enumerate(ranked)}
     return spark.createDataFrame([(*r, rank[r[0]]) for r in rows],

@@ -264,3 +264,22 @@ def test_poisson_computes_its_rate_once(spark):
     assert (means.k - means.r * 1.2345).abs().max() < 1.5
     assert abs(drawn.agg(F.avg("k")).first()[0] - 1.95 * 1.2345) < 0.15
 
+
+def test_random_search_fits_one_imputer_per_fold(spark, monkeypatch):
+    fits, fit = [], TR.Imputer.fit
+    monkeypatch.setattr(TR.Imputer, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    df = _tab(spark).withColumn("a", F.when(F.col("k") % 7 != 0, F.col("a")))
+    space = {"regParam": [0.0, 0.1, 1.0, 10.0]}
+    got = TR.random_search(spark, df, ["a", "b"], "y", "logreg", space, n_iter=3, folds=2, parallelism=2, key="k").orderBy("trial").collect()
+    assert len(fits) == 2
+    # each fold by hand
+    x = df.select(F.col("a").cast("double"), F.col("b").cast("double"), F.col("y").cast("double").alias("label"), TR.fold_id("k", 2).alias("f"))
+    for row, params in zip(got, TR.sample_params(space, 3)):
+        recalls = []
+        for f in range(2):
+            fill = TR.Imputer(inputCols=["a", "b"], outputCols=["fa", "fb"], strategy="median", relativeError=0.0001)
+            pipe = TR.Pipeline(stages=[fill, TR.VectorAssembler(inputCols=["fa", "fb"], outputCol="features"), TR.classifier("logreg", **params)])
+            out = pipe.fit(x.where(F.col("f") != f)).transform(x.where(F.col("f") == f))
+            recalls.append(out.where("label = 1").agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0])
+        assert abs(row["mean_recall"] - sum(recalls) / 2) < 1e-9
+

@@ -20,7 +20,10 @@ OUT, IN, ESCAPED = 0, 1, 2
 #: A whole string, a string that is not closed here, or a bracket.
 TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*"|"|[\[\]{}]', re.S)
 REST_OF_STRING = re.compile(rb'(?:[^"\\]|\\.)*"', re.S)
-READ_ON = 1 << 20
+#: Bytes that are read at first and at most beyond a range for the end of its last record.
+READ_ON, READ_ON_MOST = 1 << 12, 1 << 20
+#: A task takes ranges of about so many bytes; with fewer than ``LEAST_TASKS`` tasks, fewer.
+TASK_BYTES, LEAST_TASKS = 8 << 20, 64
 
 
 def ends_escaped(data: bytes) -> bool:
@@ -101,13 +104,23 @@ def ranges(store: pafs.FileSystem, path: str, part_bytes: int) -> list[tuple[str
     return [(f.path, a, min(a + part_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, part_bytes)]
 
 
+def read_on(f, at: int, size: int) -> Iterator[bytes]:
+    """What follows in ``f`` from ``at`` on, in steps that grow: most records end soon after their range."""
+    step = READ_ON
+    while at < size:
+        yield f.read_at(min(step, size - at), at)
+        at, step = at + step, min(2 * step, READ_ON_MOST)
+
+
 def json_array_texts(spark: SparkSession, path: str, part_bytes: int = 32 << 20) -> DataFrame:
     """(file, value): the text of every record of the JSON array file ``path``, or of all such files in that folder."""
     store, base = pafs.FileSystem.from_uri(path)
     parts = [(i, *r) for i, r in enumerate(ranges(store, base, part_bytes))]
     if not parts:
         return spark.createDataFrame([], "file string, value string")
-    table = spark.createDataFrame(parts, "part int, file string, start long, end long").repartition(len(parts))
+    # a task reads many ranges: their size bounds memory, not the number of tasks
+    tasks = min(len(parts), max(LEAST_TASKS, sum(end - start for *_, start, end in parts) // TASK_BYTES))
+    table = spark.createDataFrame(parts, "part int, file string, start long, end long").repartition(tasks)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(path)
@@ -127,7 +140,7 @@ def json_array_texts(spark: SparkSession, path: str, part_bytes: int = 32 << 20)
             file, state, depth = name, OUT, 0
         begins.append((i, name, start, end, state, depth))
         state, depth = found[i][2 * state], depth + found[i][2 * state + 1]
-    placed = spark.createDataFrame(begins, "part int, file string, start long, end long, state int, depth int").repartition(len(parts))
+    placed = spark.createDataFrame(begins, "part int, file string, start long, end long, state int, depth int").repartition(tasks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(path)
@@ -136,7 +149,7 @@ def json_array_texts(spark: SparkSession, path: str, part_bytes: int = 32 << 20)
                 with store.open_input_file(r["file"]) as f:
                     size = f.size()
                     data = f.read_at(r["end"] - r["start"], r["start"])
-                    more = (f.read_at(min(READ_ON, size - a), a) for a in range(r["end"], size, READ_ON))
+                    more = read_on(f, r["end"], size)
                     held = []
                     for text in records(data, more, r["state"], r["depth"]):
                         held.append(text.decode("utf-8", "replace"))

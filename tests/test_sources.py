@@ -94,3 +94,21 @@ def test_bad_configs(spark, csv):
     with pytest.raises(MP.MappingError, match="A is named twice"):
         MP.compile_config(config(entry(csv), entry(csv)))
     assert MP.unify(spark, [config()])[0] is None
+
+
+def test_json_ranges_share_tasks_and_read_little_beyond(spark, tmp_path):
+    rows = [{"id": i, "t": "x" * (i % 50)} for i in range(3000)]
+    (tmp_path / "f.json").write_text(json.dumps(rows))
+    got = JA.json_array_texts(spark, f"{tmp_path}/f.json", 100)
+    assert got.rdd.getNumPartitions() <= JA.LEAST_TASKS  # more than 1,000 ranges
+    assert sorted(json.loads(r["value"])["id"] for r in got.collect()) == list(range(3000))
+    asked = []
+
+    class Source:
+        def read_at(self, n, at):
+            asked.append(n)
+            return b"x" * n
+
+    next(JA.read_on(Source(), 10, 50_000_000))
+    assert sum(asked) <= 1 << 12
+    assert sum(map(len, JA.read_on(Source(), 10, 5_000_000))) == 5_000_000 - 10

@@ -404,9 +404,11 @@ def q_stream_daily_state(spark, sf_dir):
     """Streaming extension: events replayed as a file stream in time order with an end mark, watermark 1 hour, per-user
     daily state in the state store; every day closes."""
     from ..streaming import daily_state as DS
-    src = DS.split_by_time(fx.table(spark, sf_dir, "events"), scratch_path(spark, "events_feed"))
+    events = fx.table(spark, sf_dir, "events")
+    files = DS.files_per_piece(events)
+    src = DS.split_by_time(events, scratch_path(spark, "events_feed"), files=files)
     DS.write_end_mark(spark, src)
-    out = DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"))
+    out = DS.run_available(spark, src, scratch_path(spark, "daily_state"), scratch_path(spark, "daily_state_ckpt"), files)
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -1,104 +1,65 @@
 """Streaming daily timeline state (optional extension of SURVEY 2.M; not a parity claim).
 
-``events`` arrive as files.  One stateful operator keyed by ``user_id`` (``transformWithStateInPandas``) keeps, per
-user, in the state store: a map of the still open UTC days with their partial sums, a list of the last seven days'
-composite risks, and the run of risky days with the number of days.  Each open day has an event-time timer at its end.
-When the watermark passes it the timer closes the day and one row is emitted with the FB2 daily indicators and the
-timeline rules that only need the trailing week: composite risk (I17), 7-day rolling mean (E2), run of risky days (E4)
-and the history gate (E12).  Rows older than the watermark are dropped by Spark before they reach the state.
+``events`` arrive as files.  Two stateful operators follow each other.  A windowed aggregation keeps, per user and open UTC
+day, the sum of the values and the counts; when the watermark passes a day's end the day closes and goes on as one row with
+the FB2 daily indicators and the composite risk (I17).  A second operator keyed by ``user_id``
+(``transformWithState``) keeps, per user, the last seven days' composite risks, the run of risky days and the number
+of days, and adds the rules that need the days before: 7-day rolling mean (E2), run of risky days (E4) and the history gate
+(E12).  Days close in order, those of one batch are put in order, so it needs neither timers nor open days of its own: its
+work is one read and one write of a small state per user and batch, however many events a day has.  Rows of days that have
+closed are dropped by Spark before they reach the state.
 
 A bounded replay ends with an end mark, a row far enough ahead that the watermark passes every open day, so the last
 days close like all others and the result is that of the batch plan.  A mark carries no event.
 
-A batch of a user touches only the days it holds, each as its own entry of the map, so a hot user costs neither a large
-state value nor task memory.  The checkpoint (on the shared ``spark.checkpoint.dir``) makes the query restartable after
-executor or driver loss.
+Events are summed up in Spark before and after the shuffle, so a hot user costs neither a large state value nor task
+memory.  The checkpoint (on the shared ``spark.checkpoint.dir``) makes the query restartable after executor or driver loss.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
-from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from operator import add
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-DAY_MS = 86_400_000
 HISTORY = 7
 RISKY_AT = 7.0
 MIN_DAYS = 7
 END_MARK = "end-of-feed"
+#: Rows of one file of a replayed feed.
+ROWS_PER_FILE = 200_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 OUTPUT_SCHEMA = ("user_id long, day timestamp, n_events long, Stress double, Sleep double, Workload double, "
                  "CompositeRisk double, RollingMean_7D double, ConsecutiveRiskDays int, history_len int, "
                  "status string")
-
-
-def _daily(total: float, n: int, errors: int) -> tuple[float, float | None, float | None]:
-    """FB2 daily indicators from one day's (sum of value, events, error events)."""
-    mean = float(Decimal(repr(total / n)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
-    stress = min(10.0, mean / 12.0)
-    sleep = None if n % 5 == 0 else min(10.0, 3.0 + n * 1.5)
-    work = None if (n == 1 and errors == 0) else min(10.0, 10.0 * errors / n)
-    return stress, sleep, work
+NAMES = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
 
 
 class DailyState(StatefulProcessor):
-    """Open days, the last week and the run of one user."""
+    """The last week and the run of one user, over its closed days."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "day long", "total double, n long, errors long")
-        self.week = handle.getListState("week", "risk double")
-        self.past = handle.getValueState("past", "run int, days int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added = defaultdict(lambda: [0.0, 0, 0])
-        for pdf in rows:
-            pdf = pdf[pdf["event_type"].ne(END_MARK) | pdf["event_type"].isna()]
-            ms = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[ms]").astype("int64")
-            g = pd.DataFrame({"day": ms // DAY_MS * DAY_MS, "v": pdf["value"].astype(float).to_numpy(),
-                              "e": (pdf["event_type"] == "error").astype(int).to_numpy()}).groupby("day")
-            for day, r in g.agg(s=("v", "sum"), n=("v", "size"), e=("e", "sum")).iterrows():
-                a = added[int(day)]
-                added[int(day)] = [a[0] + float(r["s"]), a[1] + int(r["n"]), a[2] + int(r["e"])]
-        for day, a in added.items():
-            if self.open.containsKey((day,)):
-                b = self.open.getValue((day,))
-                a = [x + y for x, y in zip(a, b)]
-            else:
-                self.handle.registerTimer(day + DAY_MS)
-            self.open.updateValue((day,), tuple(a))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Closes one day; a user's timers fire in the order of their days."""
-        day = expiredTimerInfo.getExpiryTimeInMs() - DAY_MS
-        total, n, errors = self.open.getValue((day,))
-        self.open.removeKey((day,))
-        stress, sleep, work = _daily(total, n, errors)
-        present = [x for x in (stress, work) if x is not None]  # Depression is null in FB2
-        risk = sum(present) / len(present) if present else 5.0
-        # added from left to right, as a window does: sum() would compensate the rounding
-        week = ([r[0] for r in self.week.get()] + [risk])[-HISTORY:]
-        self.week.put([(r,) for r in week])
-        run, days = self.past.get() if self.past.exists() else (0, 0)
-        run, days = (run + 1 if risk > RISKY_AT else 0), days + 1
-        self.past.update((run, days))
-        row = (key[0], pd.Timestamp(day, unit="ms"), n, stress, sleep, work, risk, reduce(add, week) / len(week), run, days,
-               "ok" if days >= MIN_DAYS else "insufficient_data")
-        out = pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
-        yield out.astype({"user_id": "Int64", "n_events": "int64", "Sleep": "float64", "Workload": "float64",
-                          "ConsecutiveRiskDays": "int32", "history_len": "int32"})
+        self.past = handle.getValueState("past", "week array<double>, run int, days int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.past.get()
+        week, run, days = (list(before[0]), before[1], before[2]) if before is not None else ([], 0, 0)
+        for r in sorted(rows, key=lambda r: r["day"]):
+            risk = r["CompositeRisk"]
+            # added from left to right, as a window does: sum() would compensate the rounding
+            week = (week + [risk])[-HISTORY:]
+            run, days = (run + 1 if risk > RISKY_AT else 0), days + 1
+            yield Row(**{c: r[c] for c in NAMES[:7]}, RollingMean_7D=reduce(add, week) / len(week), ConsecutiveRiskDays=run,
+                      history_len=days, status="ok" if days >= MIN_DAYS else "insufficient_data")
+        self.past.update((week, run, days))
 
     def close(self) -> None:
         pass
@@ -106,7 +67,7 @@ class DailyState(StatefulProcessor):
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """State in RocksDB, which timers and composite state need, while a query of ours is started and run."""
+    """State in RocksDB, which ``transformWithState`` needs, while a query of ours is started and run."""
     before = spark.conf.get(STORE)
     spark.conf.set(STORE, ROCKSDB)
     try:
@@ -115,12 +76,29 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(STORE, before)
 
 
+def _indicators(d: DataFrame) -> DataFrame:
+    """FB2 daily indicators and the composite risk from one row per day (av, n_events, e)."""
+    from ..operators.timeline import composite_risk
+    n = F.col("n_events")
+    d = d.select("user_id", "day", "n_events",
+                 F.least(F.lit(10.0), F.round("av", 4) / 12.0).alias("Stress"),
+                 F.when(n % 5 == 0, F.lit(None)).otherwise(F.least(F.lit(10.0), 3.0 + n * 1.5)).alias("Sleep"),
+                 F.when((n == 1) & (F.col("e") == 0), F.lit(None))
+                 .otherwise(F.least(F.lit(10.0), 10.0 * F.col("e") / n)).alias("Workload"))
+    return composite_risk(d, cols=("Stress", "Workload")).drop("IsSevere")
+
+
 def daily_state_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The stateful transformation of a streaming DataFrame.  Rows without a time or a value belong to no day's sum and
     are left out; rows without a user are one user of their own."""
     ev = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
     ev = ev.where("ts is not null and value is not null").withWatermark("ts", delay)
-    return ev.groupBy("user_id").transformWithStateInPandas(DailyState(), OUTPUT_SCHEMA, "append", "EventTime")
+    real = F.coalesce(F.col("event_type") != END_MARK, F.lit(True))
+    days = ev.groupBy("user_id", F.window("ts", "1 day")).agg(
+        F.avg(F.when(real, F.col("value"))).alias("av"), F.count_if(real).alias("n_events"),
+        F.count_if(F.col("event_type") == "error").alias("e")).where("n_events > 0")
+    closed = _indicators(days.withColumn("day", F.col("window.start").cast("timestamp")))
+    return closed.groupBy("user_id").transformWithState(DailyState(), OUTPUT_SCHEMA, "append", "None")
 
 
 def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
@@ -149,17 +127,11 @@ def write_end_mark(spark: SparkSession, source_dir: str, ahead: timedelta = time
 def daily_state_batch(events: DataFrame) -> DataFrame:
     """The same rules as one batch plan (window functions), for checking the stream."""
     from pyspark.sql.window import Window
-    from ..operators.timeline import composite_risk, run_length
+    from ..operators.timeline import run_length
     d = events.where("ts is not null and value is not null").groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(
         F.avg("value").alias("av"), F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("event_type") == "error").alias("e"))
-    n = F.col("n_events")
-    d = d.select("user_id", "day", "n_events",
-                 F.least(F.lit(10.0), F.round("av", 4) / 12.0).alias("Stress"),
-                 F.when(n % 5 == 0, F.lit(None)).otherwise(F.least(F.lit(10.0), 3.0 + n * 1.5)).alias("Sleep"),
-                 F.when((n == 1) & (F.col("e") == 0), F.lit(None))
-                 .otherwise(F.least(F.lit(10.0), 10.0 * F.col("e") / n)).alias("Workload"))
-    d = composite_risk(d, cols=("Stress", "Workload")).drop("IsSevere")
+    d = _indicators(d)
     w = Window.partitionBy("user_id").orderBy("day")
     return d.select("*", F.avg("CompositeRisk").over(w.rowsBetween(-(HISTORY - 1), 0)).alias("RollingMean_7D"),
                     run_length((F.col("CompositeRisk") > RISKY_AT).cast("int"), w).alias("ConsecutiveRiskDays"),
@@ -167,16 +139,36 @@ def daily_state_batch(events: DataFrame) -> DataFrame:
         "status", F.when(F.col("history_len") >= MIN_DAYS, "ok").otherwise("insufficient_data"))
 
 
-def split_by_time(events: DataFrame, path: str, pieces: int = 6) -> str:
-    """Write ``events`` as ``pieces`` sequential files in event-time order (a replayable feed).  Rows without a time, and
-    tables without rows, give none."""
+def files_per_piece(events: DataFrame, pieces: int = 6) -> int:
+    """Files that each of the ``pieces`` of :func:`split_by_time` can be dealt into: enough for ``ROWS_PER_FILE`` rows a
+    file, but so few that even the smallest piece surely fills all of them, whatever partitions its rows come from."""
+    sizes = [n for n in _pieces(events, pieces)[1] if n]
+    scan = events.rdd.getNumPartitions()
+    return max(1, min(-(-max(sizes, default=1) // ROWS_PER_FILE), min(sizes, default=1) // max(scan, 1)))
+
+
+def _pieces(events: DataFrame, pieces: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """The ranges of time (from, to; microseconds) of the pieces, and the rows in each."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = events.agg(F.min(us), F.max(us)).first()
     if lo is None:
+        return [], []
+    step = (hi - lo) // pieces + 1
+    at = ((us - lo) - (us - lo) % step) / step  # exact: a whole number
+    found = {int(r[0]): r[1] for r in events.where(us.isNotNull()).groupBy(at).count().collect()}  # a row per piece
+    return [(lo + i * step, lo + (i + 1) * step) for i in range(pieces)], [found.get(i, 0) for i in range(pieces)]
+
+
+def split_by_time(events: DataFrame, path: str, pieces: int = 6, files: int = 1) -> str:
+    """Write ``events`` as ``pieces`` sequential sets of ``files`` files in event-time order (a replayable feed, ``files`` of
+    it at a time; see :func:`files_per_piece`).  All tasks read, and each of ``files`` tasks writes.  Rows without a time,
+    and tables without rows, give none."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ranges, sizes = _pieces(events, pieces)
+    if not ranges:
         events.where("false").write.mode("append").parquet(path)
         return path
-    step = (hi - lo) // pieces + 1
-    for i in range(pieces):
-        part = events.filter((us >= lo + i * step) & (us < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
+    for (start, end), n in zip(ranges, sizes):
+        if n or files == 1:  # a piece without rows would be one file
+            events.filter((us >= start) & (us < end)).repartition(files).write.mode("append").parquet(path)
     return path

@@ -283,3 +283,18 @@ def test_random_search_fits_one_imputer_per_fold(spark, monkeypatch):
             recalls.append(out.where("label = 1").agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0])
         assert abs(row["mean_recall"] - sum(recalls) / 2) < 1e-9
 
+
+def test_stream_feed_in_several_files_a_piece(spark, monkeypatch):
+    from riskframe.streaming import daily_state as DS
+    monkeypatch.setattr(DS, "ROWS_PER_FILE", 50)
+    ev = spark.range(0, 600, 1, 1).select((F.col("id") % 5).alias("user_id"), F.timestamp_seconds(1704067200 + F.col("id") * 3600).alias("ts"),
+                                          (F.col("id") % 97).cast("double").alias("value"), F.lit("click").alias("event_type"))
+    files = DS.files_per_piece(ev, 3)
+    assert files == 4 and DS.files_per_piece(ev.limit(1), 3) == 1
+    src = DS.split_by_time(ev, scratch_path(spark, "t_feed"), 3, files)
+    assert len(spark.read.parquet(src).inputFiles()) == 12 and spark.read.parquet(src).count() == 600
+    DS.write_end_mark(spark, src)
+    got = DS.run_available(spark, src, scratch_path(spark, "t_sink"), scratch_path(spark, "t_ckpt"), files).toPandas()
+    batch = DS.daily_state_batch(ev).toPandas()
+    assert len(got) == len(batch) == 125
+    _same_days(got, batch)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from .aggregates import group_median_fill
 from .isotonic import IsotonicMap
+from .prep import spread
 from .splits import source_weight, stratified_split
 from .train import Bundle, soft_vote
 
@@ -38,9 +39,10 @@ def split_cached(df: DataFrame, key: str, label: str, strata: Sequence[str] = ()
     """Exact stratified 80/20 split, materialised once for all fits of a harness.
 
     ``checkpoint()`` (to the shared ``spark.checkpoint.dir``) cuts the lineage,
-    so a lost executor re-reads the split instead of recomputing it.
+    so a lost executor re-reads the split instead of recomputing it.  The parts are
+    of bounded rows (:func:`.prep.spread`): every pass of a fit reads a part as one task.
     """
-    return stratified_split(df, key, [label, *strata], test_frac, seed).checkpoint()
+    return spread(stratified_split(df, key, [label, *strata], test_frac, seed), df.count()).checkpoint()
 
 
 def ablation(df: DataFrame, key: str, label: str, variants: dict[str, Sequence[str]], kind: str = "gbt",
@@ -67,7 +69,7 @@ def experiment_grid(variants: dict[str, DataFrame], holdouts: dict[str, DataFram
     hold-out (missing / bad values -> ``fill``)."""
     rows = []
     for vname, pool in variants.items():
-        data = pool.checkpoint()  # read by every learner and its statistics
+        data = spread(pool, pool.count()).checkpoint()  # read by every learner and its statistics
         members = [Bundle(vname, list(features), label, kind, threshold, params=params).fit(data)
                    for kind, params in kinds.items()]
         for hname, hold in holdouts.items():

@@ -23,6 +23,7 @@ from .features import feat_anxiety, feat_hybrid
 from .isotonic import IsotonicMap
 from .labels import hybrid_label
 from .metrics import pick_threshold, threshold_sweep
+from .prep import MedianImputer, spread
 from .schema import feature_views, purge_leaks
 from .selection import consensus_with_fallback, equal_width_bins, mutual_info, top_k
 from .train import Bundle, calibrated_transform, fold_calibrated, recursive_elimination
@@ -135,7 +136,6 @@ class CalibratedClassifier(_Configured, Estimator, DefaultParamsReadable, Defaul
     rows are balanced by SMOTE first, on median-filled features; only fitting does that."""
 
     def _fit(self, df: DataFrame) -> CalibratedModel:
-        from .prep import MedianImputer
         from .sampling import smote
         s = self.settings
         features, key, label = s["features"], s["key"], s["label"]
@@ -146,6 +146,8 @@ class CalibratedClassifier(_Configured, Estimator, DefaultParamsReadable, Defaul
             more = smote(rows, "id", "vec", label)
             train = more.select(F.col("id").alias(key), label, *[F.col("vec")[i].alias(c) for i, c in enumerate(features)])
         train = train.checkpoint()
+        even = spread(train, train.count())
+        train = train if even is train else even.checkpoint()
         members = fold_calibrated(train, lambda: Bundle(s["name"], list(features), label, s["kind"], params=s.get("params", {})),
                                   key, s["folds"])
         model = CalibratedModel(members=len(members), features=list(features))

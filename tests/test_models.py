@@ -284,6 +284,17 @@ def test_random_search_fits_one_imputer_per_fold(spark, monkeypatch):
         assert abs(row["mean_recall"] - sum(recalls) / 2) < 1e-9
 
 
+def test_parts_of_a_split_stay_small(spark, monkeypatch):
+    from riskframe.operators import experiments, prep
+    monkeypatch.setattr(prep, "ROWS_PER_TASK", 50)
+    df = spark.range(0, 1000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 2).alias("y"))
+    split = experiments.split_cached(df, "k", "y")
+    assert max(r["n"] for r in split.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) <= 100
+    assert split.where("is_test").count() == 200 and split.select("k").distinct().count() == 1000
+    monkeypatch.undo()
+    assert experiments.split_cached(df, "k", "y").rdd.getNumPartitions() <= 4  # small tables are left alone
+
+
 def test_stream_feed_in_several_files_a_piece(spark, monkeypatch):
     from riskframe.streaming import daily_state as DS
     monkeypatch.setattr(DS, "ROWS_PER_FILE", 50)

@@ -2,8 +2,10 @@
 
 Pages of a host are ordered by URL path; each is paired with whichever of its two neighbours has the more similar
 path.  Their text lines are aligned by longest common subsequence and lines that both share are deleted as template.
-Markup decides where it is explicit: lines of menus, headers, footers and the like go, and lines inside an article or
-main element, or one so named, stay even if a neighbour repeats them, since passages are republished between articles.
+That is done for every page; markup then checks the outcome where it is explicit.  Lines of menus, headers, footers and
+the like go, also those that differ from page to page.  Of the article and main elements, or those so named, the ones
+with a line of their own are the page's; deleted lines inside them come back, since passages are republished between
+articles.  One that the neighbour has line by line stays deleted, unless it holds the headline or all are such.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, strings, written
+from .common import small_batches
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE = re.compile(r">|=\s*([\"'])")
@@ -137,15 +141,16 @@ class Tags:
 
 
 class Stack:
-    """The open elements: name, state inside, raw, and how many blocks there are up to each; found by name at once."""
+    """The open elements: name, state inside, raw, how many blocks there are up to each, and the number of the outermost
+    element that gave the state; found by name at once."""
 
     def __init__(self):
-        self.items: list[tuple[str, int, bool, int]] = []
+        self.items: list[tuple[str, int, bool, int, int]] = []
         self.places: dict[str, list[int]] = {}
 
-    def push(self, name: str, state: int, raw: bool) -> None:
+    def push(self, name: str, state: int, raw: bool, owner: int) -> None:
         self.places.setdefault(name, []).append(len(self.items))
-        self.items.append((name, state, raw, (self.items[-1][3] if self.items else 0) + (name in BLOCKS)))
+        self.items.append((name, state, raw, (self.items[-1][3] if self.items else 0) + (name in BLOCKS), owner))
 
     def cut(self, at: int) -> None:
         while len(self.items) > at:
@@ -161,31 +166,38 @@ class Stack:
     def blocks_after(self, at: int) -> bool:
         return self.items[-1][3] > self.items[at][3]
 
-    def top(self) -> tuple[int, bool]:
-        return (self.items[-1][1], self.items[-1][2]) if self.items else (OTHER, False)
+    def top(self) -> tuple[int, bool, int]:
+        return (self.items[-1][1], self.items[-1][2], self.items[-1][4]) if self.items else (OTHER, False, 0)
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, DROP, OTHER, HINT or KEEP) of every block with text, in page order.  Unclosed elements end with their parent;
-    end tags without a start are ignored; what follows an unclosed raw element is not text."""
-    out: list[tuple[str, int]] = []
+    """(text, DROP, OTHER, HINT or KEEP) of every block with text, in page order."""
+    return [(text, kind) for text, kind, _ in owned_blocks(page)[0]]
+
+
+def owned_blocks(page: str) -> tuple[list[tuple[str, int, int]], set[int]]:
+    """(text, kind, number of the element that names it main content, else 0) of every block with text, in page order, and
+    the numbers of the elements that hold an h1.  Unclosed elements end with their parent; end tags without a start are
+    ignored; what follows an unclosed raw element is not text."""
+    out: list[tuple[str, int, int]] = []
     stack, tags = Stack(), Tags(page)
-    held: list[tuple[str, int]] = []  # text, state where it stood
-    state, raw = OTHER, False
+    held: list[tuple[str, int, int]] = []  # text, state and owner where it stood
+    state, raw, owner = OTHER, False, 0
+    owners, headed = 0, set()
 
     def flush():
         """Ends a block.  What inline elements in it drop is a block of its own after it and does not split it."""
         for dropped in (False, True):
-            parts = [(t, s) for t, s in held if (s == DROP) == dropped]
-            text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
+            parts = [x for x in held if (x[1] == DROP) == dropped]
+            text = " ".join(html.unescape("".join(t for t, _, _ in parts)).split())
             if text:
-                out.append((text, parts[0][1]))
+                out.append((text, *parts[0][1:]))
         held.clear()
 
     for name, closing, rest in tags:
         if name is None:
             if not raw:
-                held.append((rest, state))
+                held.append((rest, state, owner))
             continue
         if name in BLOCKS:
             flush()
@@ -194,10 +206,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if at is not None and not (name not in BLOCKS and stack.blocks_after(at)):
                 flush() if name in RAW else None
                 stack.cut(at)
-                state, raw = stack.top()
+                state, raw, owner = stack.top()
             continue
         if name == "br":
-            held.append((" ", state))  # a line break inside a block is white space
+            held.append((" ", state, owner))  # a line break inside a block is white space
         if name in VOID or rest.endswith("/"):
             continue
         if name in ("script", "style", "textarea", "title") and not raw:  # their content is no markup
@@ -207,7 +219,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             limit = {"li": ("ul", "ol", "menu"), "td": ("table",), "tr": ("table",)}.get(name, ("div", "article", "main", "section"))
             if not stack.any_after(limit, at):
                 stack.cut(at)
-                state, raw = stack.top()
+                state, raw, owner = stack.top()
         inside = state
         mark = marked(name, rest) if rest else OTHER
         if name in BOILERPLATE and not (name == "header" and state == KEEP) or mark == DROP:
@@ -219,10 +231,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if name in RAW:
             flush()
         raw = raw or name in RAW
-        stack.push(name, inside, raw)
+        if inside >= HINT and inside > state:
+            owners += 1
+            owner = owners
+        if name == "h1" and inside >= HINT:
+            headed.add(owner)
+        stack.push(name, inside, raw, owner if inside >= HINT else 0)
         state = inside
     flush()
-    return out
+    return out, headed
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -233,7 +250,10 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     stop = 0
     while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
         stop += 1
-    return [True] * start + aligned(a[start:len(a) - stop], b[start:len(b) - stop]) + [True] * stop
+    mid, other = a[start:len(a) - stop], b[start:len(b) - stop]
+    both = set(mid) & set(other)  # lines of one page only are part of no common subsequence
+    found = iter(aligned([x for x in mid if x in both], [x for x in other if x in both]))
+    return [True] * start + [x in both and next(found) for x in mid] + [True] * stop
 
 
 def bit_rows(mid: list[int], other: list[int]) -> Iterator[int]:
@@ -289,48 +309,33 @@ def likeness(a: str, b: str) -> int:
     return n
 
 
-def assemble(lines: list[str], kinds: list[int], shared: list[bool]) -> str:
-    """The main text: explicit main content if there is any (elements before hints); else what is neither boilerplate nor shared, or, if that
-    is nothing (two copies of a page tell nothing about their template), what is not boilerplate."""
+def chosen(kinds: list[int], shared: list[bool], owners: list[int], headed: set[int]) -> list[int]:
+    """The lines of the main text, by number.  Where markup names main content (elements before hints): the whole of those
+    elements that have a line which is not shared, or an h1; all of them if every line is shared.  Else the lines that are
+    neither boilerplate nor shared, or, if there are none (two copies of a page tell nothing about their template), those
+    that are not boilerplate."""
     best = max(kinds, default=DROP)
-    kept = [t for t, k in zip(lines, kinds) if k == best] if best >= HINT else []
-    if not kept:
-        other = [(t, s) for t, k, s in zip(lines, kinds, shared) if k == OTHER]
-        kept = [t for t, s in other if not s] or [t for t, _ in other]
-    return "\n".join(kept)
+    if best >= HINT:
+        named = [i for i, k in enumerate(kinds) if k == best]
+        own = {owners[i] for i in named if not shared[i]}
+        return [i for i in named if owners[i] in own or owners[i] in headed] if own else named
+    other = [i for i, k in enumerate(kinds) if k == OTHER]
+    return [i for i in other if not shared[i]] or other
 
 
-PARSED = "host string, path string, text string, lines array<string>, kinds array<tinyint>, marks array<long>"
+def assemble(lines: list[str], kinds: list[int], shared: list[bool]) -> str:
+    """The main text of lines whose named elements are not told apart."""
+    return "\n".join(lines[i] for i in chosen(kinds, shared, [0] * len(kinds), set()))
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) with host, path and the hashes of their lines.  Where markup names the main content
-    no neighbour can change the text, so it is made at once; the other pages keep their lines and kinds for later."""
+def parse(page: str) -> dict:
+    """The lines of a page with kinds, owners and hashes."""
     from xxhash import xxh64_intdigest
 
-    added = pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())),
-                       ("kinds", pa.list_(pa.int8())), ("marks", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for batch in batches:
-            made = []
-            for url, page in zip(strings(batch.column(1)), strings(batch.column(2))):
-                rest = url.split("://", 1)[-1]
-                host, _, path = rest.partition("/")
-                found = blocks(page)
-                marks = [xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 for t, _ in found]
-                lines, kinds = [t for t, _ in found], [k for _, k in found]
-                if max(kinds, default=DROP) >= HINT:
-                    made.append((host.lower(), path, assemble(lines, kinds, []), [], [], marks))
-                else:
-                    made.append((host.lower(), path, None, lines, kinds, marks))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 6, added)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols],
-                                             names=["page_id", "url", *added.names])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
-        run, f"page_id {kind}, url string, {PARSED}")
+    found, headed = owned_blocks(page)
+    lines, kinds, owners = ([x[k] for x in found] for k in range(3))
+    return {"lines": lines, "kinds": kinds, "owners": owners, "headed": headed,
+            "marks": [xxh64_intdigest(t.encode("utf-8", "replace")) for t in lines]}
 
 
 def neighbours(rows, state=None):
@@ -346,90 +351,83 @@ def neighbours(rows, state=None):
         yield current, before, None
 
 
+def shared_lines(row: dict, before: dict | None, after: dict | None) -> list[bool]:
+    """Which lines of a page the neighbour with the more similar path has too; none where the host has no other page."""
+    near = [x for x in (before, after) if x is not None and (x["rng"], x["host"]) == (row["rng"], row["host"])]
+    if not near:
+        return [False] * len(row["marks"])
+    best = max(near, key=lambda x: likeness(x["path"], row["path"]))  # the earlier page on a tie
+    return common_lines(row["marks"], best["marks"])
+
+
+def page_ranges(keyed: DataFrame) -> DataFrame:
+    """Bounds that deal pages by ``key`` into as many ranges as there are shuffle partitions: rng, the first key of each range
+    (low, null for the first), the last key of the range before and the first of the next one.  Only these reach the driver."""
+    spark = keyed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = (keyed.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part"))
+             .agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("part").collect())
+    lows, highs = [r["low"] for r in found], [r["high"] for r in found]
+    kind = keyed.schema["key"].dataType
+    schema = T.StructType([T.StructField("rng", T.IntegerType())] + [T.StructField(n, kind) for n in ("low", "before", "next")])
+    return spark.createDataFrame([*zip(range(len(found)), [None, *lows[1:]], [None, *highs], [*lows[1:], None])], schema)
+
+
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars.
+    """One row per page: page_id, url, text, n_chars, n_shared (lines that differencing deletes) and n_restored (those of them
+    that stay because markup names them main content).
 
     Null and empty pages give an empty text, null URLs form one host. Pages are ordered by range over the whole table,
-    so no task holds a host; the neighbours of the first and last page of each range come from a small table of range
-    ends.  Repeated pages stay repeated. Extra columns are not read. An empty table gives an empty result.
+    so no task holds a host; the last page of a range and the first of the next one go to both, as neighbours only.  Pages
+    are shuffled once, parsed in order and aligned as they come; a task holds three of them.  Repeated pages stay repeated
+    (rows equal in all columns are one key and share a task). Extra columns are not read. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    base = parse(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
-    parsed = written(base.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    keys = ["host", "path", "page_id", "row"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    decided = F.col("text").isNotNull().alias("decided")  # a neighbour of others, but not aligned itself
-    ordered = (parsed.select(*keys, "marks", decided).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("part", F.spark_partition_id()))
-
-    def flags(row, before, after):
-        near = [x for x in (before, after) if x is not None and x["host"] == row["host"]]
-        if not near or row["decided"]:
-            return [False] * len(row["marks"])
-        best = max(near, key=lambda x: likeness(x["path"], row["path"]))  # the earlier page on a tie
-        return common_lines(row["marks"], best["marks"])
+    url = F.coalesce(F.col("url"), F.lit(""))
+    keyed = (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
+                          F.col(html_col).cast("string").alias("html"))
+             .withColumn("rest", F.when(F.instr(url, "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise(url))
+             .withColumn("key", F.struct(F.lower(F.substring_index("rest", "/", 1)).alias("host"),
+                                         F.when(F.instr("rest", "/") > 0, F.expr("substr(rest, instr(rest, '/') + 1)"))
+                                         .otherwise(F.lit("")).alias("path"),
+                                         "page_id", F.xxhash64("html").alias("content")))
+             .select("key", "url", "html"))
+    ranges = page_ranges(keyed)
+    near = ((F.col("low").isNull() | (F.col("key") >= F.col("low")) | (F.col("key") == F.col("before")))
+            & (F.col("next").isNull() | (F.col("key") <= F.col("next"))))
+    lent = F.coalesce(F.col("key") < F.col("low"), F.lit(False)) | F.coalesce(F.col("key") == F.col("next"), F.lit(False))
+    ordered = (keyed.join(F.broadcast(ranges), near).select("rng", lent.alias("lent"), "key", "url", "html")
+               .repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng").sortWithinPartitions("rng", "key")
+               .select("rng", "lent", "key.host", "key.path", "key.page_id", "url", "html"))
+    kind = keyed.schema["key"].dataType["page_id"].dataType.simpleString()
 
     def stream(batches):
         for batch in batches:
-            yield from batch.to_pylist()
-
-    def compare(batches):
-        out = []
-        for row, before, after in neighbours(stream(batches)):
-            edge = before is None or after is None
-            if row["decided"] and not edge:
+            for row in batch.to_pylist():
+                yield row | parse(row.pop("html") or "")
+
+    def texts(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([("page_id", first.schema.field("page_id").type), ("url", pa.string()), ("text", pa.string()),
+                            ("n_shared", pa.int64()), ("n_restored", pa.int64())])
+        out, size = [], 0
+        for row, before, after in neighbours(stream(chain([first], batches))):
+            if row["lent"]:
                 continue
-            out.append({"row": row["row"], "decided": row["decided"], "shared": None if edge else flags(row, before, after), "part": row["part"],
-                        **{c: row[c] if edge else None for c in ("host", "path", "marks")},
-                        "inner": (after or before or {}).get("path") if edge else None,
-                        "inner_host": (after or before or {}).get("host") if edge else None,
-                        "inner_marks": (after or before or {}).get("marks") if edge else None,
-                        "last": after is None, "first": before is None})
-            if len(out) >= 2000:
+            shared = shared_lines(row, before, after)
+            kept = chosen(row["kinds"], shared, row["owners"], row["headed"])
+            text = "\n".join(row["lines"][i] for i in kept)
+            out.append({"page_id": row["page_id"], "url": row["url"], "text": text, "n_shared": sum(shared),
+                        "n_restored": sum(shared[i] for i in kept)})
+            size += len(text)
+            if len(out) >= 1000 or size >= 1 << 24:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out = []
+                out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("row", pa.int64()), ("decided", pa.bool_()), ("shared", pa.list_(pa.bool_())), ("part", pa.int32()), ("host", pa.string()),
-                        ("path", pa.string()), ("marks", pa.list_(pa.int64())), ("inner", pa.string()),
-                        ("inner_host", pa.string()), ("inner_marks", pa.list_(pa.int64())), ("last", pa.bool_()),
-                        ("first", pa.bool_())])
-    ddl = ("row long, decided boolean, shared array<boolean>, part int, host string, path string, marks array<long>, inner string, "
-           "inner_host string, inner_marks array<long>, last boolean, first boolean")
-    compared = written(ordered.mapInArrow(compare, ddl), "compared")
-    # range ends: at most two rows per partition; each looks across to the end of the neighbouring range
-    ends = compared.where("first or last")
-    over = Window.partitionBy(F.lit(0)).orderBy("part", F.col("last").cast("int") - F.col("first").cast("int"))
-    side = F.struct("host", "path", "marks")
-    ends = ends.withColumn("before", F.lag(side).over(over)).withColumn("after", F.lead(side).over(over))
-
-    def fix(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pylist(
-                [{"row": r["row"], "shared": flags(r, r["before"], r["after"])} for r in rows],
-                schema=pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.bool_()))]))
-
-    inner = F.when(F.col("inner_host").isNull(), None).otherwise(
-        F.struct(F.col("inner_host").alias("host"), F.col("inner").alias("path"), F.col("inner_marks").alias("marks")))
-    ends = ends.select("row", "decided", "host", "path", "marks",
-                       F.when(F.col("first"), F.col("before")).otherwise(inner).alias("before"),
-                       F.when(F.col("last"), F.col("after")).otherwise(inner).alias("after"))
-    fixed = ends.mapInArrow(fix, "row long, shared array<boolean>")
-    shared = compared.where("not first and not last").select("row", "shared").unionByName(fixed)
-
-    def text_of(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            texts = [assemble(r["lines"], r["kinds"], r["shared"] or [False] * len(r["lines"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["page_id", "url", "text"])
-
-    kind = parsed.schema["page_id"].dataType.simpleString()
-    open_ = parsed.where("text is null")
-    joined = open_.join(shared, "row", "left").select("page_id", "url", "lines", "kinds", "shared")
-    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(
-        joined.mapInArrow(text_of, f"page_id {kind}, url string, text string"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    out = ordered.mapInArrow(texts, f"page_id {kind}, url string, text string, n_shared long, n_restored long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_restored")

@@ -59,7 +59,7 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return main_texts(table(spark, sf_dir, "pages"))
+    return main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

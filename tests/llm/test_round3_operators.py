@@ -426,3 +426,80 @@ def test_model_does_not_depend_on_shards_and_units(spark, monkeypatch):
     word = np.random.default_rng(7).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
     unit = lm.unit_of(np.full(5000, 12345, np.uint64), word, 6)
     assert len(np.unique(unit)) == 64 and len(np.unique(lm.shard_of(unit, 40))) > 20
+
+
+# ------------------------------------------------------------------ 6 every page is aligned, marked or not
+def random_page(rng, vocabulary=24):
+    """(html, lines, sections): no line twice and all in one order, so the longest common subsequence is the lines in both.
+    A section is (kind, lines, whether it has an h1)."""
+    words = sorted(rng.choice(vocabulary, rng.integers(0, 12), replace=False).tolist())
+    kinds = rng.choice(["nav", "p", "article", "hint"], 4, p=[.2, .3, .3, .2]).tolist()
+    cuts = sorted(rng.integers(0, len(words) + 1, 3).tolist())
+    sections, page = [], ""
+    for kind, first, last in zip(kinds, [0, *cuts], [*cuts, len(words)]):
+        lines, headed = [f"line {w}" for w in words[first:last]], bool(rng.random() < .3)
+        sections.append((kind, lines, headed and bool(lines)))
+        tag = "h1" if headed else "p"
+        inside = "".join(f"<{tag}>{x}</{tag}>" for x in lines)
+        page += {"nav": f"<nav>{inside}</nav>", "p": inside, "article": f"<article>{inside}</article>",
+                 "hint": f"<div class='post-body'>{inside}</div>"}[kind]
+    return page, [x for s in sections for x in s[1]], sections
+
+
+def expected_text(sections, other):
+    """(text, shared lines, restored lines) given the lines of the page to differ from."""
+    kept = []
+    for kind in ("article", "hint", "p"):
+        found = [s for s in sections if s[0] == kind and s[1]]
+        if found and kind != "p":
+            own = [any(x not in other for x in s[1]) for s in found]
+            kept = [x for s, o in zip(found, own) if o or s[2] or not any(own) for x in s[1]]
+            break
+        lines = [x for s in found for x in s[1]]
+        kept = [x for x in lines if x not in other] or lines
+    return "\n".join(kept), sum(x in other for s in sections for x in s[1]), sum(x in other for x in kept)
+
+
+def test_every_page_is_differenced_against_its_nearest_url(spark):
+    from riskframe.llm import pages
+    rng = np.random.default_rng(8)
+    rows, made = [], {}
+    for i in range(400):
+        page, lines, sections = random_page(rng)
+        url = f"http://{rng.choice(['a.com', 'B.com', 'c.org'])}/{rng.choice(['x', 'yy', 'yz'])}/{i * 7 % 400}" if i % 40 else None
+        made[i] = (lines, sections)
+        rows += [(i, url, page)] * (3 if i % 50 == 7 else 1)
+    rows.append((None, "http://alone.net", "<article>one</article>"))
+    made[None] = (["one"], [("article", ["one"], False)])
+
+    def place(row):
+        host, _, path = (row[1] or "").split("://", 1)[-1].partition("/")
+        return host.lower(), path, -1 if row[0] is None else row[0]
+
+    ordered = sorted(rows, key=place)
+    want = collections.Counter()
+    for at, row in enumerate(ordered):
+        host, path, _ = place(row)
+        near = [r for r in ordered[max(at - 1, 0):at] + ordered[at + 1:at + 2] if place(r)[0] == host]
+        best = max(near, key=lambda r: len(os.path.commonprefix([place(r)[1], path])), default=None)
+        text, shared, restored = expected_text(made[row[0]][1], set(made[best[0]][0]) if best else set())
+        want[row[0], row[1], text, len(text), shared, restored] += 1
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 3, 50):
+        got = collections.Counter(map(tuple, pages.main_texts(d.repartition(parts)).collect()))
+        assert got == want
+    assert sum(k[5] * n for k, n in want.items()) > 50  # lines that markup brought back
+
+
+def test_named_elements_that_neighbours_repeat_are_template(spark):
+    from riskframe.llm import pages
+    teaser = "<article class=card><h2>Read next</h2><p>Ten tips</p></article>"
+    both = "<p>Republished</p>"
+    data = [(1, "http://h.com/a/1", f"<article><p>One</p>{both}</article>{teaser}"), (2, "http://h.com/a/2", f"<article><p>Two</p>{both}</article>{teaser}"),
+            (3, "http://i.com/a/1", f"<article><p>One</p></article>{teaser}"), (4, "http://i.com/a/2", f"<article><p>One</p></article>{teaser}"),
+            (5, "http://j.com/a/1", "<div class=post-title><h1>News</h1></div><div class=post-body>One</div><div class=content-strip>Hot</div>"),
+            (6, "http://j.com/a/2", "<div class=post-title><h1>News</h1></div><div class=post-body>Two</div><div class=content-strip>Hot</div>")]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[1] == "One\nRepublished" and got[2] == "Two\nRepublished"  # lines inside the page's own article stay
+    assert got[3] == got[4] == "One\nRead next\nTen tips"  # copies tell nothing about their template
+    assert got[5] == "News\nOne" and got[6] == "News\nTwo"

@@ -11,6 +11,7 @@ articles.  One that the neighbour has line by line stays deleted, unless it hold
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -56,6 +57,8 @@ WORDS = re.compile(r"[a-z]+")
 DROP, OTHER, HINT, KEEP = 0, 1, 2, 3
 #: Bits of alignment rows that are held at once.
 ROW_BITS = 1 << 26
+#: Bytes of html in a range of pages, which one task sorts.
+RANGE_BYTES = 1 << 27
 
 
 def marked(element: str, attrs: str) -> int:
@@ -360,17 +363,26 @@ def shared_lines(row: dict, before: dict | None, after: dict | None) -> list[boo
     return common_lines(row["marks"], best["marks"])
 
 
-def page_ranges(keyed: DataFrame) -> DataFrame:
-    """Bounds that deal pages by ``key`` into as many ranges as there are shuffle partitions: rng, the first key of each range
-    (low, null for the first), the last key of the range before and the first of the next one.  Only these reach the driver."""
+def page_ranges(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bounds that deal pages by ``key`` into ranges, as many as there are shuffle partitions or more where these would pass
+    RANGE_BYTES of html: rng, its group, the first key of each range (low, null for the first), the last key of the range
+    before and the first of the next one.  And the same of whole groups, so that a page is compared with the bounds of
+    groups and of one group's ranges only.  Only these keys reach the driver."""
     spark = keyed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = keyed.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
     found = (keyed.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part"))
              .agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("part").collect())
     lows, highs = [r["low"] for r in found], [r["high"] for r in found]
+    width = math.isqrt(len(found)) + 1
+    low, before, after = [None, *lows[1:]], [None, *highs], [*lows[1:], None]
     kind = keyed.schema["key"].dataType
-    schema = T.StructType([T.StructField("rng", T.IntegerType())] + [T.StructField(n, kind) for n in ("low", "before", "next")])
-    return spark.createDataFrame([*zip(range(len(found)), [None, *lows[1:]], [None, *highs], [*lows[1:], None])], schema)
+    bounds = [T.StructField(n, kind) for n in ("low", "before", "next")]
+    number = [T.StructField(n, T.IntegerType()) for n in ("group", "rng")]
+    every = range(len(found))
+    groups = [(i // width, low[i], before[i], after[min(i + width, len(found)) - 1]) for i in every[::width]]
+    return (spark.createDataFrame(groups, T.StructType(number[:1] + bounds)),
+            spark.createDataFrame([(i // width, i, low[i], before[i], after[i]) for i in every], T.StructType(number + bounds)))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -393,12 +405,13 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                                          .otherwise(F.lit("")).alias("path"),
                                          "page_id", F.xxhash64("html").alias("content")))
              .select("key", "url", "html"))
-    ranges = page_ranges(keyed)
+    groups, ranges = page_ranges(keyed)
     near = ((F.col("low").isNull() | (F.col("key") >= F.col("low")) | (F.col("key") == F.col("before")))
             & (F.col("next").isNull() | (F.col("key") <= F.col("next"))))
     lent = F.coalesce(F.col("key") < F.col("low"), F.lit(False)) | F.coalesce(F.col("key") == F.col("next"), F.lit(False))
-    ordered = (keyed.join(F.broadcast(ranges), near).select("rng", lent.alias("lent"), "key", "url", "html")
-               .repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng").sortWithinPartitions("rng", "key")
+    ordered = (keyed.join(F.broadcast(groups), near).select("group", "key", "url", "html")
+               .join(F.broadcast(ranges), "group").where(near).select("rng", lent.alias("lent"), "key", "url", "html")
+               .repartitionById(max(ranges.count(), 1), "rng").sortWithinPartitions("rng", "key")
                .select("rng", "lent", "key.host", "key.path", "key.page_id", "url", "html"))
     kind = keyed.schema["key"].dataType["page_id"].dataType.simpleString()
 

@@ -460,7 +460,7 @@ def expected_text(sections, other):
     return "\n".join(kept), sum(x in other for s in sections for x in s[1]), sum(x in other for x in kept)
 
 
-def test_every_page_is_differenced_against_its_nearest_url(spark):
+def test_every_page_is_differenced_against_its_nearest_url(spark, monkeypatch):
     from riskframe.llm import pages
     rng = np.random.default_rng(8)
     rows, made = [], {}
@@ -485,7 +485,8 @@ def test_every_page_is_differenced_against_its_nearest_url(spark):
         text, shared, restored = expected_text(made[row[0]][1], set(made[best[0]][0]) if best else set())
         want[row[0], row[1], text, len(text), shared, restored] += 1
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for parts in (1, 3, 50):
+    for parts, size in ((1, 1 << 27), (3, 1500), (50, 400)):  # 8, 38 and 141 ranges asked for
+        monkeypatch.setattr(pages, "RANGE_BYTES", size)
         got = collections.Counter(map(tuple, pages.main_texts(d.repartition(parts)).collect()))
         assert got == want
     assert sum(k[5] * n for k, n in want.items()) > 50  # lines that markup brought back

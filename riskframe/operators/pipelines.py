@@ -26,11 +26,12 @@ from .metrics import pick_threshold, threshold_sweep
 from .prep import MedianImputer, spread
 from .schema import feature_views, purge_leaks
 from .selection import consensus_with_fallback, equal_width_bins, mutual_info, top_k
+from .shap import forest_shap
 from .train import Bundle, calibrated_transform, fold_calibrated, recursive_elimination
 
 #: Row rules by name: label, composites and views of a build.
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "hybrid_label": lambda df: hybrid_label(df),
+    "hybrid_label": lambda df: hybrid_label(df, jitter=True),
     "hybrid_features": feat_hybrid,
     "anxiety_label": lambda df: df.withColumn("RiskCategory", (F.col("GAD7") >= 10).cast("int")),
     "anxiety_features": feat_anxiety,
@@ -75,8 +76,9 @@ class SelectionModel(_Configured, Model, DefaultParamsReadable, DefaultParamsWri
 
 
 class Selection(_Configured, Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Features that both mutual information (its ``k`` best) and recursive elimination (``n_select``) keep; where fewer
-    than ``min_size`` agree, those of mutual information, best first."""
+    """Features in at least two of three lists: mutual information (its ``k`` best), recursive elimination (``n_select``) and
+    a forest's mean absolute Shapley values (the ``k`` best); where fewer than ``min_size`` agree, those of mutual information,
+    best first."""
 
     def _fit(self, df: DataFrame) -> SelectionModel:
         s = self.settings
@@ -85,8 +87,10 @@ class Selection(_Configured, Estimator, DefaultParamsReadable, DefaultParamsWrit
         binned = equal_width_bins(train, candidates).select(*candidates, s["label"]).checkpoint()
         best = top_k(mutual_info(binned, candidates, s["label"]), s["k"]).select("feature").checkpoint()
         ranked = recursive_elimination(df.sparkSession, train, candidates, s["label"], s["n_select"], s.get("step", 1), **s.get("forest", {}))
+        shaps = forest_shap(df.sparkSession, train, candidates, s["label"], **s.get("forest", {}))
         lists = best.select("feature", F.lit("mi").alias("list_id")).unionByName(
-            ranked.where("selected").select("feature", F.lit("rfe").alias("list_id")))
+            ranked.where("selected").select("feature", F.lit("rfe").alias("list_id"))).unionByName(
+            top_k(shaps, s["k"], "shap").select("feature", F.lit("shap").alias("list_id")))
         return SelectionModel(features=consensus_with_fallback(lists, best, 2, s["min_size"]))
 
 

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import blocks as BL
 from .prep import MedianImputer, spread
-from .train import classifier
+from .train import classifier, fits_in_blocks
 
 #: Leaves with more features than this get no table; the bits that occur in a batch are worked out instead.
 TABLE_FEATURES = 10
@@ -64,6 +65,25 @@ class Leaf:
         return out
 
 
+def walk(split, weight, value) -> list[Leaf]:
+    """The leaves below node 0: ``split(i)`` is (feature, cut, left, right) or None, ``weight(i)`` and ``value(i)`` a node's."""
+    leaves, todo = [], [(0, {})]
+    while todo:
+        at, bounds = todo.pop()
+        found = split(at)
+        if found is None:
+            if bounds and value(at):
+                f = sorted(bounds)
+                low, high, share = zip(*[bounds[i] for i in f])
+                leaves.append(Leaf(f, list(low), list(high), list(share), value(at)))
+            continue
+        f, cut, left, right = found
+        low, high, share = bounds.get(f, (-np.inf, np.inf, 1.0))
+        for child, own in ((left, (low, min(high, cut))), (right, (max(low, cut), high))):
+            todo.append((child, {**bounds, f: (*own, share * weight(child) / weight(at))}))
+    return leaves
+
+
 def forest_leaves(spark: SparkSession, model, cls: int = 1) -> list[list[Leaf]]:
     """The leaves of every tree of a forest of continuous features, with the probability of class ``cls`` as their value."""
     path = scratch_path(spark, "shap-forest")
@@ -71,26 +91,29 @@ def forest_leaves(spark: SparkSession, model, cls: int = 1) -> list[list[Leaf]]:
     trees: dict[int, dict] = {}
     for r in spark.read.parquet(f"{path}/data").collect():  # trees x nodes
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+
+    def leaves(nodes: dict) -> list[Leaf]:
+        def split(i):
+            n = nodes[i]
+            return None if n["leftChild"] < 0 else (n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0],
+                                                    n["leftChild"], n["rightChild"])
+
+        def value(i):
+            stats = nodes[i]["impurityStats"]
+            return stats[cls] / sum(stats) if len(stats) > cls and sum(stats) else 0.0
+
+        return walk(split, lambda i: sum(nodes[i]["impurityStats"]), value)
+
+    return [leaves(nodes) for _, nodes in sorted(trees.items())]
+
+
+def block_leaves(trees: Sequence[BL.Tree], edges: Sequence[np.ndarray]) -> list[list[Leaf]]:
+    """The same of a forest that was grown on blocks."""
     out = []
-    for _, nodes in sorted(trees.items()):
-        leaves, todo = [], [(0, {})]
-        while todo:
-            at, path_bounds = todo.pop()
-            node = nodes[at]
-            stats = node["impurityStats"]
-            if node["leftChild"] < 0:
-                value = stats[cls] / sum(stats) if len(stats) > cls and sum(stats) else 0.0
-                if path_bounds and value:
-                    f = sorted(path_bounds)
-                    low, high, share = zip(*[path_bounds[i] for i in f])
-                    leaves.append(Leaf(f, list(low), list(high), list(share), value))
-                continue
-            f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            low, high, share = path_bounds.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((node["leftChild"], (low, min(high, cut))), (node["rightChild"], (max(low, cut), high))):
-                part = sum(nodes[child]["impurityStats"]) / sum(stats)
-                todo.append((child, {**path_bounds, f: (*bounds, share * part)}))
-        out.append(leaves)
+    for t in trees:
+        inner, value = t.cutoff(t.depth, True)
+        out.append(walk(lambda i: (int(t.feature[i]), float(edges[t.feature[i]][t.cut[i]]), int(t.left[i]), int(t.left[i]) + 1) if inner[i] else None,
+                        lambda i: float(t.w[i]), lambda i: float(value[i])))
     return out
 
 
@@ -139,8 +162,16 @@ def mean_abs_shap(df: DataFrame, features: Sequence[str], trees: Sequence[Sequen
 def forest_shap(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str, **params) -> DataFrame:
     """A forest on all ``features`` (missing values take their median) and its mean absolute Shapley values over the
     rows it was fitted on, as a (feature, shap) table."""
-    filled = MedianImputer(list(features)).fit(df).transform(spread(df, df.count()))
-    data = filled.select(*features, F.col(label).cast("double").alias("_label")).checkpoint()
+    n = df.count()
+    imp = MedianImputer(list(features)).fit(df)
+    opts = {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 1, "seed": 42, **params}
+    if fits_in_blocks(df, n, label, opts, ("numTrees", "maxDepth", "minInstancesPerNode", "seed"), opts["maxDepth"]):
+        filled = imp.transform(df)
+        edges = BL.find_edges(filled, features)
+        data = BL.pack(spread(filled, n), features, F.col(label), edges)
+        trees = BL.forest(data, range(len(features)), opts["numTrees"], opts["maxDepth"], [opts["minInstancesPerNode"]], opts["seed"])[0]
+        return mean_abs_shap(filled, features, block_leaves(trees, edges))
+    data = imp.transform(spread(df, n)).select(*features, F.col(label).cast("double").alias("_label")).checkpoint()
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(data)
     model = classifier("forest", "_label", "features", **params).fit(vectors.select("features", "_label"))
     return mean_abs_shap(data, features, forest_leaves(spark, model))

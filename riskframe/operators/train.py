@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as BL
 from .isotonic import isotonic_fit
-from .prep import MedianImputer, PopulationScaler, spread
+from .prep import ROWS_PER_TASK, MedianImputer, PopulationScaler, spread
 
 CLASSIFIERS = {
     "logreg": lambda **p: LogisticRegression(**{"maxIter": 100, **p}),
@@ -211,6 +212,16 @@ def calibrated_transform(df: DataFrame, members: Sequence[tuple[Bundle, object]]
     return x.withColumn(out, total / len(members)).drop(*[f"_c{i}" for i in range(len(members))])
 
 
+# -------------------------------------------------------------------- fits of more than one part
+def fits_in_blocks(df: DataFrame, n: int, label: str, params: Sequence[str], taken: Sequence[str], depth: int) -> bool:
+    """Whether a fit on the ``n`` rows of ``df`` is grown on blocks of bytes (:mod:`.blocks`): more rows than one part, labels
+    of 0 and 1 alone, parameters among ``taken``.  Small fits stay with Spark ML."""
+    if n <= ROWS_PER_TASK or depth > BL.DEEPEST or not set(params) <= set(taken):
+        return False
+    y = F.col(label)
+    return df.agg(F.count_if(y.isNull() | ~y.isin(0, 1))).first()[0] == 0
+
+
 # -------------------------------------------------------------------- J12 / J13: importance and RFE
 def forest_importance(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str,
                       **params) -> DataFrame:
@@ -226,21 +237,33 @@ def recursive_elimination(spark: SparkSession, df: DataFrame, features: Sequence
                           n_select: int, step: int = 1, **params) -> DataFrame:
     """Refit a forest and drop the ``step`` least important features until ``n_select`` remain.
 
-    The assembled training vectors are cached once; each round slices them.
+    The assembled training vectors are cached once; each round slices them.  More rows than one part are binned once
+    instead, and each round grows its forest on the blocks (:mod:`.blocks`).
     Returns (feature, selected, eliminated_round) -- round 0 means kept.
     """
     imp = MedianImputer(list(features)).fit(df)
-    data = VectorAssembler(inputCols=list(features), outputCol="all", handleInvalid="keep").transform(
-        imp.transform(spread(df, df.count()))).select("all", F.col(label).cast("double").alias("label")).cache()
+    n = df.count()
+    opts = {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 1, "seed": 42, **params}
+    in_blocks = fits_in_blocks(df, n, label, opts, ("numTrees", "maxDepth", "minInstancesPerNode", "seed"), opts["maxDepth"])
+    if in_blocks:
+        filled = imp.transform(df)
+        data = BL.pack(spread(filled, n), features, F.col(label), BL.find_edges(filled, features))
+    else:
+        data = VectorAssembler(inputCols=list(features), outputCol="all", handleInvalid="keep").transform(
+            imp.transform(spread(df, n))).select("all", F.col(label).cast("double").alias("label")).cache()
     alive = list(range(len(features)))
     dropped: dict[str, int] = {}
     rnd = 0
     try:
         while len(alive) > n_select:
             rnd += 1
-            sliced = VectorSlicer(inputCol="all", outputCol="features", indices=alive).transform(data)
-            m = classifier("forest", "label", "features", **params).fit(sliced)
-            scores = m.featureImportances.toArray().tolist()
+            if in_blocks:
+                trees = BL.forest(data, alive, opts["numTrees"], opts["maxDepth"], [opts["minInstancesPerNode"]], opts["seed"])[0]
+                scores = BL.importances(trees, len(features))[alive].tolist()
+            else:
+                sliced = VectorSlicer(inputCol="all", outputCol="features", indices=alive).transform(data)
+                m = classifier("forest", "label", "features", **params).fit(sliced)
+                scores = m.featureImportances.toArray().tolist()
             order = sorted(range(len(alive)), key=lambda j: (scores[j], features[alive[j]]))
             cut = order[:min(step, len(alive) - n_select)]
             for j in cut:
@@ -267,15 +290,21 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
 
     Folds come from a hash of ``key``, so they do not move with the partitioning.  Missing values take the (sketched)
     median of the fold's training rows, found once per fold: all trials of a fold are fitted on the same vectors.
+    Forests on more rows than one part are grown on blocks of bytes (:mod:`.blocks`), all trials of a fold together.
     Returns (trial, params_json, mean_recall, rank)."""
     x = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"),
                   F.coalesce(fold_id(key, folds, seed), F.lit(0)).cast("int").alias("_fold"))
-    x = spread(x, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
-    est = classifier(kind, "label", "features")
+    n = df.count()
     filled = [f"_filled_{i}" for i in range(len(features))]
     imputer = Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=0.0001)
-    assembler = VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")
     trials = sample_params(space, n_iter, seed)
+    taken = ("numTrees", "maxDepth", "minInstancesPerNode")
+    if kind == "forest" and fits_in_blocks(x, n, "label", list(space), taken, max(t.get("maxDepth", 8) for t in trials)):
+        metrics = _recalls_in_blocks(x, n, imputer, filled, [{"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 1, **t} for t in trials], folds)
+        return _ranked_trials(spark, trials, metrics)
+    x = spread(x, n).persist(StorageLevel.MEMORY_AND_DISK)
+    est = classifier(kind, "label", "features")
+    assembler = VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")
     maps = [{est.getParam(k): v for k, v in t.items()} for t in trials]
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0)
     metrics = np.zeros((folds, len(trials)))
@@ -304,6 +333,31 @@ def random_search(spark: SparkSession, df: DataFrame, features: Sequence[str], l
                 held.unpersist()
     finally:
         x.unpersist()
+    return _ranked_trials(spark, trials, metrics)
+
+
+def _recalls_in_blocks(x: DataFrame, n: int, imputer: Imputer, filled: Sequence[str], trials: Sequence[dict], folds: int) -> np.ndarray:
+    """(fold, trial) recalls of forests.  Trials that differ in trees and depth alone are parts of one forest, since its draws
+    depend on neither."""
+    least = sorted({t["minInstancesPerNode"] for t in trials})
+    most, deepest = max(t["numTrees"] for t in trials), max(t["maxDepth"] for t in trials)
+    metrics = np.zeros((folds, len(trials)))
+    for fold in range(folds):
+        held = F.col("_fold") == fold
+        counts = x.agg(F.count_if(~held), F.count_if(held)).first()
+        for size, what in zip(counts, ("training", "validation")):
+            if not size:
+                raise ValueError(f"The {what} data at fold {fold} is empty.")
+        # the medians and cut points come from the fold's own training rows
+        fill = imputer.fit(x.where(~held))
+        edges = BL.find_edges(fill.transform(x.where(~held)), filled)
+        data = BL.pack(fill.transform(spread(x, n)), filled, F.col("label"), edges, held)
+        forests = BL.forest(data, range(len(filled)), most, deepest, least)
+        metrics[fold] = BL.recalls(data, forests, [(least.index(t["minInstancesPerNode"]), t["numTrees"], t["maxDepth"]) for t in trials])
+    return metrics
+
+
+def _ranked_trials(spark: SparkSession, trials: Sequence[dict], metrics: np.ndarray) -> DataFrame:
     rows = [(i, json.dumps(t, sort_keys=True), float(m)) for i, (t, m) in enumerate(zip(trials, metrics.mean(axis=0)))]
     ranked = sorted(rows, key=lambda r: (-r[2], r[0]))
     rank = {r[0]: i + 1 for i, r in enumerate(ranked)}

@@ -14,12 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks as BL
 from . import metrics as M
 from .aggregates import group_median_fill
 from .isotonic import IsotonicMap
 from .prep import spread
 from .splits import source_weight, stratified_split
-from .train import Bundle, soft_vote
+from .train import Bundle, fits_in_blocks, soft_vote
 
 
 def evaluate(scored: DataFrame, name: str, threshold: float, score: str = "p", label: str = "y",
@@ -47,7 +48,8 @@ def split_cached(df: DataFrame, key: str, label: str, strata: Sequence[str] = ()
 
 def ablation(df: DataFrame, key: str, label: str, variants: dict[str, Sequence[str]], kind: str = "gbt",
              threshold: float = 0.5, **params) -> DataFrame:
-    """One fit per feature subset on the same split; one metric row per variant."""
+    """One fit per feature subset on the same split; one metric row per variant.  Boosted trees on more rows than one
+    part are grown on blocks of bytes (:mod:`.blocks`), all variants in the same passes."""
     from .prep import MedianImputer, PopulationScaler
     data = split_cached(df, key, label)
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
@@ -56,6 +58,19 @@ def ablation(df: DataFrame, key: str, label: str, variants: dict[str, Sequence[s
     imp = MedianImputer(every).fit(train)
     sc = PopulationScaler(every).fit(imp.transform(train))
     rows = []
+    opts = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1, **params}
+    if kind == "gbt" and fits_in_blocks(data, data.count(), label, opts, ("maxIter", "maxDepth", "stepSize"), opts["maxDepth"]):
+        b = Bundle("all", every, label, kind, threshold, imputer=imp, scaler=sc)
+        inputs, place = b._inputs(), {f: i for i, f in enumerate(every)}
+        known = b.prepare(train)
+        edges = BL.find_edges(known, inputs)
+        trees = BL.boost(BL.pack(known, inputs, F.col(label), edges), [[place[f] for f in feats] for feats in variants.values()],
+                         opts["maxIter"], opts["maxDepth"], opts["stepSize"])
+        scored = BL.boosted_probabilities(b.prepare(test), inputs, edges, trees, opts["stepSize"], [label]).checkpoint()
+        for i, (name, feats) in enumerate(variants.items()):
+            rows.append(evaluate(scored.select(label, F.col("p")[i].alias("p")), name, threshold, label=label, name_col="variant",
+                                 n_features=len(feats)))
+        return reduce(DataFrame.unionByName, rows)
     for name, feats in variants.items():
         b = Bundle(name, list(feats), label, kind, threshold, params=params).fit(train, imputer=imp, scaler=sc)
         rows.append(evaluate(b.transform(test), name, threshold, label=label, name_col="variant",
